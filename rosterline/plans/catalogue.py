@@ -558,9 +558,10 @@ def q_gate_suppression(spark, sf_dir):
 @query
 def q_gate_profiles(spark, sf_dir):
     """The gate on profiles whose suppression threshold was set too low."""
-    cells = profile.value_counts(s.stays(spark, sf_dir), "code", ["release_reason"])
+    stays = s.stays(spark, sf_dir, "l_partkey")
+    cells = profile.value_counts(stays, "code", ["release_reason"])
     low = profile.suppress_counts(cells, threshold=3)
-    stats = s.stays(spark, sf_dir).groupBy("code").agg(
+    stats = stays.groupBy("code").agg(
         suppress(F.count("amount_set"), 3).alias("n_set"),
         (F.max("amount_set") - F.lit(50000)).alias("median_set"),
     )

@@ -11,13 +11,13 @@ from .numeric import (
 from .places import candidate_places, normalize_place, place_keys, strip_designator
 from .records import category_struct, geo_uri, location_fields
 from .text import (
-    contains_identifier, is_safe_https, matches_text, normalize_name, normalize_tokens,
+    contains_identifier, distinct_tokens, is_safe_https, matches_text, normalize_name, normalize_tokens,
     ordered_distinct, shared_tokens, slug_key, zip5,
 )
 
 __all__ = [
     "age_at", "band", "candidate_places", "category_struct", "code_label",
-    "contains_identifier", "display_avg", "duration_days", "funding_progress",
+    "contains_identifier", "display_avg", "distinct_tokens", "duration_days", "funding_progress",
     "gated_ratio", "geo_uri", "haversine_miles", "is_safe_https", "is_stale",
     "location_fields", "matches_text", "normalize_name", "normalize_place",
     "normalize_tokens", "null_if_nan", "ordered_distinct", "place_keys", "public_status",

@@ -18,17 +18,36 @@ def slug_key(name: Column | str, prefix: str = "SYNTH-", length: int = 40) -> Co
     return F.concat(F.lit(prefix), F.substring(dashed, 1, length))
 
 
+def _raw_words(name: Column | str) -> Column:
+    return F.split(F.upper(as_col(name)), r"[^\p{L}\p{N}]+")
+
+
+def _spelled_out(
+    words: Column, abbreviations: Mapping[str, str], stopwords: Sequence[str]
+) -> Column:
+    expansions = literal_map(abbreviations)
+    spelled = F.transform(words, lambda w: F.coalesce(F.try_element_at(expansions, w), w))
+    kept = F.filter(spelled, lambda w: ~w.isin("", *stopwords))
+    return F.coalesce(kept, F.array().cast("array<string>"))
+
+
 def normalize_tokens(
     name: Column | str,
     abbreviations: Mapping[str, str] = ABBREVIATIONS,
     stopwords: Sequence[str] = STOPWORDS,
 ) -> Column:
     """Upper-case words of a name, abbreviations spelled out, filler words gone."""
-    expansions = literal_map(abbreviations)
-    words = F.split(F.upper(as_col(name)), r"[^\p{L}\p{N}]+")
-    spelled = F.transform(words, lambda w: F.coalesce(F.try_element_at(expansions, w), w))
-    kept = F.filter(spelled, lambda w: (w != "") & ~w.isin(*stopwords))
-    return F.coalesce(kept, F.array().cast("array<string>"))
+    return _spelled_out(_raw_words(name), abbreviations, stopwords)
+
+
+def distinct_tokens(
+    name: Column | str,
+    abbreviations: Mapping[str, str] = ABBREVIATIONS,
+    stopwords: Sequence[str] = STOPWORDS,
+) -> Column:
+    """The set of normal tokens; repeats go first, so a long text costs its vocabulary only."""
+    words = F.array_distinct(_raw_words(name))
+    return F.array_distinct(_spelled_out(words, abbreviations, stopwords))
 
 
 def normalize_name(name: Column | str, **kwargs) -> Column:

@@ -226,24 +226,46 @@ def precision_histogram(records: DataFrame) -> DataFrame:
 
 
 def build_report(records: DataFrame, report: DataFrame, by_method: DataFrame) -> DataFrame:
-    """``(section, figure, value)``: counts, crosswalk figures, methods and precisions."""
+    """``(section, figure, value)``: counts, crosswalk figures, methods and precisions.
 
-    def rows(df: DataFrame, section: str) -> DataFrame:
-        doubles = df.select(*[F.col(c).cast("double").alias(c) for c in df.columns])
-        return doubles.unpivot([], doubles.columns, "figure", "value").select(
-            F.lit(section).alias("section"), "figure", "value"
-        )
-
-    def histogram(df: DataFrame, section: str, column: str) -> DataFrame:
-        return df.select(
-            F.lit(section).alias("section"), F.col(column).alias("figure"),
-            F.col("n").cast("double").alias("value"),
+    The records are read once: one row per precision feeds both counts and histogram.
+    """
+    p = F.col("properties")
+    mapped = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    per = records.groupBy(p["location_precision"].alias("precision")).agg(
+        F.count(F.lit(1)).alias("facilities_total"),
+        F.count_if(mapped).alias("mapped"),
+        F.count_if(~mapped).alias("unplaced"),
+        F.count_if(mapped & p["has_ice_attributes"]).alias("with_ice_attributes"),
+        F.count_if(mapped & p["demographics"].isNotNull()).alias("with_demographics"),
+    )
+    total = F.col("facilities_total")
+    exact, unknown = F.col("precision") == "exact", F.col("precision") == "none"
+    plain = ("facilities_total", "mapped", "unplaced", "with_ice_attributes", "with_demographics")
+    figures = {
+        **{name: F.col(name) for name in plain},
+        "exact_location": F.when(exact, total).otherwise(0),
+        "approximate_location": F.when(~exact & ~unknown, total).otherwise(0),
+    }
+
+    def entry(section: str, figure: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), figure.alias("figure"), value.cast("double").alias("value")
         )
 
-    rounded = report.withColumn("rate", F.bround("rate", 4))
+    entries = [entry("counts", F.lit(name), value) for name, value in figures.items()]
+    entries.append(entry("location_precision", F.col("precision"), total))
+    counted = per.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    matched = report.select(
+        F.explode(F.array(
+            entry("crosswalk", F.lit("total"), F.col("total")),
+            entry("crosswalk", F.lit("matched"), F.col("matched")),
+            entry("crosswalk", F.lit("rate"), F.bround("rate", 4)),
+        )).alias("e")
+    ).select("e.*")
+    methods = by_method.select(entry("methods", F.col("method"), F.col("n")).alias("e")).select("e.*")
     return (
-        rows(coverage_counts(records), "counts")
-        .unionByName(rows(rounded, "crosswalk"))
-        .unionByName(histogram(by_method, "methods", "method"))
-        .unionByName(histogram(precision_histogram(records), "location_precision", "location_precision"))
+        counted.groupBy("section", "figure").agg(F.sum("value").alias("value"))
+        .unionByName(matched)
+        .unionByName(methods)
     )

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import FUZZY_THRESHOLD, GENERIC_TOKEN_MAX_DF
-from ..functions.text import normalize_name, normalize_tokens, zip5
+from ..functions.text import distinct_tokens, normalize_tokens, zip5
 from ..session import cut_lineage
 
 MAX_INDEXED_TOKENS = 8
@@ -38,7 +39,7 @@ ANY_TOKEN = "*"
 
 def token_frequency(df: DataFrame, name: str) -> DataFrame:
     """``(token, df, share)``: in how many names a token occurs, out of all names."""
-    tokens = df.select(F.array_distinct(normalize_tokens(name)).alias("tokens"))
+    tokens = df.select(distinct_tokens(name).alias("tokens"))
     total = tokens.select(F.count(F.lit(1)).alias("n")).scalar()
     per_token = tokens.select(F.explode("tokens").alias("token")).groupBy("token")
     return per_token.agg(F.count(F.lit(1)).alias("df")).select(
@@ -61,16 +62,16 @@ def _generic_array(df: DataFrame, name: str, max_df: float) -> Column:
 
 # --- prepared inputs --------------------------------------------------------
 
-def _with_tokens(df: DataFrame, name: str, zip_code: str | None, generic: Column) -> DataFrame:
-    return df.withColumns(
+def _with_tokens(df: DataFrame, name: str, zip_code: str, generic: Column) -> DataFrame:
+    words = df.withColumn("_words", normalize_tokens(name))
+    distinctive = F.array_except("_words", generic)
+    return words.withColumns(
         {
-            "norm": normalize_name(name),
-            "tokens": F.sort_array(
-                F.array_except(F.array_distinct(normalize_tokens(name)), generic)
-            ),
-            "zip5": F.lit(None).cast("string") if zip_code is None else zip5(zip_code),
+            "norm": F.array_join("_words", " "),
+            "tokens": F.sort_array(distinctive),
+            "zip5": zip5(zip_code),
         }
-    )
+    ).drop("_words")
 
 
 def prepare(
@@ -79,12 +80,15 @@ def prepare(
     max_df: float = GENERIC_TOKEN_MAX_DF,
     listing_columns: Sequence[str] = ("l_id", "name", "state", "zip"),
     registry_columns: Sequence[str] = ("code", "name", "state", "zip", "r_order"),
+    keep: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides in the form the stages work on.
 
     Listing: ``l_id, l_name, name_key, state, zip5, norm, tokens``; registry: ``code,
     r_order, state, zip5, norm, tokens``.  ``tokens`` are the distinctive ones, sorted.
     ``r_order`` is the registry's row order, which decides between equal candidates.
+
+    Both sides feed several indexes, so by default they are checkpointed, not computed again.
     """
     l_id, l_name, l_state, l_zip = listing_columns
     r_code, r_name, r_state, r_zip, r_order = registry_columns
@@ -105,7 +109,7 @@ def prepare(
     )
     left = _with_tokens(left, "l_name", "_zip", generic).drop("_zip")
     right = _with_tokens(right, "r_name", "_zip", generic).drop("_zip", "r_name")
-    return left, right
+    return (cut_lineage(left), cut_lineage(right)) if keep else (left, right)
 
 
 # --- index ------------------------------------------------------------------
@@ -151,22 +155,28 @@ def _subset_index(registry: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _long_name_overlaps(listing: DataFrame, registry: DataFrame) -> DataFrame:
-    """Exact overlaps of pairs in which at least one name is too long for the index."""
+def _long_name_overlaps(listing: DataFrame, registry: DataFrame) -> DataFrame | None:
+    """Exact overlaps of pairs in which a name is too long for the index; None without such names."""
+
     def postings(df: DataFrame, side: str, *columns: str) -> DataFrame:
         return df.select(
             "state", "zip5", F.explode("tokens").alias("token"),
             *[F.col(c) for c in columns], F.col("tokens").alias(f"{side}_tokens"),
         )
 
-    left, right = postings(listing, "l", "l_id"), postings(registry, "r", "code")
-    left_long = F.size("l_tokens") > MAX_INDEXED_TOKENS
-    right_long = F.size("r_tokens") > MAX_INDEXED_TOKENS
     keys = ["state", "zip5", "token"]
-    pairs = left.filter(left_long).join(right, keys).unionByName(
-        left.filter(~left_long).join(right.filter(right_long), keys)
-    )
+    long_left, long_right = _too_long(listing), _too_long(registry)
+    parts = []
+    if not long_left.isEmpty():
+        parts.append(postings(long_left, "l", "l_id").join(postings(registry, "r", "code"), keys))
+    if not long_right.isEmpty():
+        parts.append(
+            postings(_indexed(listing), "l", "l_id").join(postings(long_right, "r", "code"), keys)
+        )
+    if not parts:
+        return None
     shared = F.array_intersect("l_tokens", "r_tokens")
+    pairs = reduce(DataFrame.unionByName, parts)
     return pairs.filter(F.array_min(shared) == F.col("token")).select(
         "l_id", F.size(shared).alias("width"), F.lit(1).cast("bigint").alias("n"),
         F.col("code").alias("first_code"), F.col("code").alias("last_code"),
@@ -196,8 +206,10 @@ def zip_evidence(listing: DataFrame, registry: DataFrame) -> DataFrame:
         _subset_rows(known, "l_id", *keys)
         .join(_subset_index(at_zip, keys), [*keys, "subset"])
         .select("l_id", "width", "n", "first_code", "last_code")
-        .unionByName(_long_name_overlaps(known, at_zip))
     )
+    long_names = _long_name_overlaps(known, at_zip)
+    if long_names is not None:
+        hits = hits.unionByName(long_names)
     per_width = hits.groupBy("l_id", "width").agg(
         F.sum("n").alias("n"), F.min("first_code").alias("low"), F.max("last_code").alias("high")
     )
@@ -256,19 +268,21 @@ def _containment(listing: DataFrame, registry: DataFrame) -> DataFrame:
     looked_up = whole.join(_subset_index(registry, ["state"]), ["state", "subset"]).select(
         "l_id", "n", F.col("first_code").alias("code")
     )
-    # A candidate too long for the index must at least hold the first token of the listing row.
-    by_first = listing.filter(F.size("tokens") > 0).select(
-        "l_id", "state", F.element_at("tokens", 1).alias("token"), F.col("tokens").alias("l_tokens")
-    )
-    long_names = _too_long(registry).select(
-        "state", "code", "tokens", F.explode("tokens").alias("token")
-    )
-    listed = (
-        by_first.join(long_names, ["state", "token"])
-        .filter(F.size(F.array_except("l_tokens", "tokens")) == 0)
-        .select("l_id", F.lit(1).cast("bigint").alias("n"), "code")
-    )
-    found = looked_up.unionByName(listed).groupBy("l_id").agg(
+    long_names = _too_long(registry)
+    if not long_names.isEmpty():
+        # A candidate too long for the index must at least hold the first token of the row.
+        by_first = listing.filter(F.size("tokens") > 0).select(
+            "l_id", "state", F.element_at("tokens", 1).alias("token"), F.col("tokens").alias("l_tokens")
+        )
+        listed = by_first.join(
+            long_names.select("state", "code", "tokens", F.explode("tokens").alias("token")),
+            ["state", "token"],
+        )
+        looked_up = looked_up.unionByName(
+            listed.filter(F.size(F.array_except("l_tokens", "tokens")) == 0)
+            .select("l_id", F.lit(1).cast("bigint").alias("n"), "code")
+        )
+    found = looked_up.groupBy("l_id").agg(
         F.sum("n").alias("n"), F.min("code").alias("contain_code")
     )
     return found.filter("n = 1").select("l_id", "contain_code")
@@ -414,8 +428,8 @@ def crosswalk(
     Unmatched rows carry their best similarity as a hint; without ``unmatched_scores`` pairs
     that cannot reach the threshold are skipped, codes and methods stay the same, and that
     hint may be lower or null.
-    The table of early decisions is checkpointed once, because the fuzzy stage reads it
-    twice: for the names still open and for the final result.
+    The early decisions feed the fuzzy stage and the result, so that slim table is
+    checkpointed instead of being computed again.
     """
     none = F.lit(None)
     decisions = overrides.select("name_key", "state", F.col("code").alias("override_code"))
@@ -511,6 +525,6 @@ def weak_matches(matches: DataFrame, registry: DataFrame, max_df: float = GENERI
     names = registry.select(F.col(code).alias("code"), F.col(name).alias("r_name"))
     pairs = matches.filter(F.col("code").isNotNull()).join(names, "code")
     shared = F.array_except(
-        F.array_intersect(normalize_tokens("l_name"), normalize_tokens("r_name")), generic
+        F.array_intersect(distinct_tokens("l_name"), distinct_tokens("r_name")), generic
     )
     return pairs.filter(F.size(shared) == 0).select("l_id", "l_name", "r_name", "code", "method")

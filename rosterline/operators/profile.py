@@ -11,6 +11,7 @@ from ..constants import AGE_BANDS, SUPPRESSION_THRESHOLD, TOP_VALUES, WINDOW_DAY
 from ..functions.base import as_col
 from ..functions.dates import age_at, band, duration_days
 from ..functions.numeric import gated_ratio, suppress
+from ..session import cut_lineage
 from .frames import top_rows_per_key, trailing_window
 from .quantiles import group_quantiles
 
@@ -151,66 +152,68 @@ def profile(
     amount_posted: str,
     threshold: int = SUPPRESSION_THRESHOLD,
     k: int = TOP_VALUES,
+    keep: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Per-entity profile of events that already carry age, age_band and los_days.
 
     Returns ``stats`` (one wide row per entity) and ``cells`` (long suppressed counts
     ``key, dim, value, n``).  ``dims`` and ``top_dims`` map a published dimension name to
     its column.  ``stays_in_window`` is published raw by design.
+
+    The events are read five times.  A pruned parquet scan is best simply read again; set
+    ``keep`` when they come out of a join, and they are checkpointed first.
     """
-    df = with_known_key(df, key)
-    base = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("stays_in_window"),
-        suppressed_count("age", threshold).alias("age_known"),
-        gated_median("age", threshold).alias("age_median"),
-        suppressed_count("los_days", threshold).alias("n_completed"),
-        suppressed_count(amount_set, threshold).alias("n_set"),
-        suppressed_count(amount_posted, threshold).alias("n_posted"),
+    columns = {**dims, **top_dims}
+    df = with_known_key(df, key).select(
+        key, F.col(person).alias("_person"), "age", "los_days",
+        F.col(amount_set).alias("_set"), F.col(amount_posted).alias("_posted"),
+        F.col("age_band").alias("age_bands"),
+        *[F.col(column).alias(name) for name, column in columns.items()],
+    )
+    if keep:
+        df = cut_lineage(df)
+    people = df.groupBy(key, "_person").agg(
+        F.count(F.lit(1)).alias("stays"), F.count("age").alias("ages"),
+        F.count("los_days").alias("completed"), F.count("_set").alias("set"),
+        F.count("_posted").alias("posted"), F.min("_set").alias("lowest"),
     )
-    measures = {"los_days": 1, amount_set: 2, amount_posted: 2}
-    spread = group_quantiles(df, [key], list(measures), [0.5, 0.9])
+    known = F.col("_person").isNotNull()
+    counted = people.groupBy(key).agg(
+        F.sum("stays").alias("stays_in_window"),
+        suppress(F.sum("ages"), threshold).alias("age_known"),
+        suppress(F.sum("completed"), threshold).alias("n_completed"),
+        suppress(F.sum("set"), threshold).alias("n_set"),
+        suppress(F.sum("posted"), threshold).alias("n_posted"),
+        F.count("_person").alias("people"),
+        F.count_if(known & F.col("lowest").isNotNull()).alias("with_amount"),
+    )
+    digits = {"age": 1, "los_days": 1, "_set": 2, "_posted": 2, "lowest": 2}
 
-    def figure(measure: str, q: int) -> Column:
-        digits = measures[measure]
+    def figure(measure: str, q: int, name: str) -> Column:
         wanted = (F.col("measure") == measure) & (F.col("n") >= threshold)
-        return F.max(F.when(wanted, F.bround(F.col(f"q_{q}"), digits)))
+        return F.max(F.when(wanted, F.bround(F.col(f"q_{q}"), digits[measure]))).alias(name)
 
+    spread = group_quantiles(df, [key], ["age", "los_days", "_set", "_posted"], [0.5, 0.9])
     figures = spread.groupBy(key).agg(
-        figure("los_days", 0).alias("los_median"),
-        figure("los_days", 1).alias("los_p90"),
-        figure(amount_set, 0).alias("median_set"),
-        figure(amount_posted, 0).alias("median_posted"),
-    )
-    share = person_share(df, key, person, amount_set, threshold).withColumnRenamed(
-        "share", "person_recorded_set_share"
-    )
-    people = person_level_median(df, key, person, amount_set, threshold).select(
-        key,
-        F.col("people_with_amount").alias("people_with_recorded_set"),
-        F.col("person_median").alias("person_median_set"),
-    )
-    nobody = suppress(F.lit(0), threshold)
-    stats = (
-        base.join(figures, key, "left").join(share, key, "left").join(people, key, "left")
-    ).withColumns(
-        {
-            "unique_people": F.coalesce("unique_people", nobody),
-            "people_with_recorded_set": F.coalesce("people_with_recorded_set", nobody),
-        }
+        figure("age", 0, "age_median"),
+        figure("los_days", 0, "los_median"), figure("los_days", 1, "los_p90"),
+        figure("_set", 0, "median_set"), figure("_posted", 0, "median_posted"),
     )
-    renamed = df.select(
-        key,
-        F.col("age_band").alias("age_bands"),
-        *[F.col(column).alias(name) for name, column in {**dims, **top_dims}.items()],
+    person_figures = group_quantiles(people.filter(known), [key], ["lowest"], [0.5]).groupBy(key).agg(
+        figure("lowest", 0, "person_median_set")
     )
-    counts = value_counts(renamed, key, ["age_bands", *dims, *top_dims])
-    cells = counts.filter(~F.col("dim").isin(*top_dims)) if top_dims else counts
+    stats = counted.join(figures, key, "left").join(person_figures, key, "left").select(
+        "*",
+        suppress("people", threshold).alias("unique_people"),
+        suppress("with_amount", threshold).alias("people_with_recorded_set"),
+        gated_ratio("with_amount", "people", threshold).alias("person_recorded_set_share"),
+    ).drop("people", "with_amount")
+
+    cells = value_counts(df, key, ["age_bands", *dims])
     if top_dims:
         ranked = top_rows_per_key(
-            counts.filter(F.col("dim").isin(*top_dims)),
-            [key, "dim"],
-            [F.col("n").desc(), F.col("value")],
-            k,
+            value_counts(df, key, list(top_dims)), [key, "dim"],
+            [F.col("n").desc(), F.col("value")], k,
         )
         cells = cells.unionByName(ranked)
     return stats, suppress_counts(cells, threshold)

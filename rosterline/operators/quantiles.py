@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_few
+from ..session import broadcast_if_few, cut_lineage
 
 # Groups up to this size keep all their distinct values: a fixed bound per window partition.
 WHOLE_GROUP_ROWS = 100_000
@@ -51,8 +51,8 @@ def group_quantiles(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx("v", edges, ACCURACY).alias("edges"),
     )
-    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1)
-    sketch = broadcast_if_few(sketch, groups)
+    # One short row per group: kept, so that its size is known before it is joined.
+    sketch = broadcast_if_few(cut_lineage(sketch))
 
     count = len(quantiles)
     low, high = F.slice("edges", 1, count), F.slice("edges", count + 1, count)

@@ -170,7 +170,7 @@ def _profiles(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> tuple
         dims={"gender": "gender", "release_reason": "release_reason",
               "book_in_criminality": "criminality", "classification": "classification"},
         top_dims={"top_citizenship": "birth_year"},
-        amount_set="amount_set", amount_posted="amount_posted",
+        amount_set="amount_set", amount_posted="amount_posted", keep=True,
     )
 
 

@@ -55,11 +55,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_few(df: DataFrame, keys: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that ``keys`` holds at most ``limit`` rows.
+def broadcast_if_few(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """Mark a checkpointed table for broadcast only after counting at most ``limit`` rows.
 
-    ``keys`` is a cheap stand-in with at least as many rows as ``df``.  Past the limit the
-    frame is returned unmarked and Spark joins it by shuffle.
+    Past the limit it is returned unmarked, and Spark joins it by shuffle.
     """
-    few = keys.limit(limit + 1).count() <= limit
+    few = df.limit(limit + 1).count() <= limit
     return F.broadcast(df) if few else df

@@ -16,6 +16,7 @@ from ..functions.dates import public_status, strict_iso_date
 from ..functions.numeric import whole_dollars
 from ..functions.records import category_struct
 from ..functions.text import contains_identifier, is_safe_https
+from .frames import explode_rows
 
 
 def _unknown_or(value: Column, broken: Column) -> Column:
@@ -56,17 +57,13 @@ def check_campaigns(
 
     A repeated case id is reported on every row after the first.
     """
-    broken = F.array_compact(
-        F.array(
-            *[
-                F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule")))
-                for field, rule, bad in campaign_rules(as_of, identifier)
-            ]
-        )
-    )
-    per_row = df.select("row_id", "case_id", F.explode(broken).alias("b")).select(
-        "row_id", "case_id", "b.*"
+    broken = F.array(
+        *[
+            F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule")))
+            for field, rule, bad in campaign_rules(as_of, identifier)
+        ]
     )
+    per_row = explode_rows(df, ["row_id", "case_id"], broken, "b").select("row_id", "case_id", "b.*")
     first = df.groupBy("case_id").agg(F.min("row_id").alias("first_row"), F.count(F.lit(1)).alias("n"))
     repeats = df.join(first.filter("n > 1"), "case_id").filter("row_id > first_row").select(
         "row_id", "case_id", F.lit("case_id").alias("field"), F.lit("duplicate").alias("rule")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import MIN_MATCH_RATE, SUPPRESSION_THRESHOLD, WITHIN_TOLERANCE
 from ..functions.numeric import total_skip_null, total_strict
 from .assemble import POPULATION_PARTS
-from .frames import extremes
+from .frames import explode_rows, extremes
 from .quantiles import group_quantiles
 
 EXEMPT_KEYS = ("stays_in_window", "suppression_threshold", "age_median")
@@ -173,7 +173,7 @@ def check_profiles(
                 F.struct(F.lit("median_without_sample"), F.lit(median)),
             )
         )
-    bad_stats = stats.select(key, F.explode(F.array_compact(F.array(*problems))).alias("p")).select(
+    bad_stats = explode_rows(stats, [key], F.array(*problems), "p").select(
         F.col("p.col1").alias("rule"), F.col(key).cast("string").alias("key"), F.col("p.col2").alias("detail")
     )
     return bad_cells.unionByName(bad_stats)
@@ -202,8 +202,8 @@ def check_build(placed: DataFrame, unplaced: DataFrame, registry: DataFrame) ->
         "uncited_company": p["operator"]["company"].isNotNull(),
         "unexplained_point": (p["approx"] == 1) & (F.coalesce(p["location_note"], F.lit("")) == ""),
     }
-    hits = F.array_compact(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules.items()]))
-    broken = placed.select("code", F.explode(hits).alias("rule")).select(
+    hits = F.array(*[F.when(cond, F.lit(rule)) for rule, cond in rules.items()])
+    broken = explode_rows(placed, ["code"], hits, "rule").select(
         "rule", F.col("code").cast("string").alias("key"), F.lit(None).cast("string").alias("detail")
     )
     return lost.unionByName(doubled).unionByName(broken)
@@ -284,7 +284,7 @@ def check_fidelity(shipped: DataFrame, expected: DataFrame, fields: Sequence[str
                 F.struct(F.lit(f), F.concat_ws(" <> ", ours.cast("string"), source.cast("string"))),
             )
         )
-    return both.select(key, F.explode(F.array_compact(F.array(*problems))).alias("p")).select(
+    return explode_rows(both, [key], F.array(*problems), "p").select(
         F.concat(F.lit("fidelity."), F.col("p.col1")).alias("rule"),
         F.col(key).cast("string").alias("key"), F.col("p.col2").alias("detail"),
     )

@@ -38,6 +38,20 @@ def clean(df: DataFrame) -> DataFrame:
     )
 
 
+def explode_rows(
+    df: DataFrame, columns: Sequence[str | Column], values: Column, name: str, position: str | None = None
+) -> DataFrame:
+    """``columns`` and one row per non-null element of a computed array.
+
+    A plain ``explode`` makes Spark filter on the array first, which evaluates a computed one
+    twice more; the outer form with a filter after it evaluates it once.
+    """
+    each = F.explode_outer(values).alias(name)
+    if position is not None:
+        each = F.posexplode_outer(values).alias(position, name)
+    return df.select(*columns, each).filter(F.col(name).isNotNull())
+
+
 def trailing_window(
     df: DataFrame, ts: str, days: int = WINDOW_DAYS, align: str = "day"
 ) -> DataFrame:

@@ -8,17 +8,15 @@ from pyspark.sql import functions as F
 from ..constants import BOX_PAD_DEGREES, COUNTY_SOURCE, PLACE_SOURCE, STATE_SOURCE
 from ..functions.display import python_title
 from ..functions.places import candidate_places, normalize_place, place_keys
-from .frames import argmax_by, union_prefer
+from .frames import argmax_by, explode_rows, union_prefer
 
 NAMES_COUNTY = r"(?i)\bcounty\b"
 
 
 def place_entries(places: DataFrame) -> DataFrame:
     """Every lookup key of every gazetteer line: ``state, place, pos, area, latitude, ...``."""
-    return places.select(
-        "state", "area", "latitude", "longitude", "row_id",
-        F.posexplode(place_keys("name")).alias("pos", "place"),
-    )
+    columns = ["state", "area", "latitude", "longitude", "row_id"]
+    return explode_rows(places, columns, place_keys("name"), "place", "pos")
 
 
 def fill_aliases(primary: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -66,10 +64,8 @@ def bounding_boxes(county: DataFrame) -> DataFrame:
 
 
 def _candidates(df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.select(
-        key, "state_key", F.col(name).alias("_name"),
-        F.posexplode(candidate_places(name, "state_key")).alias("pos", "place"),
-    )
+    columns = [key, "state_key", F.col(name).alias("_name")]
+    return explode_rows(df, columns, candidate_places(name, "state_key"), "place", "pos")
 
 
 def _first_hit(hits: DataFrame, key: str, alias: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from ..constants import FUZZY_THRESHOLD, GENERIC_TOKEN_MAX_DF
 from ..functions.text import distinct_tokens, normalize_tokens, zip5
 from ..session import cut_lineage
+from .frames import explode_rows
 
 MAX_INDEXED_TOKENS = 8
 POSTING_CHUNK = 5_000
@@ -41,7 +42,7 @@ def token_frequency(df: DataFrame, name: str) -> DataFrame:
     """``(token, df, share)``: in how many names a token occurs, out of all names."""
     tokens = df.select(distinct_tokens(name).alias("tokens"))
     total = tokens.select(F.count(F.lit(1)).alias("n")).scalar()
-    per_token = tokens.select(F.explode("tokens").alias("token")).groupBy("token")
+    per_token = explode_rows(tokens, [], F.col("tokens"), "token").groupBy("token")
     return per_token.agg(F.count(F.lit(1)).alias("df")).select(
         "token", "df", (F.col("df") / total).alias("share")
     )
@@ -136,7 +137,7 @@ def _too_long(df: DataFrame) -> DataFrame:
 
 
 def _subset_rows(df: DataFrame, *columns: str) -> DataFrame:
-    exploded = _indexed(df).select(*columns, F.explode(_subsets(F.col("tokens"))).alias("_set"))
+    exploded = explode_rows(_indexed(df), columns, _subsets(F.col("tokens")), "_set")
     return exploded.select(
         *columns, F.array_join("_set", " ").alias("subset"), F.size("_set").alias("width")
     )

@@ -12,6 +12,7 @@ from ..constants import (
 )
 from ..functions.base import blank_to_null
 from ..functions.display import display_avg
+from .frames import explode_rows
 
 IDENTITY = ("name", "city", "state")
 
@@ -96,10 +97,9 @@ def classify_changes(
             F.when(both & ~was[field].eqNullSafe(now[field]), _change("attributes", text, field))
         )
     label = F.when(now.isNull(), _label(was, F.col(key))).otherwise(_label(now, F.col(key)))
-    return joined.select(
-        key, label.alias("label"), old.alias("old_value"), new.alias("new_value"),
-        F.explode(F.array_compact(F.array(*changes))).alias("change"),
-    ).select(key, "label", "change.*", "old_value", "new_value")
+    columns = [key, label.alias("label"), old.alias("old_value"), new.alias("new_value")]
+    listed = explode_rows(joined, columns, F.array(*changes), "change")
+    return listed.select(key, "label", "change.*", "old_value", "new_value")
 
 
 def release_diff(before: DataFrame, after: DataFrame, key: str = "code", value: str = "adp",

@@ -320,14 +320,13 @@ def q_check_match_rate(spark, sf_dir):
 
 @query
 def q_place_keys(spark, sf_dir):
-    return s.places(spark, sf_dir).select("row_id", F.posexplode(place_keys("name")).alias("pos", "place"))
+    return frames.explode_rows(s.places(spark, sf_dir), ["row_id"], place_keys("name"), "place", "pos")
 
 
 @query
 def q_candidates(spark, sf_dir):
-    return s.entities(spark, sf_dir).select(
-        "p_partkey", F.posexplode(candidate_places("name", "state")).alias("pos", "place")
-    )
+    found = candidate_places("name", "state")
+    return frames.explode_rows(s.entities(spark, sf_dir), ["p_partkey"], found, "place", "pos")
 
 
 @query

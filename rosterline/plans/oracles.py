@@ -222,7 +222,9 @@ pairs AS (
     SELECT DISTINCT l.l_id, l.norm AS l_norm, r.code, r.r_order, r.norm AS r_norm
     FROM (SELECT l_id, state, norm, unnest(toks) AS tok FROM lst) l
     JOIN (SELECT code, r_order, state, norm, unnest(toks) AS tok FROM reg) r
-      ON l.state = r.state AND l.tok = r.tok),
+      ON l.state = r.state AND l.tok = r.tok
+    UNION ALL
+    SELECT l.l_id, l.norm, r.code, r.r_order, r.norm FROM lst l JOIN reg r ON l.state = r.state WHERE len(l.toks) = 0),
 scored AS (
     SELECT l_id, code, r_order,
            (greatest(length(l_norm), length(r_norm)) - levenshtein(l_norm, r_norm))

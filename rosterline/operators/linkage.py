@@ -34,6 +34,7 @@ from .frames import explode_rows
 MAX_INDEXED_TOKENS = 8
 POSTING_CHUNK = 5_000
 ANY_TOKEN = "*"
+ZIP_CLASS = ["state", "zip5", "tokens"]
 
 
 # --- tokens -----------------------------------------------------------------
@@ -156,30 +157,26 @@ def _subset_index(registry: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _long_name_overlaps(listing: DataFrame, registry: DataFrame) -> DataFrame | None:
+def _long_name_overlaps(classes: DataFrame, registry: DataFrame) -> DataFrame | None:
     """Exact overlaps of pairs in which a name is too long for the index; None without such names."""
 
-    def postings(df: DataFrame, side: str, *columns: str) -> DataFrame:
-        return df.select(
-            "state", "zip5", F.explode("tokens").alias("token"),
-            *[F.col(c) for c in columns], F.col("tokens").alias(f"{side}_tokens"),
-        )
+    def postings(df: DataFrame, *columns: Column) -> DataFrame:
+        return df.select("state", "zip5", F.explode("tokens").alias("token"), *columns)
 
     keys = ["state", "zip5", "token"]
-    long_left, long_right = _too_long(listing), _too_long(registry)
+    mine, theirs = [F.col("tokens")], [F.col("tokens").alias("r_tokens"), F.col("code")]
+    long_left, long_right = _too_long(classes), _too_long(registry)
     parts = []
     if not long_left.isEmpty():
-        parts.append(postings(long_left, "l", "l_id").join(postings(registry, "r", "code"), keys))
+        parts.append(postings(long_left, *mine).join(postings(registry, *theirs), keys))
     if not long_right.isEmpty():
-        parts.append(
-            postings(_indexed(listing), "l", "l_id").join(postings(long_right, "r", "code"), keys)
-        )
+        parts.append(postings(_indexed(classes), *mine).join(postings(long_right, *theirs), keys))
     if not parts:
         return None
-    shared = F.array_intersect("l_tokens", "r_tokens")
+    shared = F.array_intersect("tokens", "r_tokens")
     pairs = reduce(DataFrame.unionByName, parts)
     return pairs.filter(F.array_min(shared) == F.col("token")).select(
-        "l_id", F.size(shared).alias("width"), F.lit(1).cast("bigint").alias("n"),
+        *ZIP_CLASS, F.size(shared).alias("width"), F.lit(1).cast("bigint").alias("n"),
         F.col("code").alias("first_code"), F.col("code").alias("last_code"),
     )
 
@@ -194,35 +191,42 @@ def link_override(listing: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
-def zip_evidence(listing: DataFrame, registry: DataFrame) -> DataFrame:
-    """What shared zip plus shared distinctive tokens say about each listing row.
-
-    ``(l_id, only, top_code, top_n, score)``: ``only`` is whether exactly one candidate
-    shares a token at the zip; ``top_n`` candidates share the largest number of tokens.
-    """
-    known = listing.filter(F.col("zip5").isNotNull())
+def _evidence_by_class(listing: DataFrame, registry: DataFrame) -> DataFrame:
+    """Zip evidence once per distinct (state, zip, tokens) of the listing, copies share it."""
+    classes = listing.filter(F.col("zip5").isNotNull()).select(*ZIP_CLASS).distinct()
     at_zip = registry.filter(F.col("zip5").isNotNull())
     keys = ["state", "zip5"]
     hits = (
-        _subset_rows(known, "l_id", *keys)
+        _subset_rows(classes, *ZIP_CLASS)
         .join(_subset_index(at_zip, keys), [*keys, "subset"])
-        .select("l_id", "width", "n", "first_code", "last_code")
+        .select(*ZIP_CLASS, "width", "n", "first_code", "last_code")
     )
-    long_names = _long_name_overlaps(known, at_zip)
+    long_names = _long_name_overlaps(classes, at_zip)
     if long_names is not None:
         hits = hits.unionByName(long_names)
-    per_width = hits.groupBy("l_id", "width").agg(
+    per_width = hits.groupBy(*ZIP_CLASS, "width").agg(
         F.sum("n").alias("n"), F.min("first_code").alias("low"), F.max("last_code").alias("high")
     )
-    return per_width.groupBy("l_id").agg(
+    return per_width.groupBy(*ZIP_CLASS).agg(
         (F.min("low") == F.max("high")).alias("only"),
         F.max(F.struct("width", "n", F.col("low").alias("code"))).alias("top"),
     ).select(
-        "l_id", "only", F.col("top.code").alias("top_code"), F.col("top.n").alias("top_n"),
+        *ZIP_CLASS, "only", F.col("top.code").alias("top_code"), F.col("top.n").alias("top_n"),
         F.col("top.width").alias("top_width"),
     )
 
 
+def zip_evidence(listing: DataFrame, registry: DataFrame) -> DataFrame:
+    """What shared zip plus shared distinctive tokens say about each listing row.
+
+    ``(l_id, tokens, only, top_code, top_n, top_width)``: ``only`` is whether exactly one
+    candidate shares a token at the zip; ``top_n`` candidates share ``top_width`` tokens, the
+    largest number.
+    """
+    found = listing.select("l_id", *ZIP_CLASS).join(_evidence_by_class(listing, registry), ZIP_CLASS)
+    return found.select("l_id", "tokens", "only", "top_code", "top_n", "top_width")
+
+
 def _token_share() -> Column:
     return F.bround(F.col("top_width") / F.greatest(F.size("tokens"), F.lit(1)), 3)
 
@@ -241,7 +245,7 @@ def link_key_token(listing: DataFrame, registry: DataFrame) -> DataFrame:
 def link_strict_winner(listing: DataFrame, registry: DataFrame) -> DataFrame:
     """Stage 3, several candidates at the zip and one shares strictly more tokens than the rest."""
     several = zip_evidence(listing, registry).filter("not only and top_n = 1")
-    return several.join(listing.select("l_id", "tokens"), "l_id").select(
+    return several.select(
         "l_id",
         F.col("top_code").alias("code"),
         F.lit("zip+token:multi").alias("method"),
@@ -263,35 +267,36 @@ def link_exact(listing: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def _containment(listing: DataFrame, registry: DataFrame) -> DataFrame:
-    """``(l_id, contain_code)`` where one candidate alone holds all distinctive tokens."""
-    whole = _indexed(listing).select("l_id", "state", F.array_join("tokens", " ").alias("subset"))
-    looked_up = whole.join(_subset_index(registry, ["state"]), ["state", "subset"]).select(
-        "l_id", "n", F.col("first_code").alias("code")
+def _containment_by_class(listing: DataFrame, registry: DataFrame) -> DataFrame:
+    """``(state, tokens, contain_code)`` where one candidate alone holds all the tokens."""
+    keys = ["state", "tokens"]
+    classes = listing.filter(F.size("tokens") > 0).select(*keys).distinct()
+    whole = _indexed(classes).withColumn("subset", F.array_join("tokens", " "))
+    found = whole.join(_subset_index(registry, ["state"]), ["state", "subset"]).select(
+        *keys, "n", F.col("first_code").alias("code")
     )
     long_names = _too_long(registry)
     if not long_names.isEmpty():
         # A candidate too long for the index must at least hold the first token of the row.
-        by_first = listing.filter(F.size("tokens") > 0).select(
-            "l_id", "state", F.element_at("tokens", 1).alias("token"), F.col("tokens").alias("l_tokens")
-        )
+        by_first = classes.withColumn("token", F.element_at("tokens", 1))
         listed = by_first.join(
-            long_names.select("state", "code", "tokens", F.explode("tokens").alias("token")),
+            long_names.select(
+                "state", "code", F.col("tokens").alias("r_tokens"), F.explode("tokens").alias("token")
+            ),
             ["state", "token"],
         )
-        looked_up = looked_up.unionByName(
-            listed.filter(F.size(F.array_except("l_tokens", "tokens")) == 0)
-            .select("l_id", F.lit(1).cast("bigint").alias("n"), "code")
+        found = found.unionByName(
+            listed.filter(F.size(F.array_except("tokens", "r_tokens")) == 0)
+            .select(*keys, F.lit(1).cast("bigint").alias("n"), "code")
         )
-    found = looked_up.groupBy("l_id").agg(
-        F.sum("n").alias("n"), F.min("code").alias("contain_code")
-    )
-    return found.filter("n = 1").select("l_id", "contain_code")
+    counted = found.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("code").alias("contain_code"))
+    return counted.filter("n = 1").drop("n")
 
 
 def link_containment(listing: DataFrame, registry: DataFrame) -> DataFrame:
     """Stage 5, all distinctive tokens occur in one candidate of the state and in no other."""
-    return _containment(listing, registry).select(
+    found = listing.join(_containment_by_class(listing, registry), ["state", "tokens"])
+    return found.select(
         "l_id",
         F.col("contain_code").alias("code"),
         F.lit("distinctive-token").alias("method"),
@@ -438,9 +443,9 @@ def crosswalk(
     joined = (
         listing.join(decisions, ["name_key", "state"], "left")
         .join(blocks, "state", "left")
-        .join(zip_evidence(listing, registry), "l_id", "left")
+        .join(_evidence_by_class(listing, registry), ZIP_CLASS, "left")
         .join(_exact_index(registry), ["state", "norm"], "left")
-        .join(_containment(listing, registry), "l_id", "left")
+        .join(_containment_by_class(listing, registry), ["state", "tokens"], "left")
     )
 
     def outcome(code: Column, name: str, score: Column = none) -> Column:

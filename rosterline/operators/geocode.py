@@ -64,21 +64,21 @@ def bounding_boxes(county: DataFrame) -> DataFrame:
 
 
 def _candidates(df: DataFrame, key: str, name: str) -> DataFrame:
-    columns = [key, "state_key", F.col(name).alias("_name")]
-    return explode_rows(df, columns, candidate_places(name, "state_key"), "place", "pos")
+    columns = [key, "_state", F.col(name).alias("_name")]
+    return explode_rows(df, columns, candidate_places(name, "_state"), "_place", "_pos")
 
 
 def _first_hit(hits: DataFrame, key: str, alias: str) -> DataFrame:
-    first = F.min(F.struct("pos", "latitude", "longitude", "place"))
+    first = F.min(F.struct("_pos", "latitude", "longitude", F.col("_place").alias("place")))
     return hits.groupBy(key).agg(first.alias(alias))
 
 
 def first_candidate_hit(df: DataFrame, places: DataFrame, key: str, name: str = "name",
                         state: str = "state") -> DataFrame:
     """``(key, hit)``: the earliest candidate of the name that the gazetteer knows in the state."""
-    keyed = df.withColumn("state_key", F.upper(F.trim(state)))
-    table = places.withColumnRenamed("state", "state_key")
-    return _first_hit(_candidates(keyed, key, name).join(table, ["state_key", "place"]), key, "hit")
+    keyed = df.withColumn("_state", F.upper(F.trim(state)))
+    table = places.withColumnsRenamed({"state": "_state", "place": "_place"})
+    return _first_hit(_candidates(keyed, key, name).join(table, ["_state", "_place"]), key, "hit")
 
 
 def county_hit(df: DataFrame, counties: DataFrame, key: str, name: str = "name",
@@ -92,10 +92,10 @@ def county_hit(df: DataFrame, counties: DataFrame, key: str, name: str = "name",
 
 def state_hit(df: DataFrame, states: DataFrame, key: str, state: str = "state") -> DataFrame:
     points = states.select(
-        F.col("state").alias("state_key"), F.struct("latitude", "longitude").alias("hit")
+        F.col("state").alias("_state"), F.struct("latitude", "longitude").alias("hit")
     )
-    keyed = df.select(key, F.upper(F.trim(state)).alias("state_key"))
-    return keyed.join(points, "state_key").select(key, "hit")
+    keyed = df.select(key, F.upper(F.trim(state)).alias("_state"))
+    return keyed.join(points, "_state").select(key, "hit")
 
 
 def _located(hit: Column, precision: str, matched: Column, source: str) -> Column:
@@ -127,58 +127,58 @@ def geocode(
     """
     missing = F.col(lat).isNull() | F.col(lon).isNull()
     state_key = F.upper(F.trim(F.coalesce(F.col(state), F.lit(""))))
-    keyed = df.withColumn("state_key", F.when(missing & (state_key != ""), state_key))
-    todo = keyed.filter(F.col("state_key").isNotNull())
+    keyed = df.withColumn("_state", F.when(missing & (state_key != ""), state_key))
+    todo = keyed.filter(F.col("_state").isNotNull())
 
     # One pass over the name candidates serves both gazetteers.
     found = (
         _candidates(todo, key, name)
         .join(places.select(
-            F.col("state").alias("state_key"), "place",
+            F.col("state").alias("_state"), F.col("place").alias("_place"),
             F.struct("latitude", "longitude").alias("_city"),
-        ), ["state_key", "place"], "left")
+        ), ["_state", "_place"], "left")
         .join(counties.select(
-            F.col("state").alias("state_key"), F.col("county").alias("place"),
+            F.col("state").alias("_state"), F.col("county").alias("_place"),
             F.struct("latitude", "longitude").alias("_county"),
-        ), ["state_key", "place"], "left")
+        ), ["_state", "_place"], "left")
         .filter(F.col("_city").isNotNull() | F.col("_county").isNotNull())
     )
     says_county = F.col("_name").rlike(NAMES_COUNTY)
     hits = found.groupBy(key).agg(
-        F.min(F.when(F.col("_city").isNotNull(), F.struct("pos", "place", "_city.*"))).alias("city"),
+        F.min(F.when(F.col("_city").isNotNull(), F.struct("_pos", F.col("_place").alias("place"), "_city.*"))).alias("_city_hit"),
         F.min(
-            F.when(says_county & F.col("_county").isNotNull(), F.struct("pos", "place", "_county.*"))
-        ).alias("county_point"),
+            F.when(says_county & F.col("_county").isNotNull(), F.struct("_pos", F.col("_place").alias("place"), "_county.*"))
+        ).alias("_county_hit"),
     )
     states = centroids(counties).select(
-        F.col("state").alias("state_key"), F.struct("latitude", "longitude").alias("state_point")
+        F.col("state").alias("_state"), F.struct("latitude", "longitude").alias("_state_hit")
     )
     located = F.coalesce(
-        F.col("override_point"),
+        F.col("_override_hit"),
         _located(
-            F.col("city"), "city_centroid",
-            F.concat(python_title(F.col("city.place")), F.lit(", "), F.col("state_key")), PLACE_SOURCE,
+            F.col("_city_hit"), "city_centroid",
+            F.concat(python_title(F.col("_city_hit.place")), F.lit(", "), F.col("_state")), PLACE_SOURCE,
         ),
         _located(
-            F.col("county_point"), "county_centroid",
-            F.concat(python_title(F.col("county_point.place")), F.lit(" County, "), F.col("state_key")),
+            F.col("_county_hit"), "county_centroid",
+            F.concat(python_title(F.col("_county_hit.place")), F.lit(" County, "), F.col("_state")),
             COUNTY_SOURCE,
         ),
-        _located(F.col("state_point"), "state_centroid", F.col("state_key"), STATE_SOURCE),
+        _located(F.col("_state_hit"), "state_centroid", F.col("_state"), STATE_SOURCE),
     )
-    joined = keyed.join(hits, key, "left").join(states, "state_key", "left")
+    joined = keyed.join(hits, key, "left").join(states, "_state", "left")
     if overrides is None:
         joined = joined.withColumn(
-            "override_point", _located(F.lit(None).cast("struct<latitude:double,longitude:double>"),
+            "_override_hit", _located(F.lit(None).cast("struct<latitude:double,longitude:double>"),
                                        "", F.lit(""), "")
         )
     else:
         points = overrides.select(
-            F.col("name_key").alias("_name_key"), F.col("state").alias("state_key"),
-            F.col("located").alias("override_point"),
+            F.col("name_key").alias("_name_key"), F.col("state").alias("_state"),
+            F.col("located").alias("_override_hit"),
         )
         joined = joined.withColumn("_name_key", F.upper(F.trim(name))).join(
-            points, ["_name_key", "state_key"], "left"
+            points, ["_name_key", "_state"], "left"
         )
     return joined.select(*[df[c] for c in df.columns], located.alias("located"))
 

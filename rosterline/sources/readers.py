@@ -147,7 +147,7 @@ def load_counties(spark: SparkSession, path: str) -> DataFrame:
     ).dropna(subset=["latitude", "longitude"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
@@ -163,7 +163,7 @@ def load_key_overrides(
 
     Lines without a code are ignored and a missing file is an empty table.
     """
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "name_key string, state string, code string")
     raw = _read_table(spark, path, sep=",").select(
         _upper_key(name).alias("name_key"),
@@ -181,7 +181,7 @@ def load_key_overrides(
 def load_location_overrides(spark: SparkSession, path: str) -> DataFrame:
     """Hand-placed points ``(name_key, state) -> located``; unreadable coordinates are skipped."""
     located = "struct<latitude: double, longitude: double, precision: string, matched_to: string, source: string>"
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], f"name_key string, state string, located {located}")
     raw = _read_table(spark, path, sep=",")
     raw = raw.withColumns(

@@ -83,9 +83,9 @@ def publish(
 
 def current_version(spark: SparkSession, target: str) -> str | None:
     """The version published last, or None before the first publication."""
-    from .readers import _exists
+    from .readers import path_exists
 
-    if not _exists(spark, f"{target}/pointer"):
+    if not path_exists(spark, f"{target}/pointer"):
         return None
     log = spark.read.parquet(f"{target}/pointer")
     row = log.agg(F.max_by("version", "published_at").alias("version")).first()

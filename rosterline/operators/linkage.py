@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..constants import FUZZY_THRESHOLD, GENERIC_TOKEN_MAX_DF
 from ..functions.text import distinct_tokens, normalize_tokens, zip5
-from ..session import cut_lineage
+from ..session import broadcast_if_few, cut_lineage
 from .frames import explode_rows
 
 MAX_INDEXED_TOKENS = 8
@@ -342,10 +342,10 @@ def _chunked_postings(names: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     ``ANY_TOKEN`` lists all names of a state: a listing name without any distinctive token is
     compared with every one of them.  Only states with such a listing name get that list.
     """
-    bare = names.filter(F.size("tokens") == 0).select("state").distinct().withColumn("bare", F.lit(True))
-    candidates = registry.groupBy("state", "norm").agg(
-        F.min(F.struct("r_order", "code")).alias("first"),
-        F.any_value("tokens").alias("r_tokens"),
+    bare = cut_lineage(names.filter(F.size("tokens") == 0).select("state").distinct())
+    bare = broadcast_if_few(bare.withColumn("bare", F.lit(True)))
+    candidates = registry.groupBy("state", "norm", F.col("tokens").alias("r_tokens")).agg(
+        F.min(F.struct("r_order", "code")).alias("first")
     ).join(bare, "state", "left")
     listed = F.when(F.col("bare"), F.array_append("r_tokens", F.lit(ANY_TOKEN)))
     postings = candidates.select(
@@ -359,6 +359,8 @@ def _chunked_postings(names: DataFrame, registry: DataFrame) -> tuple[DataFrame,
     chunks = sizes.filter(F.col("n") > POSTING_CHUNK).select(
         "state", "token", F.ceil(F.col("n") / POSTING_CHUNK).cast("int").alias("chunks")
     )
+    # Only lists longer than one chunk are in here; both sides of the pair join read it.
+    chunks = broadcast_if_few(cut_lineage(chunks))
     cut = postings.join(chunks, ["state", "token"], "left").withColumn(
         "chunk", F.pmod(F.xxhash64("r_norm"), F.coalesce("chunks", F.lit(1))).cast("int")
     )
@@ -374,7 +376,7 @@ def best_fuzzy(
     in registry order wins a tie; a score of zero is no candidate.  Pairs whose lengths alone
     keep them below ``floor`` are not scored, which changes no score of ``floor`` or more.
     """
-    names = listing.select("state", "norm", "tokens").dropDuplicates(["state", "norm"])
+    names = listing.select("state", "norm", "tokens").distinct()
     postings, chunks = _chunked_postings(names, registry)
     wanted = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(ANY_TOKEN)))
     spread = (

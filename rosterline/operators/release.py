@@ -112,10 +112,14 @@ def release_diff(before: DataFrame, after: DataFrame, key: str = "code", value:
 
 
 def release_summary(before: DataFrame, after: DataFrame, changes: DataFrame) -> DataFrame:
-    """One row per figure: releases' sizes and the number of changes of each kind."""
-    sizes = [
-        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("figure"), "n")
-        for name, df in (("before", before), ("after", after))
-    ]
-    per_kind = changes.groupBy(F.col("change_type").alias("figure")).agg(F.count(F.lit(1)).alias("n"))
-    return sizes[0].unionByName(sizes[1]).unionByName(per_kind)
+    """``(figure, n, as_of)``: both releases' sizes and dates, and the changes of each kind."""
+
+    def size(df: DataFrame, name: str) -> DataFrame:
+        day = F.max("as_of") if "as_of" in df.columns else F.lit(None).cast("string")
+        counted = df.agg(F.count(F.lit(1)).alias("n"), day.alias("as_of"))
+        return counted.select(F.lit(name).alias("figure"), "n", "as_of")
+
+    per_kind = changes.groupBy(F.col("change_type").alias("figure")).agg(
+        F.count(F.lit(1)).alias("n"), F.lit(None).cast("string").alias("as_of")
+    )
+    return size(before, "before").unionByName(size(after, "after")).unionByName(per_kind)

@@ -30,7 +30,7 @@ def _spans(df: DataFrame, user: str, ts: str, gap_minutes: float) -> tuple[DataF
     """
     width = int(gap_minutes * 60_000_000)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    return df.withColumns({"_at": micros, "_bucket": F.floor(micros / width)}), F.lit(width)
+    return df.withColumns({"_at": micros, "_bucket": micros - F.pmod(micros, F.lit(width))}), F.lit(width)
 
 
 def _numbered_buckets(buckets: DataFrame, user: str, width: Column) -> DataFrame:

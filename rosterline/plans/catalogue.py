@@ -412,7 +412,8 @@ def q_release_attributes(spark, sf_dir):
 @query
 def q_release_counts(spark, sf_dir):
     before, after = _releases(spark, sf_dir)
-    return release.release_summary(before, after, release.release_diff(before, after))
+    summary = release.release_summary(before, after, release.release_diff(before, after))
+    return summary.select("figure", "n")
 
 
 @query

@@ -117,9 +117,8 @@ def build_records(
 
 def feature_lines(records: DataFrame) -> DataFrame:
     """Records as JSON text, one per line, nulls written out."""
-    return records.select(
-        "code", F.to_json(F.struct("properties"), {"ignoreNullFields": "false"}).alias("value")
-    )
+    line = F.to_json(F.struct("properties"), {"ignoreNullFields": "false"})
+    return records.select("code", "latitude", "longitude", line.alias("value"))
 
 
 def profile_stays(
@@ -185,10 +184,11 @@ def refresh(
         spark, paths, registry, listing, matches, profiles,
         {"registry": as_of, "listing": as_of, "events": window["data_cutoff"]},
     )
+    records = cut_lineage(records)
     placed, unplaced = sinks.split_placed(records)
     report = asm.build_report(records, linkage.match_report(matches), linkage.matches_by_method(matches))
     outputs = {
-        "features": feature_lines(placed).join(placed.select("code", "latitude", "longitude"), "code"),
+        "features": feature_lines(placed),
         "unplaced": feature_lines(unplaced),
         "matches": matches,
         "stats": stats,

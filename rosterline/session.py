@@ -16,6 +16,8 @@ def build_session(app_name: str = "rosterline", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Streamed sessions of a busy client are merged before they are shuffled.
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -107,7 +107,7 @@ def read_located_header(
     starts = spark.createDataFrame(
         [(file, line) for file, (line, _) in headers.items()], "file string, header_line long"
     )
-    body = lines.join(F.broadcast(starts), "file").filter(
+    body = lines.join(starts, "file").filter(
         (F.col("block") > 0) | (F.col("line") > F.col("header_line"))
     )
     parsed = body.select(F.from_csv("value", ddl, {"sep": sep}).alias("row"))

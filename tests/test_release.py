@@ -1,4 +1,6 @@
-from rosterline.operators.release import release_diff
+from pyspark.sql import functions as F
+
+from rosterline.operators.release import release_diff, release_summary
 
 SCHEMA = ("code string, name string, city string, state string, adp double, contract_type string, company string, "
           "last_rating string, last_end_date string")
@@ -80,6 +82,14 @@ def test_added_mirrors_removed(spark):
     assert {c.code for c in forth["removed"]} == {c.code for c in back["added"]} == {"A"}
 
 
+def test_dates_and_sizes_are_carried_through(spark):
+    before = release(spark, row("A")).withColumn("as_of", F.lit("2026-07-20"))
+    after = release(spark, row("A"), row("B")).withColumn("as_of", F.lit("2026-08-03"))
+    summary = release_summary(before, after, release_diff(before, after)).collect()
+    assert {(r.figure, r.n, r.as_of) for r in summary} == {
+        ("before", 1, "2026-07-20"), ("after", 2, "2026-08-03"), ("added", 1, None)}
+
+
 def test_nameless_row_is_labelled_by_code(spark):
     got = diff(spark, [], [row("A", name="")])
     assert got["added"][0].label == "A (Austin, TX)"

@@ -1,10 +1,11 @@
 """Exact quantiles per group without bringing a group into one task.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one buffer.  That
-is right for a bounded domain such as an age.  Here a cheap sketch first narrows each wanted
-quantile of a large group to a thin bracket of values; a second pass counts what lies below
-the bracket and keeps only the values inside it.  Both passes combine on the map side, so a
-group that holds a third of all rows costs its share of the scan and nothing more.
+is right for a bounded domain such as an age.  Here a count tells large groups from small
+ones.  For a large group a sketch narrows each wanted quantile to a thin bracket of values;
+the last pass counts what lies below the bracket and keeps only the values inside it.  All
+passes combine on the map side, so a group that holds a third of all rows costs its share of
+the scan and nothing more.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ def group_quantiles(
     """Rows ``(keys..., measure, n, q_0, q_1, ...)``, one per group and measure with a value.
 
     ``linear`` interpolates between the two neighbouring values, ``upper`` takes the value at
-    rank ``floor(q * n)``.  The result is exact in every case: should a bracket ever miss its
-    rank the query fails rather than return a neighbour.
+    rank ``floor(q * n)``.  Rows with a null key or value are left out.  The result is exact
+    in every case: should a bracket ever miss its rank the query fails rather than return a
+    neighbour.
     """
     if method not in ("linear", "upper"):
         raise ValueError(f"unknown method {method!r}")
@@ -46,27 +48,17 @@ def group_quantiles(
         .unpivot(keys, list(measures), "measure", "v")
         .filter(F.col("v").isNotNull() & ~F.isnan("v"))
     )
-    edges = [max(q - MARGIN, 0.0) for q in quantiles] + [min(q + MARGIN, 1.0) for q in quantiles]
-    sketch = long.groupBy(*ids).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", edges, ACCURACY).alias("edges"),
-    )
     # One short row per group: kept, so that its size is known before it is joined.
-    sketch = broadcast_if_few(cut_lineage(sketch))
-
-    count = len(quantiles)
-    low, high = F.slice("edges", 1, count), F.slice("edges", count + 1, count)
-    inside = F.exists(F.arrays_zip(low.alias("lo"), high.alias("hi")), lambda b: F.col("v").between(b["lo"], b["hi"]))
-    whole = F.col("n") <= whole_group_rows
-    kept = F.when(whole | inside, F.col("v"))
-    # A value outside all brackets only counts: it joins the nearest bracket end below it.
-    anchor = F.when(kept.isNull(), F.array_max(F.filter(high, lambda h: h < F.col("v"))))
-    counted = (
-        long.join(sketch, ids)
-        .select(*ids, "n", kept.alias("kept"), F.coalesce(kept, anchor).alias("place"))
-        .groupBy(*ids, "n", "place", "kept")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
+    groups = cut_lineage(long.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")))
+    large = groups.filter(F.col("n") > whole_group_rows)
+    if large.isEmpty():
+        placed = long.join(broadcast_if_few(groups), ids).select(
+            *ids, "n", F.col("v").alias("kept"), F.col("v").alias("place")
+        )
+    else:
+        sketched = cut_lineage(groups.join(_brackets(long, large, ids, quantiles), ids, "left"))
+        placed = _place_by_bracket(long, broadcast_if_few(sketched), ids, len(quantiles))
+    counted = placed.groupBy(*ids, "n", "place", "kept").agg(F.count(F.lit(1)).alias("weight"))
     in_order = Window.partitionBy(*ids).orderBy(
         F.col("place").asc_nulls_first(), F.col("kept").asc_nulls_last()
     )
@@ -81,6 +73,31 @@ def group_quantiles(
     )
 
 
+def _brackets(
+    long: DataFrame, large: DataFrame, ids: Sequence[str], quantiles: Sequence[float]
+) -> DataFrame:
+    """``(ids..., edges)`` of large groups: the lower ends of all brackets, then the upper ends."""
+    edges = [max(q - MARGIN, 0.0) for q in quantiles] + [min(q + MARGIN, 1.0) for q in quantiles]
+    rows = long.join(broadcast_if_few(large.select(*ids)), list(ids), "left_semi")
+    return rows.groupBy(*ids).agg(F.percentile_approx("v", edges, ACCURACY).alias("edges"))
+
+
+def _place_by_bracket(
+    long: DataFrame, groups: DataFrame, ids: Sequence[str], count: int
+) -> DataFrame:
+    """Values inside a bracket (or of a small group) stay; each other one joins the nearest
+    bracket end below it, where it only counts."""
+    low, high = F.slice("edges", 1, count), F.slice("edges", count + 1, count)
+    inside = F.exists(
+        F.arrays_zip(low.alias("lo"), high.alias("hi")), lambda b: F.col("v").between(b["lo"], b["hi"])
+    )
+    kept = F.when(F.col("edges").isNull() | inside, F.col("v"))
+    anchor = F.when(kept.isNull(), F.array_max(F.filter(high, lambda h: h < F.col("v"))))
+    return long.join(groups, list(ids)).select(
+        *ids, "n", kept.alias("kept"), F.coalesce(kept, anchor).alias("place")
+    )
+
+
 def _position(q: float, method: str) -> Column:
     return F.lit(q) * (F.col("n") - 1) if method == "linear" else F.floor(F.lit(q) * F.col("n"))
 

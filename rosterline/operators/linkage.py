@@ -304,17 +304,29 @@ def link_containment(listing: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def difflib_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+def _ratio_udf():
+    """The similarity as a pandas UDF.
+
+    The function is nested so that it travels to the workers by value: they need pandas and
+    the standard library, not this package.
+    """
+
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        matcher, scores, current = SequenceMatcher(None), [], None
+        for a, b in zip(left, right):
+            if b != current:
+                matcher.set_seq2(b)
+                current = b
+            matcher.set_seq1(a)
+            scores.append(matcher.ratio())
+        return pd.Series(scores, dtype="float64")
+
+    return F.pandas_udf(ratio, T.DoubleType())
+
+
+def difflib_ratio(left: Column | str, right: Column | str) -> Column:
     """Ratcliff-Obershelp similarity, first argument first: the measure is not symmetric."""
-    matcher, scores, current = SequenceMatcher(None), [], None
-    for a, b in zip(left, right):
-        if b != current:
-            matcher.set_seq2(b)
-            current = b
-        matcher.set_seq1(a)
-        scores.append(matcher.ratio())
-    return pd.Series(scores, dtype="float64")
+    return _ratio_udf()(left, right)
 
 
 def levenshtein_ratio(left: Column, right: Column) -> Column:
@@ -323,7 +335,7 @@ def levenshtein_ratio(left: Column, right: Column) -> Column:
 
 
 SIMILARITY = {
-    "difflib": lambda a, b: difflib_ratio(a, b),
+    "difflib": difflib_ratio,
     "levenshtein": levenshtein_ratio,
 }
 

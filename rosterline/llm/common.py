@@ -59,3 +59,26 @@ def text_of(column: str = "text") -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; all other characters stay as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def bit_filter(keys: DataFrame, columns: list[str], bits: int) -> DataFrame:
+    """The keys as a filter of ``bits`` bits: rows (_word, _mask), at most bits / 64 of them."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    one = F.call_function(
+        "shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")
+    )
+    return keys.select(F.shiftright(slot, 6).alias("_word"), one.alias("_bit")).groupBy(
+        "_word"
+    ).agg(F.bit_or("_bit").alias("_mask"))
+
+
+def maybe_in(df: DataFrame, columns: list[str], words: DataFrame, bits: int) -> DataFrame:
+    """``df`` with a boolean ``_maybe``: false only where the filter surely lacks the key.
+
+    The filter has a fixed largest size and is broadcast; ``df`` is not moved. A true value may be
+    mistaken, so callers use it only where a needless row costs time and nothing else.
+    """
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    marked = df.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(words), "_word", "left")
+    hit = F.call_function("getbit", F.col("_mask"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return marked.withColumn("_maybe", F.coalesce(hit, F.lit(0)) == 1).drop("_word", "_mask")

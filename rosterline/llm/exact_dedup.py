@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_of
+from .common import bit_filter, maybe_in, store, text_of
 
 PREFIX_CHARS = 64
 FILTER_BITS = 1 << 24
@@ -38,16 +38,10 @@ def _refined(
     )
     by_length = counts.groupBy("_length").agg(F.sum("n").alias("n_length")).filter("n_length > 1")
     open_keys = counts.join(by_length, "_length").filter("n > 1")
-    slot = F.pmod(F.xxhash64("_length", "_head"), F.lit(filter_bits))
-    word, bit = F.shiftright(slot, 6).alias("_word"), slot.bitwiseAND(F.lit(63)).cast("int")
-    # At most filter_bits / 64 rows, whatever the input.
-    words = open_keys.select(word, F.expr("1L").alias("one"), bit.alias("bit")).select(
-        "_word", F.call_function("shiftleft", F.col("one"), F.col("bit")).alias("mask")
-    ).groupBy("_word").agg(F.bit_or("mask").alias("_mask"))
-    marked = keyed.withColumn("_word", word).join(F.broadcast(words), "_word", "left")
-    hit = F.coalesce(F.call_function("getbit", F.col("_mask"), bit), F.lit(0)) == 1
+    words = bit_filter(open_keys, ["_length", "_head"], filter_bits)
+    marked = maybe_in(keyed, ["_length", "_head"], words, filter_bits)
     return marked.select(
-        "_row", "_id", "_text", F.when(hit, F.sha2(F.col("_text"), 256)).alias("_digest")
+        "_row", "_id", "_text", F.when(F.col("_maybe"), F.sha2(F.col("_text"), 256)).alias("_digest")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterline.session import pin_utc, shared_dir
 
-from . import curriculum, exact_dedup, id_store, packing, simhash, token_counts
+from . import curriculum, exact_dedup, id_store, packing, simhash, suffix_dedup, token_counts
 
 #: Folder of the public vocabulary files, unless the session names another.
 VOCABULARIES = "/opt/tokenizers"
@@ -79,6 +79,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 400 bytes that occur twice."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op7_id_store": op7_id_store,
     "op9_simhash": op9_simhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 

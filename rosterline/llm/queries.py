@@ -10,7 +10,19 @@ from pyspark.sql import functions as F
 
 from rosterline.session import pin_utc, shared_dir
 
-from . import curriculum, exact_dedup, id_store, packing, simhash, suffix_dedup, token_counts
+from . import (
+    curriculum,
+    exact_dedup,
+    id_store,
+    license_scan,
+    packing,
+    quality,
+    simhash,
+    spotsigs,
+    suffix_dedup,
+    token_counts,
+)
+from .common import store
 
 #: Folder of the public vocabulary files, unless the session names another.
 VOCABULARIES = "/opt/tokenizers"
@@ -34,6 +46,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document, by the set-similarity join of its word blocks."""
+    return license_scan.license_report(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(documents(spark, sf_dir), vocabulary(spark, "byte_bpe_50k.json"), end_id=1)
@@ -61,6 +78,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot fingerprint of every document, its edited form, and their likeness."""
+    return spotsigs.compare_edits(documents(spark, sf_dir))
+
+
 def op7_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written, indexed and read back."""
     path = f"{shared_dir(spark).rstrip('/')}/llm/ids-{uuid.uuid4().hex}"
@@ -71,6 +93,18 @@ def op7_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_store.read_back(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the ids is held out from training."""
+    described = store(quality.describe(documents(spark, sf_dir)), "quality-described")
+    model = quality.fit(described, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(described, model).select(
+        "doc_id",
+        (quality.fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     rows = simhash.near_duplicates(simhash.fingerprints(documents(spark, sf_dir)))
@@ -85,11 +119,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
+    "op6_spotsigs": op6_spotsigs,
     "op7_id_store": op7_id_store,
+    "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -113,7 +150,45 @@ _TURNS = " ".join(
     f"WHEN {i} THEN {_sql_due_time(schedule)}" for i, schedule in enumerate(curriculum.SCHEDULES)
 )
 
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_NOTICES = ", ".join(
+    f"('{t.label}', {_sql_list(sorted(set(t.words)))}, {t.needed(license_scan.THRESHOLD)}, "
+    + (f"'{t.telling}')" if t.telling else "NULL)")
+    for t in license_scan.TEMPLATES if not t.phrase
+)
+_PHRASES = ", ".join(
+    f"('{t.label}', {_sql_list(t.words)})" for t in license_scan.TEMPLATES if t.phrase
+)
+
 ORACLES: dict[str, str] = {
+    "op1_license_scan": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents),
+        b AS (SELECT uid, list_slice(words, k * 32 + 1, k * 32 + 64) AS held
+              FROM (SELECT uid, words, unnest(range(0, len(words) // 32 + 1)) AS k FROM d)),
+        t(label, own, need, telling) AS (VALUES {_NOTICES}),
+        m AS (SELECT uid, label, NULL::BIGINT AS start,
+                     len(list_intersect(list_distinct(held), own)) / len(own)::DOUBLE AS score
+              FROM b, t
+              WHERE list_contains(held, telling) AND len(list_intersect(list_distinct(held), own)) >= need),
+        p(label, spelled) AS (VALUES {_PHRASES}),
+        s AS (SELECT uid, label, i AS start, 1.0::DOUBLE AS score
+              FROM (SELECT uid, words, unnest(range(0, len(words))) AS i FROM d), p
+              WHERE list_slice(words, i + 1, i + len(spelled)) = spelled),
+        a AS (SELECT uid, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (start IS NOT NULL) AS base_labels,
+                     string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+              FROM (SELECT * FROM m UNION ALL SELECT * FROM s) GROUP BY uid)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word,
+               last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+               coalesce(score, 0) AS score
+        FROM d LEFT JOIN a USING (uid)""",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

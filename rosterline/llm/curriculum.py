@@ -16,12 +16,13 @@ id are ordered by size and text hash. Empty tables give empty results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, text_of
+from .common import small_batches, store, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -100,7 +101,7 @@ def mix(
     Columns: id, source, size, source_size, target, taken, position and again (the training
     positions of the first and the second pass, null where a pass takes nothing), first_words and
     second_words (what each pass takes). ``max_repeats`` is 1 or 2. With ``carry`` the input row
-    comes along as the struct ``row``.
+    comes along as the struct ``row`` and the result is not sorted.
     """
     text = text_of(text_col)
     kept = [F.struct("*").alias("row")] if carry else []
@@ -165,6 +166,56 @@ def mix(
         "first_words", "second_words", *(["uid"] if carry else []),
     )
     if carry:
-        result = result.join(rows.select("uid", "row"), "uid").drop("uid")
+        return result.join(rows.select("uid", "row"), "uid").drop("uid")
     order = [F.col("position").asc_nulls_last(), F.col(id_col)]
     return result.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def first_words(text: str, words: int) -> str:
+    """The text up to the end of its ``words``-th word."""
+    end = 0
+    for n, found in enumerate(re.finditer(WORD, text), 1):
+        end = found.end()
+        if n >= words:
+            break
+    return text[:end]
+
+
+def training_order(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    length_col: str | None = None, **options,  # noqa: ANN003
+) -> DataFrame:
+    """The mix itself: a row of ``docs`` for every pass that takes it, range-sorted by position.
+
+    A document that a pass takes in part (the last one of its source) is cut after the words
+    taken, and ``length_col``, if named, is set to the code points that are left.
+    """
+    small_batches(docs.sparkSession)
+    mixed = mix(docs, id_col, text_col, source_col, carry=True, **options)
+    passes = mixed.select(
+        "size", "row",
+        F.explode(F.array(
+            F.struct(F.col("position").alias("at"), F.col("first_words").alias("take")),
+            F.struct(F.col("again").alias("at"), F.col("second_words").alias("take")),
+        )).alias("pass"),
+    ).filter("pass.take > 0")
+    names = docs.columns
+    kept = [F.col(f"row.`{c}`").alias(c) for c in names]
+    whole = passes.filter("pass.take = size").select("pass.at", F.struct(*kept).alias("doc"))
+
+    @F.pandas_udf("string")
+    def cut(texts, takes):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([first_words(t, n) for t, n in zip(texts, takes, strict=True)], dtype=object)
+
+    parts = passes.filter("pass.take < size").withColumn(
+        "shorter", cut(text_of(f"row.{text_col}"), F.col("pass.take"))
+    )
+    new = {text_col: F.col("shorter")}
+    if length_col is not None:
+        new[length_col] = F.length("shorter").cast(docs.schema[length_col].dataType)
+    changed = [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names]
+    order = ["at", f"doc.{id_col}"]
+    rows = whole.unionByName(parts.select("pass.at", F.struct(*changed).alias("doc")))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc.*")

@@ -10,58 +10,123 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 CUT = re.compile(r" (?=\S)")
-#: Longer pieces are encoded but not kept; the cache starts anew when it is full.
-CACHED_CHARS, CACHE_PIECES = 64, 1_000_000
+#: A Latin word and ASCII signs or digits after it; both vocabularies begin a new token between.
+WORD_AND_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)((?:[!-@\\[-`{-~].*)?)", re.DOTALL)
+#: Longer pieces are encoded but not kept; a generation of the cache holds so many pieces.
+CACHED_CHARS, CACHE_PIECES = 64, 600_000
+
 
-_encoders: dict[tuple[str, int], Encoder] = {}
 
+def _byte_symbols() -> dict[int, str]:
+    """Symbols of byte-level vocabularies for the bytes that do not show themselves."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + n) for n, b in enumerate(hidden)}
 
-class _Spaced(dict):
-    """Piece (without its leading space) -> its ids as little-endian unsigned 32-bit bytes."""
+
+BYTE_SYMBOLS = _byte_symbols()
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
     """Encodes texts with one vocabulary file, and appends ``end_id`` to each."""
 
     def __init__(self, path: str, end_id: int) -> None:
-        import numpy as np
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.end = np.uint32(end_id).tobytes()
-        self.cache = _Spaced()
+        self.end = array("I", [end_id]).tobytes()
+        #: Symbol of the leading space, and whether the library lower-cases; checked on samples.
+        self.fold = self.tokenizer.normalizer is not None
+        self.lead = "" if self.fold else BYTE_SYMBOLS.get(ord(" "), " ")
+        self.direct = True
+        samples = ["the", "Words", "\u00c9t\u00e9", "stra\u00dfe", "XYZZY", "\u00f1\u00e0\u00ff"]
+        self.direct = self._words(samples) == self._raw([" " + word for word in samples])
+        #: Piece (without its leading space) -> its ids as unsigned 32-bit bytes, in two
+        #: generations: a full one becomes the old one, and pieces still in use move up.
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: The same for signs that follow a word without a space.
+        self.signs: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        encoded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in encoded]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of Latin words, each after a space, straight from the library's merge model."""
+        if not self.direct:
+            return self._raw([" " + word for word in words])
+        tokenize, lead, fold = self.tokenizer.model.tokenize, self.lead, self.fold
+        out = []
+        for word in words:
+            symbols = word.lower() if fold else word
+            if not symbols.isascii():
+                symbols = symbols.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+            out.append(array("I", [token.id for token in tokenize(lead + symbols)]).tobytes())
+        return out
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the cache lacks. A word and the signs after it are looked up apart."""
+        new, cuts, words, others, signs = {}, {}, set(), [], set()
+        for piece in pieces:
+            raw = self.old.get(piece)
+            if raw is not None:
+                new[piece] = raw
+                continue
+            cut = WORD_AND_SIGNS.fullmatch(piece)
+            if cut is None:
+                others.append(piece)
+                continue
+            word, sign = cut.groups()
+            if not sign:
+                words.add(word)
+                continue
+            cuts[piece] = word, sign
+            raw = self.cache.get(word) or self.old.get(word)
+            if raw is not None:
+                new[word] = raw
+            else:
+                words.add(word)
+            if sign not in self.signs:
+                signs.add(sign)
+        names = list(words)
+        new.update(zip(names, self._words(names), strict=True))
+        new.update(zip(others, self._raw([" " + piece for piece in others]), strict=True))
+        tails = dict(zip(signs, self._raw(list(signs)), strict=True))
+        self.signs.update((s, raw) for s, raw in tails.items() if len(s) <= CACHED_CHARS)
+        for piece, (word, sign) in cuts.items():
+            new[piece] = new[word] + (tails.get(sign) or self.signs[sign])
+        self.cache.update((p, raw) for p, raw in new.items() if len(p) <= CACHED_CHARS)
+        return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        """Ids of each text and the end id, as unsigned 32-bit integers."""
+        if len(self.cache) > CACHE_PIECES:
+            self.cache, self.old = {}, self.cache
+        if len(self.signs) > CACHE_PIECES:
+            self.signs = {}
         cut = [CUT.split(text) for text in texts]
-        wanted = {piece for pieces in cut for piece in pieces[1:]} - self.cache.keys()
-        long = {piece for piece in wanted if len(piece) > CACHED_CHARS}
-        wanted -= long
-        if len(self.cache) + len(wanted) > CACHE_PIECES:
-            self.cache = _Spaced()
-            wanted = {p for ps in cut for p in ps[1:] if len(p) <= CACHED_CHARS}
-        names = list(wanted)
-        self.cache.update(zip(names, self._raw([" " + n for n in names]), strict=True))
-        rare = dict(zip(long, self._raw([" " + n for n in long]), strict=True))
-        heads = self._raw([pieces[0] for pieces in cut])
-        look = self.cache.__getitem__
-        if rare:
-            look = lambda piece: rare[piece] if piece in rare else self.cache[piece]
-        return [
-            head + b"".join(map(look, pieces[1:])) + self.end
-            for head, pieces in zip(heads, cut, strict=True)
-        ]
+        heads = self._raw([pieces.pop(0) for pieces in cut])
+        found = [list(map(self.cache.get, pieces)) for pieces in cut]
+        wanted = {
+            piece
+            for pieces, ids in zip(cut, found, strict=True) if None in ids
+            for piece, raw in zip(pieces, ids, strict=True) if raw is None
+        }
+        new = self._learn(wanted)
+        out = []
+        for head, pieces, ids in zip(heads, cut, found, strict=True):
+            if None in ids:
+                ids = [new[p] if raw is None else raw for p, raw in zip(pieces, ids, strict=True)]
+            out.append(head + b"".join(ids) + self.end)
+        return out
 
 
 def encoder(path: str, end_id: int) -> Encoder:

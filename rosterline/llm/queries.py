@@ -107,7 +107,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    rows = simhash.near_duplicates(simhash.fingerprints(documents(spark, sf_dir)))
+    fps = store(simhash.fingerprints(documents(spark, sf_dir)), "simhash-rows")
+    rows = simhash.near_duplicates(fps)
     return rows.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -77,8 +77,12 @@ def exact_duplicates(
         "text_sha256",
     )
     tested = rows.filter(F.col("_digest").isNotNull())
-    groups = tested.groupBy("_digest").agg(
-        F.max(F.struct("_id", "_uid")).alias("top"), F.count(F.lit(1)).alias("group_size")
+    # Stored, so that the join has plain exchanges on both sides and a hot group can be split.
+    groups = store(
+        tested.groupBy("_digest").agg(
+            F.max(F.struct("_id", "_uid")).alias("top"), F.count(F.lit(1)).alias("group_size")
+        ),
+        "dedup-groups",
     )
     grouped = tested.join(groups, "_digest").select(
         F.col("_id").alias(id_col),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import rosterline
@@ -17,6 +19,28 @@ from rosterline.session import shared_dir
 BATCH_ROWS = 256
 
 
+_recorded: list[str] | None = None
+
+
+@contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Enter the paths of all tables stored inside the block into ``paths``."""
+    global _recorded
+    outer, _recorded = _recorded, paths
+    try:
+        yield
+    finally:
+        _recorded = outer
+
+
+def drop_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more, and empty the list."""
+    context = spark.sparkContext
+    while paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and return the reread table.
 
@@ -26,6 +50,8 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _recorded is not None:
+        _recorded.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,6 +24,11 @@ def _unknown_or(value: Column, broken: Column) -> Column:
     return value.isNull() | broken
 
 
+def _refused(good: Column) -> Column:
+    """A value is refused unless it is known to be good: null breaks the rule."""
+    return ~F.coalesce(good, F.lit(False))
+
+
 def campaign_rules(
     as_of: date | str, identifier: str = IDENTIFIER_PATTERN
 ) -> list[tuple[str, str, Column]]:
@@ -32,21 +37,21 @@ def campaign_rules(
     goal, raised = whole_dollars("bond_amount"), whole_dollars("amount_raised")
     verified, expires = strict_iso_date("verified_on"), strict_iso_date("verification_expires_on")
     return [
-        ("case_id", "format", ~F.col("case_id").rlike(CAMPAIGN_ID_PATTERN)),
-        ("consent_confirmed", "must be TRUE", F.upper("consent_confirmed") != "TRUE"),
+        ("case_id", "format", _refused(F.col("case_id").rlike(CAMPAIGN_ID_PATTERN))),
+        ("consent_confirmed", "must be TRUE", _refused(F.upper("consent_confirmed") == "TRUE")),
         ("public_summary", "contains an identifier", contains_identifier("public_summary", identifier)),
         ("public_summary", "too long", F.length("public_summary") > MAX_SUMMARY_CHARS),
         ("bond_amount", "must be a whole amount above zero", _unknown_or(goal, goal <= 0)),
         ("amount_raised", "must be a whole amount", raised.isNull()),
-        ("booking_category", "unknown category", ~F.col("booking_category").isin(*BOOKING_CATEGORIES)),
-        ("status", "unknown status", ~F.col("status").isin(*CAMPAIGN_STATUSES)),
+        ("booking_category", "unknown category", _refused(F.col("booking_category").isin(*BOOKING_CATEGORIES))),
+        ("status", "unknown status", _refused(F.col("status").isin(*CAMPAIGN_STATUSES))),
         ("verified_on", "must be YYYY-MM-DD", verified.isNull()),
         ("verification_expires_on", "must be YYYY-MM-DD", expires.isNull()),
         ("verified_on", "in the future", verified > today),
         ("verification_expires_on", "before verified_on", expires < verified),
-        ("contribution_url", "must be a safe https address", ~is_safe_https("contribution_url")),
-        ("terms_url", "must be a safe https address", ~is_safe_https("terms_url")),
-        ("contribution_recipient", "required", F.col("contribution_recipient") == ""),
+        ("contribution_url", "must be a safe https address", _refused(is_safe_https("contribution_url"))),
+        ("terms_url", "must be a safe https address", _refused(is_safe_https("terms_url"))),
+        ("contribution_recipient", "required", _refused(F.col("contribution_recipient") != "")),
     ]
 
 

@@ -41,14 +41,22 @@ def enforce(checks: Mapping[str, DataFrame | None], strict: bool = True, shown:
 # --- linkage ----------------------------------------------------------------
 
 def check_match_rate(matches: DataFrame, floor: float = MIN_MATCH_RATE) -> DataFrame:
-    """The unmatched rows, when the matched share of the listing is below ``floor``."""
+    """The unmatched rows, when the matched share of the listing is below ``floor``.
+
+    The rate of an empty listing is zero, and one row says so.
+    """
     rate = matches.agg(
         F.coalesce(F.try_divide(F.count("code"), F.count(F.lit(1))), F.lit(0.0)).alias("rate")
     ).scalar()
-    return matches.filter(F.col("code").isNull() & (rate < floor)).select(
+    unmatched = matches.filter(F.col("code").isNull() & (rate < floor)).select(
         F.lit("match_rate").alias("rule"), F.col("l_name").alias("key"),
         F.concat_ws(" ", F.lit("unmatched in"), "state").alias("detail"),
     )
+    empty = matches.agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") == 0) & F.lit(floor > 0)).select(
+        F.lit("match_rate").alias("rule"), F.lit(None).cast("string").alias("key"),
+        F.lit("the listing is empty").alias("detail"),
+    )
+    return unmatched.unionByName(empty)
 
 
 def check_collisions(matches: DataFrame) -> DataFrame:
@@ -212,7 +220,8 @@ def check_build(placed: DataFrame, unplaced: DataFrame, registry: DataFrame) ->
 def shipped_leaves(lines: DataFrame) -> DataFrame:
     """Every demographics leaf of shipped feature lines: ``code, threshold, path, leaf``.
 
-    Reads the JSON text itself, three levels deep, without assuming what it should hold.
+    Reads the JSON text itself, at any depth, without assuming what it should hold: levels are
+    opened until no value is an object any more.
     """
     as_map = "map<string,string>"
     records = lines.select(
@@ -224,18 +233,23 @@ def shipped_leaves(lines: DataFrame) -> DataFrame:
         F.lit(SUPPRESSION_THRESHOLD),
     )
 
-    def open_level(df: DataFrame, column: str, level: int) -> DataFrame:
-        nested = F.when(F.col(column).startswith("{"), F.from_json(column, as_map))
-        return df.select("*", F.explode_outer(nested).alias(f"k{level}", f"v{level}"))
-
-    walked = records.select("code", threshold.alias("threshold"), F.col("demographics").alias("v0"))
-    for level in (1, 2, 3):
-        walked = open_level(walked, f"v{level - 1}", level)
-    keys = F.array_compact(F.array("k1", "k2", "k3"))
-    return walked.select(
-        "code", "threshold", keys.alias("keys"),
-        F.concat_ws(".", "code", keys).alias("path"),
-        F.coalesce("v3", "v2", "v1").alias("leaf"),
+    closed = records.select(
+        "code", threshold.alias("threshold"), F.array().cast("array<string>").alias("keys"),
+        F.col("demographics").alias("leaf"),
+    )
+    leaves = None
+    while True:
+        opened = closed.select(
+            "code", "threshold", "keys", F.explode(F.from_json("leaf", as_map)).alias("key", "leaf")
+        ).select("code", "threshold", F.array_append("keys", F.col("key")).alias("keys"), "leaf")
+        is_object = F.coalesce(F.ltrim("leaf").startswith("{"), F.lit(False))
+        flat = opened.filter(~is_object)
+        leaves = flat if leaves is None else leaves.unionByName(flat)
+        closed = opened.filter(is_object)
+        if closed.isEmpty():
+            break
+    return leaves.select(
+        "code", "threshold", "keys", F.concat_ws(".", "code", "keys").alias("path"), "leaf"
     )
 
 

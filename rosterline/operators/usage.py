@@ -47,9 +47,11 @@ def sessions(
     """``(user, session_no, events, start_us, end_us)``: one row per session.
 
     A new session starts after more than ``gap_minutes`` without an event; exactly that long
-    still belongs to the old one.  Times are microseconds since 1970.
+    still belongs to the old one.  Times are microseconds since 1970.  Events without a time
+    belong to no session; events without a client count as one client.
     """
-    tagged, width = _spans(df.select(user, ts), user, ts, gap_minutes)
+    timed = df.select(user, ts).filter(F.col(ts).isNotNull())
+    tagged, width = _spans(timed, user, ts, gap_minutes)
     buckets = tagged.groupBy(user, "_bucket").agg(
         F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_events")
     )
@@ -61,13 +63,19 @@ def sessions(
 def sessionize(
     df: DataFrame, user: str = "user_id", ts: str = "ts", gap_minutes: float = SESSION_GAP_MINUTES
 ) -> DataFrame:
-    """Every event with the number of its session within the client."""
-    tagged, width = _spans(df, user, ts, gap_minutes)
+    """Every event that has a time, with the number of its session within the client.
+
+    Events without a client count as one client, as in ``sessions``.
+    """
+    tagged, width = _spans(df.filter(F.col(ts).isNotNull()), user, ts, gap_minutes)
     buckets = tagged.groupBy(user, "_bucket").agg(
         F.min("_at").alias("_first"), F.max("_at").alias("_last")
     )
-    numbers = _numbered_buckets(buckets, user, width).select(user, "_bucket", "session_no")
-    return tagged.join(numbers, [user, "_bucket"]).drop("_at", "_bucket")
+    numbers = _numbered_buckets(buckets, user, width).select(
+        F.col(user).alias("_user"), F.col("_bucket").alias("_of"), "session_no"
+    )
+    same = F.col(user).eqNullSafe(F.col("_user")) & (F.col("_bucket") == F.col("_of"))
+    return tagged.join(numbers, same).drop("_at", "_bucket", "_user", "_of")
 
 
 def engagement(
@@ -80,11 +88,11 @@ def engagement(
 ) -> DataFrame:
     """Per session: pings kept, engaged time and whether one ping was long enough.
 
-    Pings below ``min_ms`` are dropped.
+    Pings below ``min_ms`` do not count; a session that has only such pings stays, not engaged.
     """
-    kept = df.filter(F.col(ms) >= min_ms)
-    return kept.groupBy(user, session).agg(
-        F.count(F.lit(1)).alias("pings"),
-        F.sum(F.col(ms).cast("bigint")).alias("engaged_ms"),
-        F.bool_or(F.col(ms) >= engaged_ms).alias("engaged"),
+    counted = F.when(F.col(ms) >= min_ms, F.col(ms).cast("bigint"))
+    return df.groupBy(user, session).agg(
+        F.count(counted).alias("pings"),
+        F.coalesce(F.sum(counted), F.lit(0)).alias("engaged_ms"),
+        F.coalesce(F.bool_or(counted >= engaged_ms), F.lit(False)).alias("engaged"),
     )

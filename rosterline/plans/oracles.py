@@ -712,7 +712,7 @@ ORACLES["q_duplicates"] = "SELECT count(*) - count(DISTINCT p_name) AS duplicate
 CAMPAIGNS = """
 campaigns AS (
     SELECT doc_id AS row_id,
-           'BF-' || lpad(CASE WHEN doc_id % 9 = 8 THEN '7' ELSE left(CAST(doc_id AS VARCHAR), 6) END, 6, '0') AS case_id,
+           'BF-' || CASE WHEN doc_id % 9 = 8 THEN '000007' WHEN doc_id < 100000 THEN lpad(CAST(doc_id AS VARCHAR), 6, '0') ELSE CAST(doc_id AS VARCHAR) END AS case_id,
            CASE WHEN doc_id % 9 > 2 THEN lang ELSE '' END AS region,
            CASE WHEN doc_id % 9 = 1 THEN NULL ELSE n_chars END AS goal, n_chars % 997 AS raised,
            ['immigration_only', 'not_reported', 'other', 'conviction_reported'][doc_id % 4 + 1] AS category,
@@ -850,8 +850,9 @@ ORACLES["q_sessions_stream"] = f"WITH {_sessions(30)} SELECT user_id, events, st
 ORACLES["q_sessionize"] = f"WITH {_sessions(360)} SELECT event_id, user_id, CAST(session_no AS BIGINT) AS session_no FROM tagged"
 ORACLES["q_engagement"] = f"""
 WITH {_sessions(360)}, pings AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS ms FROM tagged)
-SELECT user_id, CAST(session_no AS BIGINT) AS session_no, count(*) AS pings, CAST(sum(ms) AS BIGINT) AS engaged_ms,
-       bool_or(ms >= 10000) AS engaged FROM pings WHERE ms >= 1000 GROUP BY user_id, session_no"""
+SELECT user_id, CAST(session_no AS BIGINT) AS session_no, count(*) FILTER (ms >= 1000) AS pings,
+       CAST(coalesce(sum(ms) FILTER (ms >= 1000), 0) AS BIGINT) AS engaged_ms,
+       coalesce(bool_or(ms >= 10000) FILTER (ms >= 1000), false) AS engaged FROM pings GROUP BY user_id, session_no"""
 ORACLES["q_usage"] = """
 SELECT event_type, count(*) AS events, count(DISTINCT user_id) AS unique_clients FROM events GROUP BY event_type"""
 ORACLES["q_consented"] = f"""
@@ -867,7 +868,7 @@ FROM events WHERE user_id IN (SELECT user_id FROM consented) GROUP BY 1, 2"""
 
 
 def _fingerprint(name: str, columns: dict[str, str]) -> str:
-    texts = ", ".join(f"coalesce({columns[c]}, '\\N')" for c in sorted(columns))
+    texts = ", ".join(f"coalesce('v' || {columns[c]}, 'n')" for c in sorted(columns))
     return f"""
     SELECT '{name}' AS source, count(*) AS "rows",
            CAST(sum(CAST(('0x' || left(md5(concat_ws(chr(31), {texts})), 15)) AS BIGINT)) AS VARCHAR) AS fingerprint

@@ -267,6 +267,11 @@ def key_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- campaigns: documents ---------------------------------------------------
 
+def _at_least_six(key):
+    """Leading zeros for a short key; a longer key stays whole."""
+    return F.when(F.length(key) < 6, F.lpad(key, 6, "0")).otherwise(key)
+
+
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a campaign row: its whole text is the summary, a page gives the address."""
     docs = table(spark, sf_dir, "documents")
@@ -278,7 +283,7 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
     categories = F.array(*[F.lit(c) for c in ("immigration_only", "not_reported", "other", "conviction_reported")])
     return docs.join(pages, "doc_id", "left").select(
         F.col("doc_id").alias("row_id"),
-        F.concat(F.lit("BF-"), F.lpad(F.when(way == 8, F.lit("7")).otherwise(key), 6, "0")).alias("case_id"),
+        F.concat(F.lit("BF-"), _at_least_six(F.when(way == 8, F.lit("7")).otherwise(key))).alias("case_id"),
         F.when(way > 2, F.col("lang")).otherwise("").alias("region"),
         F.when(way == 1, F.concat(F.col("n_chars").cast("string"), F.lit(".5")))
         .otherwise(F.col("n_chars").cast("string")).alias("bond_amount"),

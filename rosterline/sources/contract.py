@@ -58,7 +58,10 @@ def table_fingerprint(df: DataFrame, algorithm: str = "xxhash64") -> DataFrame:
         marked = [c for name in columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
         row_hash = F.xxhash64(*marked)
     elif algorithm == "md5":
-        texts = [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("\\N")) for n in columns]
+        # Values carry a mark, so that no text looks like a null.
+        texts = [
+            F.coalesce(F.concat(F.lit("v"), F.col(f"`{n}`").cast("string")), F.lit("n")) for n in columns
+        ]
         digest = F.md5(F.concat_ws("\x1f", *texts))
         row_hash = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     else:

@@ -114,11 +114,23 @@ def read_located_header(
     return parsed.select("row.*").filter(F.col(f"`{not_null}`").isNotNull())
 
 
+def source_order() -> Column:
+    """A row id in source order: by file, place of the split in the file, and row of the split.
+
+    The plain running id follows the order in which splits are packed, largest file first.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
 def _read_table(spark: SparkSession, path: str, sep: str, quote: str = '"') -> DataFrame:
     """Text table with trimmed column names, all columns as text, and a row number."""
     df = spark.read.csv(path, header=True, sep=sep, quote=quote, escape=quote or None)
-    renamed = df.toDF(*[c.strip() for c in df.columns])
-    return renamed.withColumn("row_id", F.monotonically_increasing_id())
+    names = [F.col(f"`{c}`").alias(c.strip()) for c in df.columns]
+    return df.select(*names, source_order().alias("row_id"))
 
 
 def load_places(spark: SparkSession, path: str) -> DataFrame:
@@ -220,7 +232,7 @@ def read_contract_csv(spark: SparkSession, path: str, fields: Sequence[str]) ->
     if tuple(df.columns) != tuple(fields):
         raise ValueError("columns must exactly match: " + ", ".join(fields))
     trimmed = df.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        source_order().alias("row_id"),
         *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields],
     )
     return trimmed.filter(F.concat(*[F.col(c) for c in fields]) != "")
@@ -258,7 +270,9 @@ def load_release(spark: SparkSession, path: str, form: str = "lines") -> DataFra
     ``collection`` is a single document per file, for small releases from elsewhere.
     """
     if form == "lines":
-        rows = spark.read.schema(FEATURE_SCHEMA).json(path + "/features").select("properties")
+        rows = spark.read.schema(FEATURE_SCHEMA).json(path + "/features").select(
+            "properties", source_order().alias("row_id")
+        )
         meta = spark.read.schema("sources array<struct<source: string, as_of: string>>").json(
             path + "/metadata"
         )
@@ -269,11 +283,12 @@ def load_release(spark: SparkSession, path: str, form: str = "lines") -> DataFra
         rows = whole.select(
             F.explode("features.properties").alias("properties"),
             F.try_element_at("metadata.sources", F.lit(1))["as_of"].alias("as_of"),
+            source_order().alias("row_id"),
         )
     else:
         raise ValueError(f"unknown release form {form!r}")
     flat = rows.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        "row_id",
         F.col("properties.code").alias("code"),
         F.struct(
             "properties.name", "properties.city", "properties.state", "properties.adp",

@@ -25,25 +25,39 @@ def ingest_releases(
     """Process all snapshots under ``in_dir`` that were not seen before, then stop.
 
     Each row names its ``release``; releases sort by name.  For each one, in order, the gates
-    run first, then the changes against the previous snapshot are written below
-    ``target/changes`` and the snapshot itself below ``target/snapshots``.  A failed gate stops
-    the stream before anything of that release is written, and a repeated batch overwrites its
-    own partitions, so a restart neither loses nor doubles a release.
+    run first, then the snapshot is written below ``target/snapshots`` and the changes against
+    the previous snapshot below ``target/changes``.  A failed gate stops the stream before
+    anything of that release is written.
+
+    A release may arrive in several batches: every batch keeps its rows in a folder of its own,
+    which a repeated batch overwrites, and the snapshot is all of them. Its changes, and those of
+    the release after it, are then computed anew.
     """
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(in_dir)
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         names = [r[0] for r in batch.select(release).distinct().orderBy(release).collect()]
         for name in names:
-            snapshot = batch.filter(F.col(release) == name).drop(release)
+            arrived = batch.filter(F.col(release) == name).drop(release)
+            folder = f"{target}/snapshots/{release}={name}"
+            earlier = [p for p in _folders(session, folder) if p != f"batch-{number}"]
+            snapshot = arrived
+            if earlier:
+                parts = session.read.schema(arrived.schema).parquet(*[f"{folder}/{p}" for p in earlier])
+                snapshot = parts.unionByName(arrived)
             enforce({gate: check(snapshot) for gate, check in (gates or {}).items()})
-            earlier = _latest_before(session, target, name)
-            if earlier is not None:
-                old = session.read.schema(snapshot.schema).parquet(f"{target}/snapshots/{release}={earlier}")
-                changes = diff(old, snapshot)
-                changes.write.mode("overwrite").parquet(f"{target}/changes/{release}={name}")
-            snapshot.write.mode("overwrite").parquet(f"{target}/snapshots/{release}={name}")
+            arrived.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+            known = sorted(f.split("=", 1)[1] for f in _folders(session, f"{target}/snapshots") if "=" in f)
+            at = known.index(name)
+            for old, new in zip(known[max(0, at - 1) : at + 1], known[max(1, at) : at + 2], strict=False):
+                both = [
+                    session.read.schema(arrived.schema).option("recursiveFileLookup", "true").parquet(
+                        f"{target}/snapshots/{release}={n}"
+                    )
+                    for n in (old, new)
+                ]
+                diff(*both).write.mode("overwrite").parquet(f"{target}/changes/{release}={new}")
 
     query = (
         stream.writeStream.foreachBatch(handle)
@@ -54,13 +68,10 @@ def ingest_releases(
     query.awaitTermination()
 
 
-def _latest_before(spark: SparkSession, target: str, name: str) -> str | None:
-    """The newest snapshot folder whose release name sorts before ``name``."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/snapshots")
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, none where it does not exist."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
-    folders = [status.getPath().getName() for status in fs.listStatus(root)]
-    known = sorted(f.split("=", 1)[1] for f in folders if "=" in f)
-    earlier = [k for k in known if k < name]
-    return earlier[-1] if earlier else None
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]

@@ -53,6 +53,12 @@ def test_expired_verification_closes_the_link(spark):
         ({"contribution_url": "http://fund.example"}, "contribution_url"),
         ({"terms_url": "https://me:pw@fund.example"}, "terms_url"),
         ({"contribution_recipient": ""}, "contribution_recipient"),
+        ({"contribution_recipient": None}, "contribution_recipient"),
+        ({"consent_confirmed": None}, "consent_confirmed"),
+        ({"status": None}, "status"),
+        ({"booking_category": None}, "booking_category"),
+        ({"case_id": None}, "case_id"),
+        ({"terms_url": None}, "terms_url"),
     ],
 )
 def test_each_rule_is_found(spark, change, field):

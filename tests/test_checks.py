@@ -225,3 +225,18 @@ def test_filter_registry_criteria(spark):
     assert codes() == "ABC" and codes(text="lake tx") == "A" and codes(state="TX") == "AB"
     assert codes(rating=serve.NO_RATING) == "BC" and codes(rating="pass") == "" and codes(rating="Pas") == "A"
     assert codes(exact_only=True) == "AC" and codes(contract="CDF", state="NM") == "C"
+
+
+def test_empty_listing_fails_the_match_rate(spark):
+    matches = spark.createDataFrame([], "l_name string, state string, code string")
+    assert [r.detail for r in checks.check_match_rate(matches).collect()] == ["the listing is empty"]
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_small_cells_are_found_at_any_depth(spark, depth):
+    cell = "3"
+    for level in range(depth):
+        cell = '{"k%d": %s, "big%d": 40}' % (level, cell, level)
+    line = '{"properties": {"code": "A", "demographics": %s}}' % cell
+    found = checks.check_suppression(spark.createDataFrame([(line,)], "value string")).collect()
+    assert [r.key for r in found] == [".".join(["A", *(f"k{i}" for i in reversed(range(depth)))])]

@@ -141,3 +141,22 @@ def test_diff_and_profile_sinks(spark, tmp_path):
     cells = spark.createDataFrame([("A", "g", "x", 1)], "code string, dim string, value string, n int")
     sources.write_profiles(stats, cells, str(tmp_path / "profiles"))
     assert spark.read.parquet(str(tmp_path / "profiles/cells")).first().dim == "g"
+
+
+def test_the_last_line_over_several_files_wins(spark, tmp_path):
+    folder = tmp_path / "overrides"
+    folder.mkdir()
+    head = "ice_name,state,detention_facility_code\n"
+    (folder / "a.csv").write_text(head + "Lake,TX,FIRST\n")
+    (folder / "b.csv").write_text(head + "Hill,TX,OTHER\n" * 500 + "Lake,TX,LAST\n")
+    codes = {r.name_key: r.code for r in sources.load_key_overrides(spark, str(folder)).collect()}
+    assert codes == {"LAKE": "LAST", "HILL": "OTHER"}
+
+
+def test_fingerprint_tells_null_from_text(spark):
+    one = spark.createDataFrame([(None,)], "t string")
+    for text in ("\\N", "n", ""):
+        other = spark.createDataFrame([(text,)], "t string")
+        for algorithm in ("md5", "xxhash64"):
+            prints = [contract.table_fingerprint(df, algorithm).first().fingerprint for df in (one, other)]
+            assert prints[0] != prints[1]

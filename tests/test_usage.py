@@ -46,11 +46,21 @@ def test_engagement_and_consent(spark):
     df = spark.createDataFrame([(1, 1, 999), (1, 1, 1000), (1, 2, 9999), (2, 1, 10000), (3, 1, 5)],
                                "user_id long, session_no long, engagement_ms long")
     got = {(r.user_id, r.session_no): (r.pings, r.engaged_ms, r.engaged) for r in usage.engagement(df).collect()}
-    assert got == {(1, 1): (1, 1000, False), (1, 2): (1, 9999, False), (2, 1): (1, 10000, True)}
+    assert got == {(1, 1): (1, 1000, False), (1, 2): (1, 9999, False), (2, 1): (1, 10000, True),
+                   (3, 1): (0, 0, False)}  # only a short ping: the session stays
     kept = usage.only_consented(df, spark.createDataFrame([(2,), (3,)], "user_id long"), "user_id")
     assert {r.user_id for r in kept.collect()} == {2, 3}
 
 
+def test_events_without_client_or_time(spark):
+    df = spark.createDataFrame([(None, START), (None, START + timedelta(hours=2)), (1, None), (1, START)],
+                               "user_id long, ts timestamp")
+    got = sorted((r.user_id or -1, r.session_no, r.events) for r in usage.sessions(df).collect())
+    assert got == [(-1, 1, 1), (-1, 2, 1), (1, 1, 1)]
+    tagged = sorted((r.user_id or -1, r.session_no) for r in usage.sessionize(df).collect())
+    assert tagged == [(-1, 1), (-1, 2), (1, 1)]
+
+
 def test_streamed_sessions_equal_batch_sessions(spark, tmp_path):
     rng = random.Random(4)
     rows = [(rng.randint(1, 5), rng.randint(0, 200_000)) for _ in range(300)]
@@ -81,6 +91,18 @@ def arrive(spark, path, release, *rows):
     spark.createDataFrame(data, SNAPSHOT).write.mode("append").parquet(path)
 
 
+def test_a_release_in_two_batches_is_whole(spark, tmp_path):
+    arriving, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for release, rows in (("2026-01", [("A", 100.0), ("B", 50.0)]), ("2026-02", [("A", 101.0)]),
+                          ("2026-02", [("B", 51.0)]), ("2026-01", [("C", 9.0)])):
+        arrive(spark, arriving, release, *rows)
+        ingest_releases(spark, arriving, target, SNAPSHOT)
+    kept = spark.read.option("basePath", target + "/snapshots").parquet(target + "/snapshots/release=2026-02/batch-*")
+    assert {r.code for r in kept.collect()} == {"A", "B"}
+    changes = {(r.code, r.change_type) for r in spark.read.parquet(target + "/changes").collect()}
+    assert changes == {("C", "removed")}
+
+
 def test_releases_are_compared_as_they_arrive(spark, tmp_path):
     arriving, target = str(tmp_path / "in"), str(tmp_path / "out")
     unique = {"unique codes": lambda df: df.groupBy("code").count().filter("count > 1")}

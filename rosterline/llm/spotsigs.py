@@ -65,8 +65,9 @@ class Spotter:
         words = WORD.findall(text.lower())
         if len(self.hashes) > CACHE_WORDS:
             self.hashes.clear()
-        for word in set(words) - self.hashes.keys():
-            self.hashes[word] = self._hash(word)
+        for word in set(words):
+            if word not in self.hashes:
+                self.hashes[word] = self._hash(word)
         values = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
         is_anchor = (values & np.uint64(1)).astype(bool)
         content = values[~is_anchor]

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_of
+from .common import small_batches, store, text_of
 from .tokens import encoder
 
 SHARD_IDS, SHARD_DOCS, BUCKET_KEYS = 2_000_000, 50_000, 4096
@@ -283,7 +283,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     The place comes from the index; the content from the scan of the payload. A document whose
     place in the index and in the payload differ would be missing, which tests rule out.
     """
-    stored = scan(spark, path)
+    stored = store(scan(spark, path), "ids-read")
     keys = stored.select("doc_id", "copy")
     at = locate(spark, path, keys)
     place = ["task", "shard", "offset"]

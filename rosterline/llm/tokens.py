@@ -13,10 +13,11 @@ import re
 from array import array
 
 CUT = re.compile(r" (?=\S)")
+LOOSE = re.compile(r" (?:\s|$)")
 #: A Latin word and ASCII signs or digits after it; both vocabularies begin a new token between.
 WORD_AND_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)((?:[!-@\\[-`{-~].*)?)", re.DOTALL)
 #: Longer pieces are encoded but not kept; a generation of the cache holds so many pieces.
-CACHED_CHARS, CACHE_PIECES = 64, 600_000
+CACHED_CHARS, CACHE_PIECES = 64, 450_000
 
 
 
@@ -112,7 +113,8 @@ class Encoder:
             self.cache, self.old = {}, self.cache
         if len(self.signs) > CACHE_PIECES:
             self.signs = {}
-        cut = [CUT.split(text) for text in texts]
+        # Without a space before white space or the end, every space is a cut.
+        cut = [CUT.split(t) if LOOSE.search(t) else t.split(" ") for t in texts]
         heads = self._raw([pieces.pop(0) for pieces in cut])
         found = [list(map(self.cache.get, pieces)) for pieces in cut]
         wanted = {

@@ -20,7 +20,6 @@ WORD_AND_SIGNS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(
 CACHED_CHARS, CACHE_PIECES = 64, 450_000
 
 
-
 def _byte_symbols() -> dict[int, str]:
     """Symbols of byte-level vocabularies for the bytes that do not show themselves."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -32,6 +31,65 @@ BYTE_SYMBOLS = _byte_symbols()
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
+class Pieces(dict):
+    """Piece (without its leading space) -> its ids as unsigned 32-bit bytes.
+
+    A missing piece is encoded when it is asked for. There are two generations: a full one becomes
+    the old one, and pieces still in use move up.
+    """
+
+    def __init__(self, tokenizer) -> None:  # noqa: ANN001
+        super().__init__()
+        self.tokenizer, self.tokenize = tokenizer, tokenizer.model.tokenize
+        self.old: dict[str, bytes] = {}
+        #: The same for signs that follow a word without a space.
+        self.signs: dict[str, bytes] = {}
+        #: Symbol of the leading space, and whether the library lower-cases; checked on samples.
+        self.fold = tokenizer.normalizer is not None
+        self.lead = "" if self.fold else BYTE_SYMBOLS.get(ord(" "), " ")
+        samples = ["the", "Words", "\u00c9t\u00e9", "stra\u00dfe", "XYZZY", "\u00f1\u00e0\u00ff"]
+        self.direct = all(self.word(word) == self.whole(" " + word) for word in samples)
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text by the library's whole pipeline."""
+        encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return array("I", encoded[0].ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a Latin word after a space, straight from the library's merge model."""
+        symbols = word.lower() if self.fold else word
+        if not symbols.isascii():
+            symbols = symbols.encode().decode("latin-1").translate(BYTE_SYMBOLS)
+        return array("I", [token.id for token in self.tokenize(self.lead + symbols)]).tobytes()
+
+    def sign(self, sign: str) -> bytes:
+        raw = self.signs.get(sign)
+        if raw is None:
+            raw = self.whole(sign)
+            if len(sign) <= CACHED_CHARS:
+                if len(self.signs) >= CACHE_PIECES:
+                    self.signs.clear()
+                self.signs[sign] = raw
+        return raw
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = self.old.get(piece)
+        if raw is None:
+            cut = WORD_AND_SIGNS.fullmatch(piece) if self.direct else None
+            if cut is None:
+                raw = self.whole(" " + piece)
+            elif cut[2]:
+                raw = self[cut[1]] + self.sign(cut[2])
+            else:
+                raw = self.word(piece)
+        if len(piece) <= CACHED_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = raw
+        return raw
+
+
 class Encoder:
     """Encodes texts with one vocabulary file, and appends ``end_id`` to each."""
 
@@ -43,91 +101,16 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.end = array("I", [end_id]).tobytes()
-        #: Symbol of the leading space, and whether the library lower-cases; checked on samples.
-        self.fold = self.tokenizer.normalizer is not None
-        self.lead = "" if self.fold else BYTE_SYMBOLS.get(ord(" "), " ")
-        self.direct = True
-        samples = ["the", "Words", "\u00c9t\u00e9", "stra\u00dfe", "XYZZY", "\u00f1\u00e0\u00ff"]
-        self.direct = self._words(samples) == self._raw([" " + word for word in samples])
-        #: Piece (without its leading space) -> its ids as unsigned 32-bit bytes, in two
-        #: generations: a full one becomes the old one, and pieces still in use move up.
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        #: The same for signs that follow a word without a space.
-        self.signs: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of Latin words, each after a space, straight from the library's merge model."""
-        if not self.direct:
-            return self._raw([" " + word for word in words])
-        tokenize, lead, fold = self.tokenizer.model.tokenize, self.lead, self.fold
-        out = []
-        for word in words:
-            symbols = word.lower() if fold else word
-            if not symbols.isascii():
-                symbols = symbols.encode().decode("latin-1").translate(BYTE_SYMBOLS)
-            out.append(array("I", [token.id for token in tokenize(lead + symbols)]).tobytes())
-        return out
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the cache lacks. A word and the signs after it are looked up apart."""
-        new, cuts, words, others, signs = {}, {}, set(), [], set()
-        for piece in pieces:
-            raw = self.old.get(piece)
-            if raw is not None:
-                new[piece] = raw
-                continue
-            cut = WORD_AND_SIGNS.fullmatch(piece)
-            if cut is None:
-                others.append(piece)
-                continue
-            word, sign = cut.groups()
-            if not sign:
-                words.add(word)
-                continue
-            cuts[piece] = word, sign
-            raw = self.cache.get(word) or self.old.get(word)
-            if raw is not None:
-                new[word] = raw
-            else:
-                words.add(word)
-            if sign not in self.signs:
-                signs.add(sign)
-        names = list(words)
-        new.update(zip(names, self._words(names), strict=True))
-        new.update(zip(others, self._raw([" " + piece for piece in others]), strict=True))
-        tails = dict(zip(signs, self._raw(list(signs)), strict=True))
-        self.signs.update((s, raw) for s, raw in tails.items() if len(s) <= CACHED_CHARS)
-        for piece, (word, sign) in cuts.items():
-            new[piece] = new[word] + (tails.get(sign) or self.signs[sign])
-        self.cache.update((p, raw) for p, raw in new.items() if len(p) <= CACHED_CHARS)
-        return new
+        self.pieces = Pieces(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache, self.old = {}, self.cache
-        if len(self.signs) > CACHE_PIECES:
-            self.signs = {}
-        # Without a space before white space or the end, every space is a cut.
-        cut = [CUT.split(t) if LOOSE.search(t) else t.split(" ") for t in texts]
-        heads = self._raw([pieces.pop(0) for pieces in cut])
-        found = [list(map(self.cache.get, pieces)) for pieces in cut]
-        wanted = {
-            piece
-            for pieces, ids in zip(cut, found, strict=True) if None in ids
-            for piece, raw in zip(pieces, ids, strict=True) if raw is None
-        }
-        new = self._learn(wanted)
         out = []
-        for head, pieces, ids in zip(heads, cut, found, strict=True):
-            if None in ids:
-                ids = [new[p] if raw is None else raw for p, raw in zip(pieces, ids, strict=True)]
-            out.append(head + b"".join(ids) + self.end)
+        for text in texts:
+            # Without a space before white space or the end, every space is a cut.
+            head, *rest = CUT.split(text) if LOOSE.search(text) else text.split(" ")
+            ids = map(self.pieces.__getitem__, rest)
+            out.append(b"".join((self.pieces.whole(head), *ids, self.end)))
         return out
 
 

@@ -460,3 +460,24 @@ def test_empty_id_store(spark, empty):
     id_store.write_ids(empty, folder, vocabulary(spark, "word_bpe_49k.json"))
     id_store.write_index(spark, folder)
     assert id_store.read_back(spark, folder).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_give_the_ids_of_the_library(name, monkeypatch):
+    """Mixed scripts, signs, spaces and special strings, with generations that turn often."""
+    import random
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    from rosterline.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    codec, library = tokens.Encoder(f"/opt/tokenizers/{name}", 7), Tokenizer.from_file(f"/opt/tokenizers/{name}")
+    rng = random.Random(11)
+    bits = ["a", "B", "é", "ß", "ÿ", "don", "'t", "'S", " ", "  ", "\n", "\t", "1", "23", ".", ",", "(", "_",
+            "́", "漢", "😀", "　", "İ", "ſ", "ª", "×", "\x00", "x" * 70, "<|endoftext|>"]
+    texts = ["", " ", *("".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(3000))]
+    want = [array("I", [*library.encode(t, add_special_tokens=False).ids, 7]).tobytes() for t in texts]
+    assert codec.encode(texts) == want
+    assert len(codec.pieces) <= 50 and len(codec.pieces.old) <= 50

@@ -1,11 +1,11 @@
 """Exact quantiles per group without bringing a group into one task.
 
-The built-in exact ``percentile`` keeps every distinct value of a group in one buffer.  That
-is right for a bounded domain such as an age.  Here a count tells large groups from small
-ones.  For a large group a sketch narrows each wanted quantile to a thin bracket of values;
-the last pass counts what lies below the bracket and keeps only the values inside it.  All
-passes combine on the map side, so a group that holds a third of all rows costs its share of
-the scan and nothing more.
+The distinct values of a group are counted, and each wanted rank is then looked for in three steps,
+the same for groups of every size: counts of coarse buckets of values tell the bucket that holds
+the rank, counts of its fine buckets tell the fine one, and only the distinct values inside that
+one are put in order.  A bucket is a fixed, order-keeping function of the value, so no step depends
+on a sample or a sketch and none can miss.  Counting combines on the map side; what a task orders is
+the buckets of a group, the fine buckets of a bucket, or the values of a fine bucket.
 """
 
 from __future__ import annotations
@@ -15,13 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_few, cut_lineage
-
-# Groups up to this size keep all their distinct values: a fixed bound per window partition.
-WHOLE_GROUP_ROWS = 100_000
-ACCURACY = 10_000
-# Half width of the bracket in ranks, four times the sketch's own error.
-MARGIN = 4 / ACCURACY
+# Coarse buckets to a doubling of 1 + |value|, and fine buckets to a coarse one.
+COARSE, FINE = 64, 4096
 
 
 def group_quantiles(
@@ -30,41 +25,46 @@ def group_quantiles(
     measures: Sequence[str],
     quantiles: Sequence[float],
     method: str = "linear",
-    whole_group_rows: int = WHOLE_GROUP_ROWS,
 ) -> DataFrame:
     """Rows ``(keys..., measure, n, q_0, q_1, ...)``, one per group and measure with a value.
 
     ``linear`` interpolates between the two neighbouring values, ``upper`` takes the value at
-    rank ``floor(q * n)``.  Rows with a null key or value are left out.  The result is exact
-    in every case: should a bracket ever miss its rank the query fails rather than return a
-    neighbour.
+    rank ``floor(q * n)``.  Rows with a null key or value are left out.
     """
     if method not in ("linear", "upper"):
         raise ValueError(f"unknown method {method!r}")
-    keys = list(keys)
     ids = [*keys, "measure"]
-    long = (
+    given = F.col("v").isNotNull() & ~F.isnan("v")
+    for key in keys:
+        given &= F.col(key).isNotNull()
+    values = (
         df.select(*keys, *[F.col(m).cast("double").alias(m) for m in measures])
-        .unpivot(keys, list(measures), "measure", "v")
-        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
+        .unpivot(list(keys), list(measures), "measure", "v")
+        .filter(given)
+        .groupBy(*ids, "v")
+        .agg(F.count(F.lit(1)).alias("weight"))
     )
-    # One short row per group: kept, so that its size is known before it is joined.
-    groups = cut_lineage(long.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")))
-    large = groups.filter(F.col("n") > whole_group_rows)
-    if large.isEmpty():
-        placed = long.join(broadcast_if_few(groups), ids).select(
-            *ids, "n", F.col("v").alias("kept"), F.col("v").alias("place")
-        )
-    else:
-        sketched = cut_lineage(groups.join(_brackets(long, large, ids, quantiles), ids, "left"))
-        placed = _place_by_bracket(long, broadcast_if_few(sketched), ids, len(quantiles))
-    counted = placed.groupBy(*ids, "n", "place", "kept").agg(F.count(F.lit(1)).alias("weight"))
-    in_order = Window.partitionBy(*ids).orderBy(
-        F.col("place").asc_nulls_first(), F.col("kept").asc_nulls_last()
+    scaled = F.signum("v") * F.log2(1 + F.abs("v")) * COARSE
+    tagged = values.withColumn("coarse", F.floor(scaled)).withColumn(
+        "fine", F.floor((scaled - F.col("coarse")) * FINE)
     )
-    upto = F.sum("weight").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("weight"))
 
+    wanted = _any_rank([_position(q, method) for q in quantiles])
+    coarse = tagged.groupBy(*ids, "coarse").agg(F.sum("weight").alias("weight")).select(
+        "*", F.sum("weight").over(Window.partitionBy(*ids)).alias("n"), F.lit(0).alias("base")
+    )
+    coarse = _ranked(coarse, ids, "coarse").filter(wanted).select(
+        *ids, "coarse", "n", F.col("before").alias("base")
+    )
+    fine = tagged.join(coarse, [*ids, "coarse"]).groupBy(*ids, "coarse", "n", "base", "fine").agg(
+        F.sum("weight").alias("weight")
+    )
+    fine = _ranked(fine, [*ids, "coarse"], "fine").filter(wanted).select(
+        *ids, "coarse", "fine", "n", F.col("before").alias("base")
+    )
+    ranked = _ranked(
+        tagged.join(fine, [*ids, "coarse", "fine"]), [*ids, "coarse", "fine"], "v"
+    )
     picked = ranked.groupBy(*ids, "n").agg(
         *[p for i, q in enumerate(quantiles) for p in _neighbours(i, q, method)]
     )
@@ -73,51 +73,47 @@ def group_quantiles(
     )
 
 
-def _brackets(
-    long: DataFrame, large: DataFrame, ids: Sequence[str], quantiles: Sequence[float]
-) -> DataFrame:
-    """``(ids..., edges)`` of large groups: the lower ends of all brackets, then the upper ends."""
-    edges = [max(q - MARGIN, 0.0) for q in quantiles] + [min(q + MARGIN, 1.0) for q in quantiles]
-    rows = long.join(broadcast_if_few(large.select(*ids)), list(ids), "left_semi")
-    return rows.groupBy(*ids).agg(F.percentile_approx("v", edges, ACCURACY).alias("edges"))
-
+def _ranked(counts: DataFrame, part: Sequence[str], order: str) -> DataFrame:
+    """Add ``before`` and ``upto``: values of the group up to this row, without and with it.
 
-def _place_by_bracket(
-    long: DataFrame, groups: DataFrame, ids: Sequence[str], count: int
-) -> DataFrame:
-    """Values inside a bracket (or of a small group) stay; each other one joins the nearest
-    bracket end below it, where it only counts."""
-    low, high = F.slice("edges", 1, count), F.slice("edges", count + 1, count)
-    inside = F.exists(
-        F.arrays_zip(low.alias("lo"), high.alias("hi")), lambda b: F.col("v").between(b["lo"], b["hi"])
-    )
-    kept = F.when(F.col("edges").isNull() | inside, F.col("v"))
-    anchor = F.when(kept.isNull(), F.array_max(F.filter(high, lambda h: h < F.col("v"))))
-    return long.join(groups, list(ids)).select(
-        *ids, "n", kept.alias("kept"), F.coalesce(kept, anchor).alias("place")
+    ``base`` is the number of values of the group before this part of it.
+    """
+    in_order = Window.partitionBy(*part).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
+    summed = counts.withColumn("upto", F.col("base") + F.sum("weight").over(in_order))
+    return summed.withColumn("before", F.col("upto") - F.col("weight"))
+
+
+def _any_rank(positions: Sequence[Column]) -> Column:
+    """Whether a row of ``_ranked`` holds one of the ranks next to the positions."""
+    hits = [_holds(rank(p)) for p in positions for rank in (F.floor, F.ceil)]
+    wanted = hits[0]
+    for hit in hits[1:]:
+        wanted |= hit
+    return wanted
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("before") <= rank) & (rank < F.col("upto"))
 
 
 def _position(q: float, method: str) -> Column:
-    return F.lit(q) * (F.col("n") - 1) if method == "linear" else F.floor(F.lit(q) * F.col("n"))
+    return F.lit(q) * (F.col("n") - 1) if method == "linear" else F.least(
+        F.floor(F.lit(q) * F.col("n")), F.col("n") - 1
+    )
 
 
 def _neighbours(index: int, q: float, method: str) -> list[Column]:
     """The values at the ranks just below and just above the wanted position."""
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), F.col("kept")))
-
     position = _position(q, method)
     return [
-        at(F.floor(position)).alias(f"_low_{index}"),
-        at(F.ceil(position)).alias(f"_high_{index}"),
+        F.max(F.when(_holds(F.floor(position)), F.col("v"))).alias(f"_low_{index}"),
+        F.max(F.when(_holds(F.ceil(position)), F.col("v"))).alias(f"_high_{index}"),
     ]
 
 
 def _value(index: int, q: float, method: str) -> Column:
     low, high = F.col(f"_low_{index}"), F.col(f"_high_{index}")
     position = _position(q, method)
-    value = low + (high - low) * (position - F.floor(position))
-    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-    return F.when(value.isNull(), missed).otherwise(value)
+    return low + (high - low) * (position - F.floor(position))

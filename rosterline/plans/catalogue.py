@@ -158,7 +158,16 @@ def q_profile_full(spark, sf_dir):
         *[F.col(c)["n"].cast("double").alias(c) for c in counts],
     ).unpivot(["code"], ["stays_in_window", *counts], "value", "n")
     long = cells.select("code", "dim", "value", F.col("n.n").cast("double").alias("n"))
-    return wide.select("code", F.lit("stats").alias("dim"), "value", "n").unionByName(long)
+    figures = [
+        "age_median", "los_median", "los_p90", "median_set", "median_posted", "person_median_set",
+        "person_recorded_set_share",
+    ]
+    spread = stats.select("code", *[F.col(c).cast("double").alias(c) for c in figures]).unpivot(
+        ["code"], figures, "value", "n"
+    )
+    return wide.unionByName(spread).select(
+        "code", F.lit("stats").alias("dim"), "value", "n"
+    ).unionByName(long)
 
 
 def _profiles(spark: SparkSession, sf_dir: str, key: str = "l_suppkey") -> tuple[DataFrame, DataFrame]:
@@ -621,7 +630,7 @@ def q_contract_rows(spark, sf_dir):
 @query
 def q_campaign_feed(spark, sf_dir):
     rows = s.campaigns(spark, sf_dir)
-    broken = campaign.check_campaigns(rows, AS_OF, identifier=EMAIL).filter("rule <> 'too long'")
+    broken = campaign.check_campaigns(rows, AS_OF, identifier=EMAIL)
     good = rows.join(broken.select("row_id").distinct(), "row_id", "left_anti")
     feed = campaign.order_feed(campaign.campaign_feed(good, AS_OF))
     return feed.select(
@@ -817,7 +826,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def q_sessions_stream(spark, sf_dir):
     out = drain(
-        sessions_stream(_event_stream(spark, sf_dir)), _scratch(spark, "sessions"), _scratch(spark, "state")
+        sessions_stream(_event_stream(spark, sf_dir), "10 minutes"), _scratch(spark, "sessions"), _scratch(spark, "state")
     )
     return out.filter(F.col("user_id") != SENTINEL_USER)
 
@@ -828,7 +837,7 @@ def q_usage_stream(spark, sf_dir):
         spark.range(1).select(F.lit(SENTINEL_USER).cast("bigint").alias("user_id"))
     )
     kept = usage.only_consented(_event_stream(spark, sf_dir), consents, "user_id")
-    out = drain(usage_windows(kept), _scratch(spark, "usage"), _scratch(spark, "state"))
+    out = drain(usage_windows(kept, "10 minutes"), _scratch(spark, "usage"), _scratch(spark, "state"))
     return out.filter(F.col("event_type") != "end")
 
 

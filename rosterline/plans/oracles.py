@@ -21,6 +21,14 @@ def _suppressed(count: str, t: int = 5) -> str:
         CASE WHEN {count} > 0 AND {count} < {t} THEN {t} END AS lt"""
 
 
+def _gated(column: str, q: float, digits: int) -> str:
+    """Quantile of five values or more, rounded half to even on its decimal form."""
+    exact = f"CAST(CAST(quantile_cont(CAST({column} AS DOUBLE), {q}) AS VARCHAR) AS DECIMAL(36, 18)) * {10 ** digits}"
+    whole, rest = f"CAST(floor({exact}) AS BIGINT)", f"({exact} - floor({exact}))"
+    up = f"CASE WHEN {rest} > 0.5 OR ({rest} = 0.5 AND {whole} % 2 = 1) THEN 1 ELSE 0 END"
+    return f"CASE WHEN count({column}) >= 5 THEN ({whole} + {up}) / {10 ** digits}.0::DOUBLE END"
+
+
 def _tokens(name: str) -> str:
     spelled = " ".join(f"WHEN {_quote(k)} THEN {_quote(v)}" for k, v in ABBREVIATIONS.items())
     dropped = ", ".join(_quote(w) for w in ("", *STOPWORDS))
@@ -154,6 +162,14 @@ long AS ({_long({'age_bands': 'age_band', 'gender': 'gender', 'release_reason':
 counts AS (SELECT code, dim, value, count(*) AS c FROM long GROUP BY code, dim, value),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY code, dim ORDER BY c DESC, value) AS rn FROM counts)
 SELECT code, 'stats' AS dim, 'stays_in_window' AS value, CAST(count(*) AS DOUBLE) AS n FROM stays GROUP BY code
+UNION ALL SELECT code, 'stats', 'age_median', {_gated('age', 0.5, 1)} FROM stays GROUP BY code
+UNION ALL SELECT code, 'stats', 'los_median', {_gated('los_days', 0.5, 1)} FROM stays GROUP BY code
+UNION ALL SELECT code, 'stats', 'los_p90', {_gated('los_days', 0.9, 1)} FROM stays GROUP BY code
+UNION ALL SELECT code, 'stats', 'median_set', {_gated('amount_set', 0.5, 2)} FROM stays GROUP BY code
+UNION ALL SELECT code, 'stats', 'median_posted', {_gated('amount_posted', 0.5, 2)} FROM stays GROUP BY code
+UNION ALL SELECT code, 'stats', 'person_median_set', {_gated('amount', 0.5, 2)} FROM people GROUP BY code
+UNION ALL SELECT code, 'stats', 'person_recorded_set_share',
+          CASE WHEN a >= 5 AND p >= 5 THEN round_even(a / p, 3) END FROM per
 UNION ALL SELECT code, 'stats', value, CASE WHEN c BETWEEN 1 AND 4 THEN NULL ELSE CAST(c AS DOUBLE) END FROM raw
 UNION ALL SELECT code, dim, value, CASE WHEN c BETWEEN 1 AND 4 THEN NULL ELSE CAST(c AS DOUBLE) END
           FROM ranked WHERE dim <> 'top_citizenship' OR rn <= 5"""
@@ -716,7 +732,8 @@ campaigns AS (
            CASE WHEN doc_id % 9 > 2 THEN lang ELSE '' END AS region,
            CASE WHEN doc_id % 9 = 1 THEN NULL ELSE n_chars END AS goal, n_chars % 997 AS raised,
            ['immigration_only', 'not_reported', 'other', 'conviction_reported'][doc_id % 4 + 1] AS category,
-           doc_id % 33 + 1 AS verified_day, doc_id % 28 + 1 AS expires_day, text AS public_summary,
+           doc_id % 33 + 1 AS verified_day, doc_id % 28 + 1 AS expires_day,
+           CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Text of ' || n_chars || ' characters in ' || lang END AS public_summary,
            coalesce(url, 'https://fund.example/cases/' || doc_id) AS contribution_url,
            CASE WHEN doc_id % 9 = 5 THEN '' ELSE source END AS recipient,
            doc_id % 9 = 6 AS bad_terms,
@@ -743,7 +760,7 @@ broken AS (
 ORACLES["q_contract_rows"] = f"WITH {CAMPAIGNS} SELECT row_id, case_id, field, rule FROM broken"
 ORACLES["q_campaign_feed"] = f"""
 WITH {CAMPAIGNS},
-good AS (SELECT * FROM campaigns WHERE row_id NOT IN (SELECT row_id FROM broken WHERE rule <> 'too long'))
+good AS (SELECT * FROM campaigns WHERE row_id NOT IN (SELECT row_id FROM broken))
 SELECT case_id, nullif(region, '') AS region, goal AS bond_amount, raised AS amount_raised,
        CASE category WHEN 'immigration_only' THEN 'Immigration-only classification' WHEN 'not_reported' THEN 'Not reported'
             ELSE 'Conviction reported' END AS label,

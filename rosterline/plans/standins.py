@@ -273,7 +273,8 @@ def _at_least_six(key):
 
 
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a campaign row: its whole text is the summary, a page gives the address."""
+    """Every document as a campaign row: a page gives the address; the summary is the whole text of
+    every third document, and a short description of the others."""
     docs = table(spark, sf_dir, "documents")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     key = F.col("doc_id").cast("string")
@@ -291,7 +292,9 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(categories, (F.pmod("doc_id", F.lit(4)) + 1).cast("int")).alias("booking_category"),
         F.concat(F.lit("2026-07-"), F.lpad((F.pmod("doc_id", F.lit(33)) + 1).cast("string"), 2, "0")).alias("verified_on"),
         F.concat(F.lit("2026-08-"), F.lpad((F.pmod("doc_id", F.lit(28)) + 1).cast("string"), 2, "0")).alias("verification_expires_on"),
-        F.col("text").alias("public_summary"),
+        F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("text")).otherwise(
+            F.concat(F.lit("Text of "), F.col("n_chars").cast("string"), F.lit(" characters in "), "lang")
+        ).alias("public_summary"),
         F.coalesce("url", https).alias("contribution_url"),
         F.when(way == 5, "").otherwise(F.col("source")).alias("contribution_recipient"),
         F.when(way == 6, F.concat(F.lit("https://user@fund.example/"), key)).otherwise(https).alias("terms_url"),

@@ -10,14 +10,15 @@ from ..constants import SESSION_GAP_MINUTES
 
 def sessions_stream(
     stream: DataFrame,
+    watermark: str,
     user: str = "user_id",
     ts: str = "ts",
     gap: str = f"{SESSION_GAP_MINUTES} minutes",
-    watermark: str = "10 minutes",
 ) -> DataFrame:
     """Sessions per client: ``user, events, start_us, end_us``; ``ts`` is a zoned timestamp.
 
-    In append mode a session is emitted once the watermark has passed its end.
+    In append mode a session is emitted once the watermark has passed its end.  Events that come
+    later than ``watermark`` behind the newest one are lost: choose it for the source.
     """
     windowed = stream.withWatermark(ts, watermark).groupBy(user, F.session_window(ts, gap))
     return windowed.agg(
@@ -29,13 +30,13 @@ def sessions_stream(
 
 def usage_windows(
     stream: DataFrame,
+    watermark: str,
     window: str = "1 day",
-    watermark: str = "10 minutes",
     event: str = "event_type",
     ts: str = "ts",
     slide: str | None = None,
 ) -> DataFrame:
-    """Events per event name and time window; late rows fall under the watermark."""
+    """Events per event name and time window; rows later than ``watermark`` are lost."""
     span = F.window(ts, window, slide) if slide else F.window(ts, window)
     counted = stream.withWatermark(ts, watermark).groupBy(span, event)
     return counted.agg(F.count(F.lit(1)).alias("events")).select(

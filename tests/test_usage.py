@@ -69,14 +69,14 @@ def test_streamed_sessions_equal_batch_sessions(spark, tmp_path):
     closing = spark.createDataFrame([(START + timedelta(days=900), -1)], "ts timestamp, user_id long")
     closing.write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, user_id long").parquet(str(tmp_path / "in"))
-    out = drain(sessions_stream(stream), str(tmp_path / "out"), str(tmp_path / "ck")).filter("user_id >= 0")
+    out = drain(sessions_stream(stream, "10 minutes"), str(tmp_path / "out"), str(tmp_path / "ck")).filter("user_id >= 0")
     batch = usage.sessions(df).drop("session_no")
     assert out.exceptAll(batch.select(*out.columns)).isEmpty() and out.count() == batch.count()
 
 
 def test_sliding_usage_windows(spark):
     df = events(spark, [(1, 0), (1, 3000), (2, 7000)]).withColumn("event_type", F.lit("view"))
-    rows = usage_windows(df, window="1 hour", slide="30 minutes").collect()
+    rows = usage_windows(df, "10 minutes", window="1 hour", slide="30 minutes").collect()
     base = 1767225600
     got = {(r.window_start_us // 1_000_000 - base): r.events for r in rows}
     assert got == {-1800: 1, 0: 2, 1800: 1, 3600: 1, 5400: 1}

@@ -45,8 +45,12 @@ def group_quantiles(
         .agg(F.count(F.lit(1)).alias("weight"))
     )
     scaled = F.signum("v") * F.log2(1 + F.abs("v")) * COARSE
-    tagged = values.withColumn("coarse", F.floor(scaled)).withColumn(
-        "fine", F.floor((scaled - F.col("coarse")) * FINE)
+    # Always true. The joins below would infer it for themselves, and then count the values again
+    # instead of reading the one shuffle of them three times.
+    tagged = (
+        values.withColumn("coarse", F.floor(scaled))
+        .withColumn("fine", F.floor((scaled - F.col("coarse")) * FINE))
+        .filter("coarse is not null and fine is not null")
     )
 
     wanted = _any_rank([_position(q, method) for q in quantiles])

@@ -3,8 +3,9 @@
 For a byte-pair vocabulary with word ends, the encoding of a prefix is the encoding of a shorter
 prefix plus one last token, and that token is the only one whose pair with the token before it
 survives the merges. So the state of a prefix (its last token and its count) follows from one
-earlier state. States are kept per word prefix and shared by all words that begin alike; a text's
-counts are sums over its words. Truncation and budget questions are then lookups in a stored array
+earlier state. States are kept per word prefix and shared by all words that begin alike; a word
+longer than the longest token keeps its last states by position instead. A text's counts are sums
+over its words. Truncation and budget questions are then lookups in a stored array
 of counts: ``tokens_at`` and ``fitting_prefix`` encode nothing.
 
 Positions count code points of the normalised text (as the tokenizer normalises it). Special
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -87,29 +88,59 @@ class PrefixCounter:
             self.survives[key] = self._merge(first, second)
         return self.survives[key]
 
-    def _state(self, word: str, ending: str) -> tuple[str, int]:
-        """Last token and count of ``word`` as an open prefix (no ending) or as a whole word."""
-        for at in range(max(0, len(word) - self.longest), len(word)):
-            token = word[at:] + ending
+    def _last(
+        self, word: str, end: int, ending: str, state: Callable[[int], tuple[str, int]]
+    ) -> tuple[str, int]:
+        """Last token and count of ``word[:end]``, open (no ending) or as a whole word.
+
+        ``state`` gives the open state of a shorter prefix by its length.
+        """
+        for at in range(max(0, end - self.longest), end):
+            token = word[at:end] + ending
             if token in self.vocabulary:
-                last, count = self.opened(word[:at])
+                last, count = state(at)
                 if self._fits(last, token):
                     return token, count + 1
         raise ValueError("the vocabulary lacks a byte")
 
+    def _state(self, word: str, ending: str) -> tuple[str, int]:
+        """``_last`` of a word no longer than the longest token, from states kept by prefix."""
+        return self._last(word, len(word), ending, lambda at: self.opened(word[:at]))
+
     def opened(self, prefix: str) -> tuple[str, int]:
-        """State of a word prefix that goes on; earlier prefixes come first for long words."""
+        """State of a short word prefix that goes on."""
         state = self.open.get(prefix)
         if state is None:
-            if len(prefix) > CACHED_CHARS:
-                for n in range(1, len(prefix)):
-                    if prefix[:n] not in self.open:
-                        self.open[prefix[:n]] = self._state(prefix[:n], "")
             state = self.open[prefix] = self._state(prefix, "")
         return state
 
+    def long_word(self, word: str, ends: Sequence[int]) -> list[int]:
+        """Tokens of ``word[:end]`` as a word for each of the ascending ``ends``.
+
+        A state looks back over the longest token only, so that many states are kept, by position.
+        """
+        ring = self.longest + 1
+        lasts, counts = [""] * ring, [0] * ring
+
+        def state(at: int) -> tuple[str, int]:
+            return lasts[at % ring], counts[at % ring]
+
+        out, done = [], 0
+        for end in ends:
+            for n in range(done + 1, end):
+                lasts[n % ring], counts[n % ring] = self._last(word, n, "", state)
+            out.append(self._last(word, end, self.end, state)[1])
+            if end < ends[-1]:
+                lasts[end % ring], counts[end % ring] = self._last(word, end, "", state)
+            done = end
+        return out
+
     def word(self, word: str) -> int:
         """Tokens of one word (in byte characters) that ends here."""
+        if max(len(self.pieces), len(self.open) // 2) > CACHE_PIECES:
+            self._clear()
+        if len(word) > self.longest:
+            return self.long_word(word, [len(word)])[0]
         return self._state(word, self.end)[1]
 
     def _words(self, part: str) -> list[str]:
@@ -131,8 +162,6 @@ class PrefixCounter:
         return count
 
     def total(self, text: str) -> int:
-        if len(self.pieces) > CACHE_PIECES or len(self.open) > 2 * CACHE_PIECES:
-            self._clear()
         return sum(map(self.piece, text.split(" ")))
 
     def prefixes(self, text: str) -> np.ndarray:
@@ -143,6 +172,11 @@ class PrefixCounter:
             for word, (low, high) in self.pre_tokenize(shown):
                 out += [done] * (base + low - len(out) + 1)  # white space between words
                 piece, at = shown[low:high], 0
+                if len(word) > self.longest:
+                    ends = np.cumsum([len(c.encode()) for c in piece]).tolist()
+                    out += [done + n for n in self.long_word(word, ends)]
+                    done = out[-1]
+                    continue
                 for n in range(1, high - low + 1):
                     at += len(piece[n - 1].encode())
                     if piece[0] == "'" and n < high - low:  # part of a contraction

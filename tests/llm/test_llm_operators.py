@@ -184,6 +184,23 @@ def test_token_counts_and_prefixes(spark, docs, rows):
     assert asked.k == max(k for k in range(len(text) + 1) if count(text[:k]) <= 3)
 
 
+def test_token_counts_of_very_long_words(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary(spark, "word_bpe_49k.json")
+    library, table = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    rnd = random.Random(6)
+    for word in ["a" * 500_000, "".join(rnd.choice("acgt") for _ in range(500_000))]:
+        assert table.total(word) == len(library.encode(word, add_special_tokens=False).ids)
+        assert max(map(len, table.open)) <= table.longest
+    for text in ["ab" * 90 + " c", "'" * 90, "é🙂" * 40 + "x'll" + "y" * 80]:
+        normal = library.normalizer.normalize_str(text)
+        assert table.prefixes(text).tolist() == [
+            len(library.encode(normal[:k], add_special_tokens=False).ids) for k in range(len(normal) + 1)
+        ]
+    assert len(table.prefixes("a" * 500_000)) == 500_001
+
+
 def test_mixing(docs, rows):
     import re
 

@@ -236,16 +236,27 @@ def remove_repeats(
         F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("text"),
         F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text).alias("uid"),
     )
-    long = base.filter(F.octet_length("text") >= length)
+    long = base.filter(F.octet_length("text") >= length).select("uid", "text")
+    # Rows of one id and text are read once, whatever their number: every string of them occurs twice.
+    again = store(
+        long.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("uid"), "repeat-ids"
+    )
+    likely = maybe_in(long, ["uid"], bit_filter(again, ["uid"], filter_bits), filter_bits)
+    folded = store(
+        likely.filter("_maybe").groupBy("uid").agg(
+            F.first("text").alias("text"), F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("w")
+        ),
+        "repeat-rows",
+    )
+    once = likely.filter("not _maybe").select("uid", "text", F.lit(1).alias("w")).unionByName(folded)
 
     def sample(batches: Iterator) -> Iterator:
         for batch in batches:
             uids, found = [], []
-            texts = batch.column("text").to_pylist()
-            for uid, raw in zip(batch.column("uid").to_pylist(), texts, strict=True):
+            for uid, raw, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for at, core, union, lo, hi in anchors(np.frombuffer(raw, np.uint8), length, span):
                     uids.append(uid)
-                    found.append((at, np.zeros_like(at), core, union, np.ones_like(at), lo, hi))
+                    found.append((at, np.zeros_like(at), core, union, np.full_like(at, w), lo, hi))
             yield _act(uids, found)
 
     def cores(batches: Iterator) -> Iterator:
@@ -253,25 +264,28 @@ def remove_repeats(
             yield batch.select(["core"])
 
     # Most sampled substrings occur once: a first pass counts them, a second one keeps the others.
-    counted = long.select("uid", "text").mapInArrow(cores, "core long").groupBy("core").agg(
+    counted = once.mapInArrow(cores, "core long").groupBy("core").agg(
         F.count(F.lit(1)).alias("n")
     ).filter("n > 1")
     repeated = store(bit_filter(counted, ["core"], filter_bits), "repeat-cores")
-    sampled = long.select("uid", "text").mapInArrow(sample, ACT)
+    sampled = once.mapInArrow(sample, ACT)
     act = store(
         maybe_in(sampled, ["core"], repeated, filter_bits).filter("_maybe").drop("_maybe"), "repeat-act"
     )
-    width, settled = span, None
+    width = span
+    settled = folded.filter("w = 2").select(
+        "uid", F.lit(0).alias("a"), (F.octet_length("text") - length).alias("b")
+    )
     while True:
         done, split = _settle(act, filter_bits)
-        settled = done if settled is None else settled.unionByName(done)
+        settled = settled.unionByName(done)
         if width == 1:
             break
         width //= FAN
         nodes = split.groupBy("uid").agg(F.collect_list(F.struct("p", "j", "w", "lo", "hi")).alias("nodes"))
         nodes = store(nodes, "repeat-nodes")
         words = bit_filter(nodes, ["uid"], filter_bits)
-        texts = maybe_in(long.select("uid", "text"), ["uid"], words, filter_bits).filter("_maybe")
+        texts = maybe_in(once.select("uid", "text"), ["uid"], words, filter_bits).filter("_maybe")
 
         def divide(batches: Iterator, width: int = width) -> Iterator:
             for batch in batches:

@@ -437,6 +437,29 @@ def test_suffix_dedup(spark, docs, rows):
     assert listed(got) == plain_removal([(i, t.encode()) for i, t in made], 400)
 
 
+@pytest.mark.parametrize("filter_bits", [64, 1 << 24])
+def test_suffix_dedup_of_repeated_rows(spark, monkeypatch, filter_bits):
+    rnd = random.Random(8)
+
+    def text(n):
+        return "".join(rnd.choice("abcdé ") for _ in range(n))
+
+    hot, tables = text(3000), {}
+    made = [(1, hot)] * 40 + [(2, hot[500:1500] + text(300)), (2, text(200) + hot[900:1310]), (3, text(700))]
+    made += [(4, text(50))] * 3 + [(None, text(600))] * 2 + [(5, "ab" * 500)] * 2 + [(6, "ab" * 250)]
+
+    def spy(df, name, plain=suffix_dedup.store):
+        tables[name] = plain(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(suffix_dedup, "store", spy)
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.remove_repeats(docs, filter_bits=filter_bits)
+    assert listed(got) == plain_removal([(i, t.encode()) for i, t in made], 400)
+    # A document's ranges do not grow with the number of its rows.
+    assert all(len(r.ranges) == len(set(r.ranges)) for r in tables["repeat-spans"].collect())
+
+
 def test_sampled_positions_own_every_string_once(monkeypatch):
     data = np.random.default_rng(2).integers(97, 101, 5000).astype(np.uint8)
     data = np.concatenate([data, data[:2000], np.full(1500, 97, np.uint8)])

@@ -11,16 +11,19 @@ from pyspark.sql import functions as F
 from rosterline.session import pin_utc, shared_dir
 
 from . import (
+    bloom_lm,
     curriculum,
     exact_dedup,
     id_store,
     license_scan,
+    merkle,
     packing,
     quality,
     simhash,
     spotsigs,
     suffix_dedup,
     token_counts,
+    turn_repair,
 )
 from .common import store
 
@@ -119,6 +122,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400)
 
 
+def op11_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document; a seventh of the ids is held out from training."""
+    return bloom_lm.language_model_scores(documents(spark, sf_dir))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired rows of every damaged conversation."""
+    pin_utc(spark)
+    return turn_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and audit path of every document, and whether a tampered leaf still verifies."""
+    return merkle.manifest(documents(spark, sf_dir), tampered=merkle.one_more_char())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_packing": op2_packing,
@@ -130,6 +149,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_bloom_lm": op11_bloom_lm,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 

@@ -1,15 +1,17 @@
 """Merkle manifest of a dataset: one tree per group, a tree over the subroots, and audit paths.
 
 Leaves and nodes are lower-case hexadecimal SHA-256 digests; a node is the digest of its children's
-digests, written one after the other, and a run of one child has a parent too. Levels are built one after
-the other, each by one grouping of pairs, and written to the shared folder. The node rows are linked to
-their parents and know their sibling. A recursive query climbs from every leaf at once: each round
-joins the current nodes with their links, appends the sibling as a row and folds the digest.
+digests, written one after the other, and a run of one child has a parent too. Levels are built
+``STRIDE`` at a time, by grouping blocks of consecutive nodes, and written to the shared folder. Node rows
+are linked to their ancestor that many levels up and hold the siblings in between. A recursive query
+climbs from every leaf at once: each round joins the current nodes with their rows, appends the siblings
+and folds the digest.
 
 Scale: only digests and ids move, never texts. Positions within a group come from a range sort whose
 partitions are counted, so a hot group is spread; a node that very many leaves climb through is one row
-of the unique side of a join, whose other side adaptive execution splits. A climb writes one row per leaf
-and level. Levels and rounds grow with the logarithm of the largest group.
+of the unique side of a join, whose other side adaptive execution splits. Only rows of inner nodes, one
+for 2**STRIDE - 1 leaves, are joined in a round. A climb writes one row per leaf and round; rounds grow with
+the logarithm of the largest group.
 
 Nulls: a null value enters its leaf as ``-``; leaves with a null id come first, a null group is a group
 of its own and the first one. Rows of one id are ordered by their leaf; equal rows are interchangeable. An
@@ -18,17 +20,18 @@ empty table gives an empty result. A row with a null id is never tampered with.
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rosterline.session import shared_dir
-
-from .common import store
+from .common import drop_stored, store
 
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 TOP = "top"
+#: Levels that one node row spans.
+STRIDE = 8
+PATH = "array<struct<sibling:binary,is_left:boolean>>"
 
 
 def digest(text: Column) -> Column:
@@ -60,6 +63,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
         ranged.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()),
         "merkle-sorted",
     )
+    drop_stored(df.sparkSession, _folder(kept))
     parts = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*group)
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,69 +79,93 @@ def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def build_levels(leaves: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Links and roots of the trees over ``leaves`` (tree, idx, n, node, digest).
+def _parent_digests(level: Column) -> Column:
+    """Digests of the pairs of a level, the last one perhaps of a single node."""
+    def pair(i: Column) -> Column:
+        right = F.coalesce(spelled(F.get(level, 2 * i + 1)), F.lit(""))
+        return digest(F.concat(spelled(F.get(level, 2 * i)), right))
+
+    return F.transform(F.sequence(F.lit(0), ((F.size(level) + 1) / 2).cast("int") - 1), pair)
+
+
+def _path(levels: Column, place: Column, steps: Column) -> Column:
+    """Sibling (null in a run of one) and side of the node at ``place`` on every level of its block."""
+    def step(i: Column) -> Column:
+        at = F.call_function("shiftright", place, i)
+        sibling = F.get(F.get(levels, i), at.bitwiseXOR(F.lit(1)))
+        return F.struct(sibling.alias("sibling"), (at % 2 == 0).alias("is_left"))
 
-    Links: (node, parent, sibling, is_left), the sibling null in a run of one. Roots: (tree, node, digest).
+    return F.transform(F.sequence(F.lit(0), steps - 1), step)
+
+
+def build_levels(leaves: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """First steps, links and roots of the trees over ``leaves`` (tree, idx, n, node, digest, more).
+
+    ``STRIDE`` levels are built at a time, from blocks of at most 2**STRIDE consecutive nodes. Node rows
+    (node, parent, path) are linked to their ancestor that many levels up; the path has the siblings in
+    between. First steps are the node rows of the leaves, with the column ``more``, a struct that is only
+    handed on; links are those of all inner nodes. Roots: (tree, node, digest).
     """
-    spark = leaves.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm/merkle-{name}-{uuid.uuid4().hex}"
-    level = store(leaves.select("tree", "idx", "n", "node", "digest"), f"merkle-{name}-leaves")
-    first, depth = level, 0
-    most = level.agg(F.max("n")).first()[0] or 0
-    kind = "tree string, idx long, n long, node string, digest binary, pair array<struct<node:string,digest:binary>>"
+    kind = leaves.schema["more"].dataType
+    level, rounds, lone = leaves, [], [leaves.filter("n = 1").select("tree", "node", "digest", "more")]
+    most = leaves.agg(F.max("n")).first()[0] or 0
     while most > 1:
-        child = F.struct("node", "digest")
-        pairs = level.filter("n > 1").groupBy("tree", "n", F.expr("idx div 2").alias("up")).agg(
-            F.max(F.when(F.col("idx") % 2 == 0, child)).alias("l"),
-            F.max(F.when(F.col("idx") % 2 == 1, child)).alias("r"),
+        steps = F.least(F.length(F.bin(F.col("n") - 1)), F.lit(STRIDE)).cast("int")
+        items = F.struct("idx", "node", "digest", "more")
+        blocks = level.filter("n > 1").groupBy("tree", "n", F.shiftright("idx", STRIDE).alias("up")).agg(
+            F.array_sort(F.collect_list(items), lambda a, b: F.signum(a["idx"] - b["idx"]).cast("int")).alias("items")
         )
-        depth += 1
-        made = pairs.select(
-            "tree", F.col("up").alias("idx"), F.expr("(n + 1) div 2").alias("n"),
-            F.concat_ws("/", "tree", F.lit(depth).cast("string"), F.col("up").cast("string")).alias("node"),
-            digest(F.concat(spelled(F.col("l.digest")), F.coalesce(spelled(F.col("r.digest")), F.lit("")))).alias("digest"),
-            F.array("l", "r").alias("pair"),
+        grown = F.aggregate(
+            F.sequence(F.lit(1), F.col("steps")), F.array(F.col("items.digest")),
+            lambda done, _: F.concat(done, F.array(_parent_digests(F.element_at(done, -1)))),
         )
-        made.write.parquet(f"{path}/level={depth}")
-        level = spark.read.schema(kind).parquet(f"{path}/level={depth}")
-        most = (most + 1) // 2
-    above = spark.read.schema(kind).parquet(path) if depth else spark.createDataFrame([], kind)
-    links = above.select(F.col("node").alias("parent"), "pair", F.posexplode("pair").alias("place", "child")).filter(
-        "child is not null"
-    ).select(
-        "child.node", "parent",
-        F.when(F.col("place") == 0, F.col("pair")[1]["digest"]).otherwise(F.col("pair")[0]["digest"]).alias("sibling"),
-        (F.col("place") == 0).alias("is_left"),
-    )
-    lone = [x.filter("n = 1").select("tree", "node", "digest") for x in ([first, above] if depth else [first])]
-    roots = lone[0].unionByName(lone[1]) if depth else lone[0]
-    return links, roots
-
-
-CLIMB = """
-    WITH RECURSIVE climb (leaf_row, node, depth, folded, sibling) AS (
-        SELECT leaf_row, node, 0, start, CAST(NULL AS BINARY) FROM merkle_leaves
+        here = F.concat_ws("/", "tree", F.lit(str(len(rounds) + 1)), F.col("up").cast("string"))
+        blocks = store(
+            blocks.withColumn("steps", steps).withColumn("levels", grown).withColumn("parent", here),
+            f"merkle-{name}",
+        )
+        rounds.append(blocks)
+        level = blocks.select(
+            "tree", F.col("up").alias("idx"), F.expr("(n - 1 >> steps) + 1").alias("n"), F.col("parent").alias("node"),
+            F.element_at(F.element_at("levels", -1), 1).alias("digest"), F.lit(None).cast(kind).alias("more"),
+        )
+        lone.append(level.filter("n = 1").select("tree", "node", "digest", "more"))
+        most = (most - 1 >> STRIDE) + 1
+
+    def node_rows(blocks: DataFrame) -> DataFrame:
+        each = blocks.select("parent", "levels", "steps", F.posexplode("items").alias("place", "item"))
+        return each.select("item.node", "parent", _path(F.col("levels"), F.col("place"), F.col("steps")).alias("path"), "item.more")
+
+    none = leaves.sparkSession.createDataFrame([], f"node string, parent string, path {PATH}, more {kind.simpleString()}")
+    first = lone[0].select("node", F.col("node").alias("parent"), F.array().cast(PATH).alias("path"), "more")
+    first = first.unionByName(node_rows(rounds[0])) if rounds else first
+    links = reduce(DataFrame.unionByName, [none, *map(node_rows, rounds[1:])]).drop("more")
+    return first, links, reduce(DataFrame.unionByName, lone).select("tree", "node", "digest")
+
+
+FOLD = """aggregate({path}, {start}, (done, s) -> unhex(sha2(concat(
+    CASE WHEN s.is_left OR s.sibling IS NULL THEN '' ELSE lower(hex(s.sibling)) END, lower(hex(done)),
+    CASE WHEN s.is_left AND s.sibling IS NOT NULL THEN lower(hex(s.sibling)) ELSE '' END), 256)))"""
+CLIMB = f"""
+    WITH RECURSIVE climb (leaf, at, depth, folded, path, more) AS (
+        SELECT node, parent, 0, {FOLD.format(path="path", start="more.later")}, path, more FROM merkle_leaves
         UNION ALL
-        SELECT c.leaf_row, l.parent, c.depth + 1,
-               unhex(sha2(concat(
-                   CASE WHEN l.is_left OR l.sibling IS NULL THEN '' ELSE lower(hex(l.sibling)) END,
-                   lower(hex(c.folded)),
-                   CASE WHEN l.is_left AND l.sibling IS NOT NULL THEN lower(hex(l.sibling)) ELSE '' END), 256)),
-               l.sibling
-        FROM climb c JOIN merkle_links l ON c.node = l.node)
-    SELECT leaf_row, depth, folded, sibling FROM climb"""
+        SELECT c.leaf, l.parent, c.depth + 1, {FOLD.format(path="l.path", start="c.folded")}, l.path,
+               CASE WHEN FALSE THEN c.more END
+        FROM climb c JOIN merkle_links l ON c.at = l.node)
+    SELECT leaf, depth, folded, path, more FROM climb"""
 
 
-def climb(spark: SparkSession, leaves: DataFrame, links: DataFrame) -> DataFrame:
-    """(leaf_row, depth, folded, sibling): the way of every leaf (leaf_row, node, start) to its root.
+def climb(spark: SparkSession, first: DataFrame, links: DataFrame) -> DataFrame:
+    """(leaf, depth, folded, path, more): the way of every leaf to its root.
 
-    The limit of rows of a recursive query is lifted in a session of its own.
+    ``first`` has the first steps (node, parent, path, more) with the digest to fold in ``more.later``. The
+    limit of rows of a recursive query is lifted in a session of its own.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    for name, table in (("merkle_leaves", leaves), ("merkle_links", links)):
+    for name, table in (("merkle_leaves", first), ("merkle_links", links)):
         kept = store(table, name.replace("_", "-"))
         own.read.schema(kept.schema).parquet(*_folder(kept)).createTempView(name)
     done = store(own.sql(CLIMB), "merkle-climb")
@@ -155,8 +183,8 @@ def manifest(
 ) -> DataFrame:
     """One row per row of ``docs``: id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
-    ``tampered`` is a column name -> Column mapping of the values that a later reader sees instead; their
-    leaf is folded along the original siblings.
+    ``tampered`` maps column names to the values that a later reader sees instead; their leaf is folded
+    along the original siblings.
     """
     spark, columns, tampered = docs.sparkSession, columns or COLUMNS, tampered or {}
     leaf = digest(F.concat(*[field(F.col(c)) for c in columns]))
@@ -164,43 +192,37 @@ def manifest(
     slim = docs.select(
         F.col(id_col).alias("id"), F.col(group_col).alias("grp"), leaf.alias("leaf"), later.alias("later")
     )
-    placed = store(
-        numbered(slim, ["grp"], ["id", "leaf"]).withColumn("leaf_row", F.monotonically_increasing_id()), "merkle-placed"
-    )
+    placed = store(numbered(slim, ["grp"], ["id", "leaf"]), "merkle-placed")
     groups = numbered(placed.select("grp").distinct(), [], ["grp"]).select(
         F.col("grp").alias("of_grp"), F.col("idx").cast("string").alias("tree")
     )
     groups = store(groups, "merkle-groups")
-    named = placed.join(groups, F.col("grp").eqNullSafe(F.col("of_grp"))).select(
-        "id", "leaf", "later", "leaf_row", "tree", "idx", "n",
-        F.concat_ws("/", "tree", F.lit("0"), F.col("idx").cast("string")).alias("node"),
+    leaves = placed.join(groups, F.col("grp").eqNullSafe(F.col("of_grp"))).select(
+        "tree", "idx", "n", F.concat_ws("/", "tree", F.lit("0"), F.col("idx").cast("string")).alias("node"),
+        F.col("leaf").alias("digest"), F.struct("id", "leaf", "later", "tree").alias("more"),
     )
-    named = store(named, "merkle-named")
-    links, roots = build_levels(named.withColumnRenamed("leaf", "digest"), "groups")
+    first, links, roots = build_levels(leaves, "groups")
     roots = store(roots, "merkle-subroots")
-    count = roots.count()
     tops = roots.select(
-        F.lit(TOP).alias("tree"), F.col("tree").cast("long").alias("idx"), F.lit(count).cast("long").alias("n"),
-        "node", "digest",
-    )
-    top_links, top_root = build_levels(tops, "top")
-    way = climb(
-        spark, named.select("leaf_row", "node", F.col("later").alias("start")), links.unionByName(top_links)
+        F.lit(TOP).alias("tree"), F.col("tree").cast("long").alias("idx"), F.lit(roots.count()).cast("long").alias("n"),
+        "node", "digest", F.lit(None).cast("struct<later:binary>").alias("more"),
     )
+    top_first, top_links, top_root = build_levels(tops, TOP)
+    top_first = top_first.filter("node <> parent").drop("more")
+    way = climb(spark, first, links.unionByName(top_first).unionByName(top_links))
     root = top_root.select(spelled(F.col("digest"))).first()
-    root = F.lit(root[0] if root else None)
-    climbed = way.groupBy("leaf_row").agg(
-        F.max_by("folded", "depth").alias("folded"),
-        F.array_sort(F.collect_list(F.when(F.col("sibling").isNotNull(), F.struct("depth", "sibling")))).alias("way"),
+    root = F.lit(root[0] if root else None).cast("string")
+    climbed = way.groupBy("leaf").agg(
+        F.max_by("folded", "depth").alias("folded"), F.max("more").alias("more"),
+        F.array_sort(F.collect_list(F.struct("depth", "path"))).alias("way"),
     )
     subroots = roots.select("tree", F.col("digest").alias("subroot"))
-    siblings = F.array_join(F.transform("way", lambda s: spelled(s["sibling"])), "")
+    siblings = F.transform(F.flatten("way.path"), lambda s: spelled(s["sibling"]))
     return (
-        named.select("id", "leaf", "leaf_row", "tree")
-        .join(climbed, "leaf_row").join(subroots, "tree")
+        climbed.select("folded", "way", "more.id", "more.leaf", "more.tree").join(subroots, "tree")
         .select(
             F.col("id").alias(id_col), spelled(F.col("leaf")).alias("leaf"), spelled(F.col("subroot")).alias("subroot"),
-            root.alias("root"), F.sha2(siblings, 256).alias("proof_sha256"),
+            root.alias("root"), F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"),
             spelled(F.col("folded")).alias("folded_root"), (spelled(F.col("folded")) == root).alias("verified"),
         )
     )

@@ -26,8 +26,10 @@ row all probabilities are 1. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import ship_package, store, text_of
 
-#: N-gram length, base of the count levels, bits for each entry, weight of the shorter context.
-ORDER, BASE, BITS, PRIOR = 2, 2.0, 10, 16.0
+#: N-gram length, base of the count levels, bits and probes for each entry, weight of the shorter context.
+ORDER, BASE, BITS, PROBES, PRIOR = 2, 2.0, 10, 4, 16.0
 UNIT_TOKENS = 1 << 19
 SHARD_BYTES, ROUND_BYTES = 64 << 20, 512 << 20
 COMMON = 1 << 17
@@ -67,29 +69,38 @@ def pieces(raw: bytes, room: int) -> Iterator[tuple[bytes, bool]]:
     yield raw[begin:], True
 
 
-class Words(dict):
-    """Token -> number, with the hash (and the common count) of every token in arrays."""
+class Words:
+    """Numbers of the tokens met, with the hash (and the common count) of each in arrays."""
 
     def __init__(self, common: dict[bytes, int] | None = None) -> None:
-        super().__init__()
         self.common = common or {}
         self.begin()
 
     def begin(self) -> None:
-        self.clear()
+        self.number: defaultdict = defaultdict()
+        self.number.default_factory = self.number.__len__
         self.tokens: list[bytes] = []
-        self.hashes = np.zeros(WORDS + PIECE, np.uint64)
-        self.counts = np.zeros(WORDS + PIECE, np.int64)
+        self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def __missing__(self, token: bytes) -> int:
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def ids(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+
+    def describe(self) -> None:
+        """Fill in the tokens that were met since."""
         from xxhash import xxh64_intdigest
 
-        number = len(self.tokens)
-        self.tokens.append(token)
-        self.hashes[number] = xxh64_intdigest(token)
-        self.counts[number] = self.common.get(token, 0)
-        self[token] = number
-        return number
+        new = list(islice(self.number, len(self.tokens), None))
+        self.tokens += new
+        hashes = np.fromiter(map(xxh64_intdigest, new), np.uint64, len(new))
+        self.hashes = np.concatenate([self.hashes, hashes])
+        if self.common:
+            counts = np.fromiter((self.common.get(t, 0) for t in new), np.int64, len(new))
+        else:
+            counts = np.zeros(len(new), np.int64)
+        self.counts = np.concatenate([self.counts, counts])
 
 
 class Block:
@@ -102,6 +113,7 @@ class Block:
 
     def __init__(self, parts: list[tuple], words: Words, order: int) -> None:
         lead = order - 1
+        words.describe()
         ids, own, doc = [], [], []
         self.spans = [(row, at - lead, at + len(tokens)) for row, at, _, tokens in parts]
         for row, _, before, tokens in parts:
@@ -135,11 +147,11 @@ def blocks(batches: Iterator, words: Words, order: int) -> Iterator[tuple]:
                     if len(words) > WORDS:
                         kept = [words.tokens[i] if i >= 0 else None for i in before]
                         words.begin()
-                        before = np.array([-1 if t is None else words[t] for t in kept], dtype=np.int64)
+                        before = np.array([-1 if t is None else words.number[t] for t in kept], dtype=np.int64)
                 tokens = piece.lower().split()
                 if last:
                     tokens.append(END)
-                ids = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
+                ids = words.ids(tokens)
                 parts.append((row, at, before, ids))
                 at += len(ids)
                 before = np.concatenate([before, ids])[len(ids) :]
@@ -158,22 +170,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, sums = Words(), np.zeros(WORDS + PIECE, np.int64)
+        words, sums = Words(), np.zeros(0, np.int64)
 
         def flushed() -> pa.RecordBatch:
-            n = sums[: len(words)].copy()
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(words.tokens, pa.binary()), pa.array(n)], ["token", "n"]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(words.tokens, pa.binary()), pa.array(sums)], ["token", "n"]
             )
-            sums[:] = 0
-            return out
 
         for block, *_ in blocks(batches, words, 1):
-            found = np.bincount(block.ids[block.own])
-            sums[: len(found)] += found
+            found = np.bincount(block.ids, minlength=len(words))
+            found[: len(sums)] += sums
+            sums = found
             if len(words) > WORDS:
                 yield flushed()
                 words.begin()
+                sums = np.zeros(0, np.int64)
         yield flushed()
 
     parts = texts.select("text").mapInArrow(count, "token binary, n long")
@@ -246,7 +257,7 @@ def slots(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 def build_units(grams: DataFrame, base: float = BASE, bits: int = BITS) -> DataFrame:
     """(unit, entries, size, filter) from packed counts; ``size`` is the unit's number of bits."""
-    hashes = max(1, round(bits * math.log(2)))
+    hashes = PROBES
 
     def build(table):  # noqa: ANN001, ANN202  (pyarrow is imported in workers)
         import pyarrow as pa
@@ -356,7 +367,7 @@ def log_probability(block: Block, levels: list[np.ndarray], model: dict) -> np.n
     return np.log10(p)
 
 
-SCORED = "n_tokens long, n_common long, common_sum double, rare array<struct<token: binary, n: long>>, model double"
+SCORED = "n_tokens long, n_common long, common_sum double, model double, rare array<struct<token: binary, n: long>>"
 
 
 def score_texts(
@@ -367,7 +378,7 @@ def score_texts(
     spark = texts.sparkSession
     ship_package(spark)
     context, order, units = spark.sparkContext, model.order, model.n_units
-    hashes = max(1, round(model.bits * math.log(2)))
+    hashes = PROBES
     common = {
         bytes(r.token): r.n for r in model.vocabulary.filter(F.col("n") >= model.tokens / COMMON).collect()
     }
@@ -396,22 +407,15 @@ def score_texts(
             import pyarrow as pa
 
             words = Words(common_words.value)
-            open_rows: dict[int, list] = {}
+            sums, open_rows = Sums(), {}
             for block, batch, first, end in blocks(batches, words, order):
-                levels = _levels(block, batch, shards, order, units, hashes)
+                levels = _levels(block, batch, words, shards, order, units, hashes)
                 if last:
-                    _add_scores(open_rows, block, levels, words, facts)
-                    done = [open_rows.pop(row) for row in range(first, end)]
-                    columns = list(zip(*done, strict=True)) or [()] * 5
+                    scores = sums.add(block, log_probability(block, levels, facts), words, end - first)
                     out = batch.slice(first, end - first)
                     arrays = [out.column(batch.schema.get_field_index(c)) for c in kept]
-                    pair = pa.struct([("token", pa.binary()), ("n", pa.int64())])
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pair), pa.float64()]
-                    rare = [[{"token": t, "n": n} for t, n in row.items()] for row in columns[3]]
-                    values = [*columns[:3], rare, columns[4]]
-                    arrays += [pa.array(c, t) for c, t in zip(values, kinds, strict=True)]
-                    names = [*kept, "n_tokens", "n_common", "common_sum", "rare", "model"]
-                    yield pa.RecordBatch.from_arrays(arrays, names)
+                    names = [*kept, "n_tokens", "n_common", "common_sum", "model", "rare"]
+                    yield pa.RecordBatch.from_arrays([*arrays, *scores], names)
                 else:
                     raw = np.stack(levels, axis=1).astype(np.uint8)[block.own]
                     doc = block.doc[block.own]
@@ -437,16 +441,24 @@ def score_texts(
 
 
 def _levels(
-    block: Block, batch, shards: list, order: int, units: int, hashes: int  # noqa: ANN001
+    block: Block, batch, words: Words, shards: list, order: int, units: int, hashes: int  # noqa: ANN001
 ) -> list[np.ndarray]:
     """Count levels of a block's n-grams, from the shards of this round and those of earlier rounds."""
-    keys, back = np.unique(np.concatenate(block.keys), return_inverse=True)
-    found = np.zeros(len(keys), np.uint8)
+    # One place of every word of the block; the start of a text comes last.
+    place = np.full(len(words) + 1, -1)
+    place[block.ids] = np.arange(len(block.ids))
+    met = np.flatnonzero(place >= 0)
+    keys, back = np.unique(np.concatenate([block.keys[0][:0], *block.keys[1:]]), return_inverse=True)
+    asked = np.concatenate([block.keys[0][place[met]], keys])
+    found = np.zeros(len(asked), np.uint8)
     for shard in shards:
-        shard.value.probe(keys, units, hashes, found)
+        shard.value.probe(asked, units, hashes, found)
         if len(shards) > 1 and hasattr(shard, "_value"):
             del shard._value  # read again from the worker's disk when it is asked for
-    levels = found[back].reshape(order, -1)
+    of_word = np.zeros(len(place), np.uint8)
+    of_word[met] = found[: len(met)]
+    longer = found[len(met) :][back].reshape(order - 1, len(block.ids))
+    levels = np.concatenate([of_word[block.ids][None], longer])
     column = batch.column(batch.schema.get_field_index("levels"))
     if column.null_count == 0:
         early = []
@@ -457,27 +469,42 @@ def _levels(
     return list(levels)
 
 
-def _add_scores(open_rows: dict, block: Block, levels: list, words: Words, facts: dict) -> None:
-    """Add a block's sums to the rows it touches: tokens, common ones and their sum, rare words, score."""
-    own, doc = block.own, block.doc
-    low = int(doc[0])
-    ids, rows = block.ids[own], doc[own] - low
-    size = int(doc[-1]) - low + 1
-    count = words.counts[ids]
-    often = count > 0
-    sums = [
-        np.bincount(rows, minlength=size), np.bincount(rows[often], minlength=size),
-        np.bincount(rows[often], np.log10(count[often] + 1.0), size),
-        np.bincount(rows, log_probability(block, levels, facts)[own], size),
-    ]
-    for i in range(size):
-        row = open_rows.setdefault(low + i, [0, 0, 0.0, {}, 0.0])
-        for place, values in zip((0, 1, 2, 4), sums, strict=True):
-            row[place] += values[i].item()
-    pairs, n = np.unique((rows[~often] << 32) | ids[~often], return_counts=True)
-    for pair, times in zip(pairs.tolist(), n.tolist(), strict=True):
-        held, token = open_rows[low + (pair >> 32)][3], words.tokens[pair & 0xFFFFFFFF]
-        held[token] = held.get(token, 0) + times
+class Sums:
+    """Sums by row over blocks; a row that goes on in the next block is held until it ends."""
+
+    def __init__(self) -> None:
+        self.open: tuple | None = None
+
+    def add(self, block: Block, logs: np.ndarray, words: Words, done: int) -> list:
+        """Arrow arrays of the ``done`` rows that end in this block: n_tokens, n_common, common_sum, model, rare."""
+        import pyarrow as pa
+
+        own = block.own
+        rows, ids = block.doc[own] - block.doc[0], block.ids[own]
+        size = int(block.doc[-1] - block.doc[0]) + 1
+        count = words.counts[ids]
+        often = count > 0
+        sums = [
+            np.bincount(rows, minlength=size), np.bincount(rows[often], minlength=size),
+            np.bincount(rows[often], np.log10(count[often] + 1.0), size).astype(np.float64),
+            np.bincount(rows, logs[own], size).astype(np.float64),
+        ]
+        pairs, times = np.unique((rows[~often] << 32) | ids[~often], return_counts=True)
+        at, which = pairs >> 32, pairs & 0xFFFFFFFF
+        tokens = [words.tokens[i] for i in which.tolist()]
+        if self.open is not None:
+            for values, before in zip(sums, self.open[0], strict=True):
+                values[0] += before
+            at = np.concatenate([np.zeros(len(self.open[1]), at.dtype), at])
+            tokens, times = self.open[1] + tokens, np.concatenate([self.open[2], times])
+        ends = np.searchsorted(at, np.arange(done + 1))
+        cut = int(ends[-1])
+        self.open = ([v[done] for v in sums], tokens[cut:], times[cut:]) if size > done else None
+        rare = pa.StructArray.from_arrays([pa.array(tokens[:cut], pa.binary()), pa.array(times[:cut])], ["token", "n"])
+        return [
+            *[pa.array(v[:done]) for v in sums],
+            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rare),
+        ]
 
 
 def _with_base(scored: DataFrame, model: Model, kept: list[str]) -> DataFrame:

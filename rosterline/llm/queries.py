@@ -26,6 +26,7 @@ from . import (
     turn_repair,
 )
 from .common import store
+from .sql import ORACLES as RECURSIVE_SQL
 
 #: Folder of the public vocabulary files, unless the session names another.
 VOCABULARIES = "/opt/tokenizers"
@@ -242,4 +243,4 @@ ORACLES: dict[str, str] = {
                (first_words + second_words)::BIGINT AS taken,
                CASE WHEN first_words > 0 THEN round(CASE rank % 3 {_TURNS} END, 6) END AS position
         FROM u""",
-}
+} | RECURSIVE_SQL

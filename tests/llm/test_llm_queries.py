@@ -12,7 +12,8 @@ TABLES = "/root/testdata/sf0.01"
 def test_query_equals_sql(spark, name):
     df = queries.QUERIES[name](spark, TABLES)
     with duckdb.connect() as db:
-        db.sql(f"CREATE VIEW documents AS SELECT * FROM '{TABLES}/documents.parquet'")
+        for table in ("documents", "conversations"):
+            db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{TABLES}/{table}.parquet'")
         asked = db.execute(queries.ORACLES[name])
         columns, want = [d[0] for d in asked.description], asked.fetchall()
     assert sorted(df.columns) == sorted(columns)

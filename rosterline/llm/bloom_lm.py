@@ -40,10 +40,10 @@ from .common import ship_package, store, text_of
 #: N-gram length, base of the count levels, bits and probes for each entry, weight of the shorter context.
 ORDER, BASE, BITS, PROBES, PRIOR = 2, 2.0, 10, 4, 16.0
 UNIT_TOKENS = 1 << 19
-SHARD_BYTES, ROUND_BYTES = 64 << 20, 512 << 20
+SHARD_BYTES, ROUND_BYTES = 32 << 20, 512 << 20
 COMMON = 1 << 17
 #: Bytes of text worked on at once; words kept in a worker before its table is begun anew.
-PIECE, WORDS = 2 << 20, 400_000
+PIECE, WORDS = 2 << 20, 300_000
 END = b""
 START_KEY = np.uint64(0x5851F42D4C957F2D)
 SPACE = b" \t\n\r\x0b\x0c"
@@ -191,18 +191,19 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def _packed(keys: np.ndarray, units: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-    """Distinct keys with their counts by unit: keys seen once, repeated keys, counts of these."""
-    keys, counts = np.unique(keys, return_counts=True)
-    unit = (keys % np.uint64(units)).astype(np.int64)
-    order = np.argsort(unit, kind="stable")
-    keys, counts, unit = keys[order], counts[order].astype(np.uint32), unit[order]
-    ends = np.flatnonzero(np.diff(unit, append=-1)) + 1
+def unit_of(keys: np.ndarray, units: int) -> np.ndarray:
+    """Unit of a key; it grows with the key, so that sorted keys stand by unit."""
+    return ((keys >> np.uint64(32)) * np.uint64(units) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray, units: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """Sorted keys with their counts by unit: keys seen once, repeated keys, counts of these."""
+    unit = unit_of(keys, units)
     begin = 0
-    for end in ends:
+    for end in np.flatnonzero(np.diff(unit, append=-1)) + 1:
         k, c = keys[begin:end], counts[begin:end]
         often = c > 1
-        yield int(unit[begin]), k[~often].tobytes(), k[often].tobytes(), c[often].tobytes()
+        yield int(unit[begin]), k[~often].tobytes(), k[often].tobytes(), c[often].astype(np.uint32).tobytes()
         begin = end
 
 
@@ -214,23 +215,31 @@ def gram_counts(texts: DataFrame, units: int, order: int = ORDER) -> DataFrame:
         import pyarrow as pa
 
         words, held, size = Words(), [], 0
+        types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-        def flushed() -> pa.RecordBatch:
-            rows = list(_packed(np.concatenate(held), units))
-            types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        def flushed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            columns = list(zip(*_packed(keys, counts, units), strict=True)) or [()] * 4
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
                 [c.split()[0] for c in kind.split(", ")],
             )
 
         for block, *_ in blocks(batches, words, order):
-            held += [key[block.own] for key in block.keys]
-            size += len(held[-1]) * order
+            # Single words have one key each: their counts need no sorting of places.
+            own = block.ids[block.own]
+            place = np.full(len(words), -1)
+            place[own] = np.flatnonzero(block.own)
+            place = place[place >= 0]
+            by_key = np.argsort(block.keys[0][place])
+            place = place[by_key]
+            yield flushed(block.keys[0][place], np.bincount(own)[block.ids[place]])
+            held += [key[block.own] for key in block.keys[1:]]
+            size += sum(len(x) for x in held[len(held) - order + 1 :])
             if size > 8 * WORDS:
-                yield flushed()
+                yield flushed(*np.unique(np.concatenate(held), return_counts=True))
                 held, size = [], 0
         if size:
-            yield flushed()
+            yield flushed(*np.unique(np.concatenate(held), return_counts=True))
 
     return texts.select("text").mapInArrow(count, kind)
 
@@ -243,10 +252,14 @@ def level_steps(base: float) -> np.ndarray:
     return np.array([math.ceil(base**j - 1e-9) for j in range(int(63 / math.log2(base)))], dtype=np.float64)
 
 
-def middle(levels: np.ndarray, base: float) -> np.ndarray:
+@cache
+def middle(base: float) -> np.ndarray:
     """The count that a level stands for: the middle of those that have it, 0 for none."""
-    level = levels.astype(np.float64)
-    return np.where(levels == 0, 0.0, np.maximum(1.0, (base ** (level - 1) + base**level - 1) / 2))
+    level = np.arange(256.0)
+    with np.errstate(over="ignore"):
+        counts = np.maximum(1.0, (base ** (level - 1) + base**level - 1) / 2)
+    counts[0] = 0.0
+    return counts
 
 
 def slots(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -291,19 +304,21 @@ def build_units(grams: DataFrame, base: float = BASE, bits: int = BITS) -> DataF
 
 
 class Shard:
-    """Consecutive units of a filter in one array of bytes."""
-
-    def __init__(self, rows: list) -> None:
-        self.units = np.array([r.unit for r in rows], np.int64)
-        self.sizes = np.array([r.size for r in rows], np.uint64)
+    """Consecutive units of a filter in one array of bytes; a unit without entries has one empty word."""
+
+    def __init__(self, first: int, last: int, rows: list) -> None:
+        self.first, self.last = first, last
+        held = {r.unit: r for r in rows}
+        empty = bytes(8)
+        parts = [held[u].filter if u in held else empty for u in range(first, last + 1)]
+        self.sizes = np.array([8 * len(x) for x in parts], np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.filter = np.frombuffer(b"".join(r.filter for r in rows), np.uint8)
+        self.filter = np.frombuffer(b"".join(parts), np.uint8)
 
-    def probe(self, keys: np.ndarray, units: int, hashes: int, levels: np.ndarray) -> None:
-        """Enter the levels of the keys that belong to this shard."""
-        unit = (keys % np.uint64(units)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.units, unit), len(self.units) - 1)
-        open_, level = np.flatnonzero(self.units[at] == unit), 1
+    def probe(self, keys: np.ndarray, units: np.ndarray, hashes: int, levels: np.ndarray) -> None:
+        """Enter the levels of the keys (of the given units) that belong to this shard."""
+        open_, level = np.flatnonzero((units >= self.first) & (units <= self.last)), 1
+        at = units - self.first
         while len(open_):
             slot, step = slots(keys[open_], level)
             for _ in range(hashes):
@@ -359,7 +374,7 @@ def train(
 
 def log_probability(block: Block, levels: list[np.ndarray], model: dict) -> np.ndarray:
     """log10 of the smoothed probability of every token of a block."""
-    counts = [np.where(block.start, model["texts"], middle(level, model["base"])) for level in levels]
+    counts = [np.where(block.start, model["texts"], middle(model["base"])[level]) for level in levels]
     p = (counts[0] + 1) / (model["tokens"] + model["distinct"] + 1)
     for k in range(1, len(levels)):
         held = np.concatenate([[0.0], counts[k - 1][:-1]])
@@ -396,9 +411,7 @@ def score_texts(
 
     for number, groups in enumerate(rounds):
         shards = [
-            context.broadcast(Shard(
-                model.units.filter(F.col("unit").between(g[0], g[-1])).orderBy("unit").collect()
-            ))
+            context.broadcast(Shard(g[0], g[-1], model.units.filter(F.col("unit").between(g[0], g[-1])).collect()))
             for g in groups
         ]
         last = number == len(rounds) - 1
@@ -450,9 +463,9 @@ def _levels(
     met = np.flatnonzero(place >= 0)
     keys, back = np.unique(np.concatenate([block.keys[0][:0], *block.keys[1:]]), return_inverse=True)
     asked = np.concatenate([block.keys[0][place[met]], keys])
-    found = np.zeros(len(asked), np.uint8)
+    found, unit = np.zeros(len(asked), np.uint8), unit_of(asked, units)
     for shard in shards:
-        shard.value.probe(asked, units, hashes, found)
+        shard.value.probe(asked, unit, hashes, found)
         if len(shards) > 1 and hasattr(shard, "_value"):
             del shard._value  # read again from the worker's disk when it is asked for
     of_word = np.zeros(len(place), np.uint8)

@@ -144,10 +144,10 @@ def test_counts_are_never_too_small():
             return build(table).to_pylist()[0]
 
     row = bloom_lm.build_units(Grams(), 2.0, 10)
-    shard = bloom_lm.Shard([type("Row", (), row)()])
+    shard = bloom_lm.Shard(0, 0, [type("Row", (), row)()])
     asked = np.concatenate([keys, rng.integers(0, 1 << 63, 20000, dtype=np.uint64)])
     levels = np.zeros(len(asked), np.uint8)
-    shard.probe(asked, 1, bloom_lm.PROBES, levels)
+    shard.probe(asked, bloom_lm.unit_of(asked, 1), bloom_lm.PROBES, levels)
     exact = np.floor(np.log2(counts)).astype(int) + 1
     assert (levels[:4000] >= exact).all() and (levels[:4000] == exact).mean() > 0.95
     assert (levels[4000:] > 0).mean() < 0.03

@@ -2,24 +2,28 @@
 
 How the stages stay linear in the data
 --------------------------------------
-The zip and containment stages ask questions about *counts* of candidates, so they are
-answered from an index and never list candidate pairs: every registry name contributes each
-subset of its distinctive tokens once, the index keeps how many names carry a subset and one
-of their codes, and a listing row is a lookup.  A hot token or zip is one index row.  Names
-with more than ``MAX_INDEXED_TOKENS`` distinctive tokens, too many for subsets, take an exact
-pairwise path instead.
-
-Only the fuzzy stage has to compare names one by one.  It runs on the distinct names no
+Registry names with equal token sets are one class with a count and one of their codes, and
+listing names are looked up once per distinct set of tokens that the registry knows at all.
+The zip stage reads the first answer, whether one candidate alone shares a token, from counts
+per token. For the other one, the largest overlap and how many candidates reach it, the
+*rarest* token of a set is looked up first in an inverted index over the classes, which gives
+an overlap ``k`` that is reached; a candidate with ``k`` or more must hold one of the
+``size - k + 1`` rarest tokens, so only those are looked up then, and the overlap of every
+class found is counted exactly. Containment looks up the rarest token only and verifies the
+rest. There is one plan for names of any length.
+
+Only the fuzzy stage has to compare names one by one. It runs on the distinct names no
 earlier stage decided, against the distinct registry names sharing a distinctive token; a pair
-is produced at one token only, and long posting lists are cut into chunks so that a hot token
-spreads over many tasks.
+is produced at one token only. Letter counts bound the similarity of a pair from above: pairs
+of a name are scored best bound first, and those whose bound is below the best score so far
+are skipped. Posting lists longer than ``POSTING_CHUNK`` are cut into chunks in all stages, so
+that a hot token spreads over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,10 +35,11 @@ from ..functions.text import distinct_tokens, normalize_tokens, zip5
 from ..session import broadcast_if_few, cut_lineage
 from .frames import explode_rows
 
-MAX_INDEXED_TOKENS = 8
 POSTING_CHUNK = 5_000
 ANY_TOKEN = "*"
 ZIP_CLASS = ["state", "zip5", "tokens"]
+#: Characters counted apart for the similarity bound; all others count together.
+LETTERS = " ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
 # --- tokens -----------------------------------------------------------------
@@ -116,69 +121,60 @@ def prepare(
 
 # --- index ------------------------------------------------------------------
 
-def _subsets(tokens: Column) -> Column:
-    """All non-empty subsets of a sorted token array, each joined into one string."""
-    empty = F.array().cast("array<array<string>>")
-    grown = F.aggregate(
-        tokens,
-        empty,
-        lambda sets, token: F.concat(
-            sets, F.transform(sets, lambda s: F.array_append(s, token)), F.array(F.array(token))
-        ),
+def _token_index(registry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys..., token) -> n, lowest and highest code`` over the registry."""
+    return explode_rows(registry, [*keys, "code"], F.col("tokens"), "token").groupBy(*keys, "token").agg(
+        F.count(F.lit(1)).alias("n"), F.min("code").alias("low"), F.max("code").alias("high")
     )
-    return grown
 
 
-def _indexed(df: DataFrame) -> DataFrame:
-    return df.filter(F.size("tokens").between(1, MAX_INDEXED_TOKENS))
+def _known_tokens(classes: DataFrame, registry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``classes`` (keys..., tokens) with ``known``: (n, token, low, high) of the tokens in the index,
+    the rarest first. Classes without such a token are left out."""
+    index = _token_index(registry, keys)
+    each = explode_rows(classes, [*keys, "tokens"], F.col("tokens"), "token")
+    entry = F.struct("n", "token", "low", "high")
+    return each.join(index, [*keys, "token"]).groupBy(*keys, "tokens").agg(
+        F.sort_array(F.collect_list(entry)).alias("known")
+    )
 
 
-def _too_long(df: DataFrame) -> DataFrame:
-    return df.filter(F.size("tokens") > MAX_INDEXED_TOKENS)
+def _long_lists(postings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys...) -> chunks`` of the posting lists that are longer than one chunk."""
+    sizes = postings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    chunks = sizes.filter(F.col("n") > POSTING_CHUNK).select(
+        *keys, F.ceil(F.col("n") / POSTING_CHUNK).cast("int").alias("chunks")
+    )
+    return broadcast_if_few(cut_lineage(chunks))
 
 
-def _subset_rows(df: DataFrame, *columns: str) -> DataFrame:
-    exploded = explode_rows(_indexed(df), columns, _subsets(F.col("tokens")), "_set")
-    return exploded.select(
-        *columns, F.array_join("_set", " ").alias("subset"), F.size("_set").alias("width")
-    )
+def _cut(postings: DataFrame, long_lists: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """Every posting in one ``chunk`` of its list."""
+    chunk = F.pmod(F.xxhash64(by), F.coalesce("chunks", F.lit(1))).cast("int")
+    return postings.join(long_lists, list(keys), "left").withColumn("chunk", chunk).drop("chunks")
 
 
-def _subset_index(registry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``(keys..., subset) -> n, lowest and highest code`` over the registry."""
-    return (
-        _subset_rows(registry, *keys, "code")
-        .groupBy(*keys, "subset")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("code").alias("first_code"),
-            F.max("code").alias("last_code"),
-        )
-    )
+def _spread(probes: DataFrame, long_lists: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every probe once for each ``chunk`` of the list it asks for."""
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1))
+    return probes.join(long_lists, list(keys), "left").withColumn("chunk", each).drop("chunks")
 
 
-def _long_name_overlaps(classes: DataFrame, registry: DataFrame) -> DataFrame | None:
-    """Exact overlaps of pairs in which a name is too long for the index; None without such names."""
+class _Postings:
+    """Inverted index over the classes of equal token sets: (keys..., token) -> class, n, first code."""
 
-    def postings(df: DataFrame, *columns: Column) -> DataFrame:
-        return df.select("state", "zip5", F.explode("tokens").alias("token"), *columns)
+    def __init__(self, registry: DataFrame, keys: Sequence[str]) -> None:
+        self.keys = [*keys, "token"]
+        classes = registry.filter(F.size("tokens") > 0).groupBy(*keys, F.col("tokens").alias("r_tokens")).agg(
+            F.count(F.lit(1)).alias("names"), F.min("code").alias("first_code")
+        )
+        self.rows = classes.withColumn("token", F.explode("r_tokens"))
+        self.long_lists = _long_lists(self.rows, self.keys)
 
-    keys = ["state", "zip5", "token"]
-    mine, theirs = [F.col("tokens")], [F.col("tokens").alias("r_tokens"), F.col("code")]
-    long_left, long_right = _too_long(classes), _too_long(registry)
-    parts = []
-    if not long_left.isEmpty():
-        parts.append(postings(long_left, *mine).join(postings(registry, *theirs), keys))
-    if not long_right.isEmpty():
-        parts.append(postings(_indexed(classes), *mine).join(postings(long_right, *theirs), keys))
-    if not parts:
-        return None
-    shared = F.array_intersect("tokens", "r_tokens")
-    pairs = reduce(DataFrame.unionByName, parts)
-    return pairs.filter(F.array_min(shared) == F.col("token")).select(
-        *ZIP_CLASS, F.size(shared).alias("width"), F.lit(1).cast("bigint").alias("n"),
-        F.col("code").alias("first_code"), F.col("code").alias("last_code"),
-    )
+    def holding(self, probes: DataFrame) -> DataFrame:
+        """``probes`` (keys..., token, ...) with every class that holds their token."""
+        cut = _cut(self.rows, self.long_lists, self.keys, "r_tokens")
+        return _spread(probes, self.long_lists, self.keys).join(cut, [*self.keys, "chunk"])
 
 
 # --- stages -----------------------------------------------------------------
@@ -191,26 +187,50 @@ def link_override(listing: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
+def _best_overlaps(sets: DataFrame, postings: _Postings) -> DataFrame:
+    """``sets`` (keys..., known_tokens, the rarest first) with ``top``: the largest number of tokens that a
+    registry name shares with the set, how many names share so many, and the lowest code of them."""
+    columns = sets.columns
+    width = F.size(F.array_intersect("known_tokens", "r_tokens"))
+
+    def hits(probes: DataFrame) -> DataFrame:
+        return postings.holding(probes).withColumn("width", width)
+
+    rarest = hits(sets.withColumn("token", F.element_at("known_tokens", 1)))
+    reached = rarest.groupBy(*columns).agg(F.max("width").alias("reached"))
+    prefix = F.slice("known_tokens", F.lit(1), F.size("known_tokens") - F.col("reached") + 1)
+    found = hits(reached.withColumn("token", F.explode(prefix)).drop("reached")).filter(
+        F.element_at(F.array_intersect("known_tokens", "r_tokens"), 1) == F.col("token")
+    )
+    per_width = found.groupBy(*columns, "width").agg(
+        F.sum("names").alias("n"), F.min("first_code").alias("code")
+    )
+    return per_width.groupBy(*columns).agg(F.max(F.struct("width", "n", "code")).alias("top"))
+
+
+def _known_at_zip(listing: DataFrame, registry: DataFrame) -> DataFrame:
+    """``ZIP_CLASS, known, only``: the tokens of a listing class that registry names at its zip hold, and
+    whether one name alone holds all of them."""
+    classes = listing.filter(F.col("zip5").isNotNull()).select(*ZIP_CLASS).distinct()
+    known = _known_tokens(classes, registry.filter(F.col("zip5").isNotNull()), ["state", "zip5"])
+    return known.withColumn("only", F.array_min("known.low") == F.array_max("known.high"))
+
+
 def _evidence_by_class(listing: DataFrame, registry: DataFrame) -> DataFrame:
     """Zip evidence once per distinct (state, zip, tokens) of the listing, copies share it."""
-    classes = listing.filter(F.col("zip5").isNotNull()).select(*ZIP_CLASS).distinct()
-    at_zip = registry.filter(F.col("zip5").isNotNull())
     keys = ["state", "zip5"]
-    hits = (
-        _subset_rows(classes, *ZIP_CLASS)
-        .join(_subset_index(at_zip, keys), [*keys, "subset"])
-        .select(*ZIP_CLASS, "width", "n", "first_code", "last_code")
-    )
-    long_names = _long_name_overlaps(classes, at_zip)
-    if long_names is not None:
-        hits = hits.unionByName(long_names)
-    per_width = hits.groupBy(*ZIP_CLASS, "width").agg(
-        F.sum("n").alias("n"), F.min("first_code").alias("low"), F.max("last_code").alias("high")
-    )
-    return per_width.groupBy(*ZIP_CLASS).agg(
-        (F.min("low") == F.max("high")).alias("only"),
-        F.max(F.struct("width", "n", F.col("low").alias("code"))).alias("top"),
-    ).select(
+    known = cut_lineage(_known_at_zip(listing, registry).withColumn("known_tokens", F.col("known.token")))
+    # One candidate alone, or one token, which is shared with as many names as hold it.
+    settled = F.col("only") | (F.size("known") == 1)
+    plain = known.filter(settled).select(*ZIP_CLASS, "only", F.struct(
+        F.size("known").alias("width"), F.when(F.col("only"), F.lit(1)).otherwise(F.col("known")[0]["n"]).alias("n"),
+        F.array_min("known.low").alias("code"),
+    ).alias("top"))
+    open_ = known.filter(~settled)
+    postings = _Postings(registry.filter(F.col("zip5").isNotNull()), keys)
+    tops = _best_overlaps(open_.select(*keys, "known_tokens").distinct(), postings)
+    several = open_.join(tops, [*keys, "known_tokens"]).select(*ZIP_CLASS, "only", "top")
+    return plain.unionByName(several).select(
         *ZIP_CLASS, "only", F.col("top.code").alias("top_code"), F.col("top.n").alias("top_n"),
         F.col("top.width").alias("top_width"),
     )
@@ -237,8 +257,11 @@ def _no_score() -> Column:
 
 def link_key_token(listing: DataFrame, registry: DataFrame) -> DataFrame:
     """Stage 2, exactly one candidate at the zip shares a distinctive token."""
-    return zip_evidence(listing, registry).filter("only").select(
-        "l_id", F.col("top_code").alias("code"), F.lit("zip+token").alias("method"), _no_score()
+    alone = _known_at_zip(listing, registry).filter("only").select(
+        *ZIP_CLASS, F.array_min("known.low").alias("code")
+    )
+    return listing.join(alone, ZIP_CLASS).select(
+        "l_id", "code", F.lit("zip+token").alias("method"), _no_score()
     )
 
 
@@ -269,28 +292,21 @@ def link_exact(listing: DataFrame, registry: DataFrame) -> DataFrame:
 
 def _containment_by_class(listing: DataFrame, registry: DataFrame) -> DataFrame:
     """``(state, tokens, contain_code)`` where one candidate alone holds all the tokens."""
-    keys = ["state", "tokens"]
-    classes = listing.filter(F.size("tokens") > 0).select(*keys).distinct()
-    whole = _indexed(classes).withColumn("subset", F.array_join("tokens", " "))
-    found = whole.join(_subset_index(registry, ["state"]), ["state", "subset"]).select(
-        *keys, "n", F.col("first_code").alias("code")
-    )
-    long_names = _too_long(registry)
-    if not long_names.isEmpty():
-        # A candidate too long for the index must at least hold the first token of the row.
-        by_first = classes.withColumn("token", F.element_at("tokens", 1))
-        listed = by_first.join(
-            long_names.select(
-                "state", "code", F.col("tokens").alias("r_tokens"), F.explode("tokens").alias("token")
-            ),
-            ["state", "token"],
-        )
-        found = found.unionByName(
-            listed.filter(F.size(F.array_except("tokens", "r_tokens")) == 0)
-            .select(*keys, F.lit(1).cast("bigint").alias("n"), "code")
-        )
-    counted = found.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("code").alias("contain_code"))
-    return counted.filter("n = 1").drop("n")
+    classes = listing.filter(F.size("tokens") > 0).select("state", "tokens").distinct()
+    known = cut_lineage(
+        _known_tokens(classes, registry, ["state"]).filter(F.size("known") == F.size("tokens"))
+    )
+    rarest = F.col("known")[0]
+    single = known.filter(F.size("known") == 1).select(
+        "state", "tokens", rarest["n"].alias("n"), rarest["low"].alias("contain_code")
+    )
+    probes = known.filter(F.size("known") > 1).select("state", "tokens", rarest["token"].alias("token"))
+    several = (
+        _Postings(registry, ["state"]).holding(probes)
+        .filter(F.size(F.array_except("tokens", "r_tokens")) == 0)
+        .groupBy("state", "tokens").agg(F.sum("names").alias("n"), F.min("first_code").alias("contain_code"))
+    )
+    return single.unionByName(several).filter("n = 1").drop("n")
 
 
 def link_containment(listing: DataFrame, registry: DataFrame) -> DataFrame:
@@ -340,15 +356,33 @@ SIMILARITY = {
 }
 
 
-def _length_ceiling(left: Column, right: Column, method: str) -> Column:
-    """The similarity two names could reach at most, judged by their lengths alone."""
+def _length_ceiling(left: Column, right: Column) -> Column:
+    """The edit similarity two names could reach at most, judged by their lengths alone."""
     a, b = F.length(left), F.length(right)
-    if method == "levenshtein":
-        return F.try_divide(F.least(a, b), F.greatest(a, b))
-    return F.try_divide(2 * F.least(a, b), a + b)
+    return F.try_divide(F.least(a, b), F.greatest(a, b))
+
 
+def letter_counts(name: Column) -> Column:
+    """How often each of ``LETTERS`` occurs, and how many other characters there are."""
+    counts = [F.length(name) - F.length(F.replace(name, F.lit(c), F.lit(""))) for c in LETTERS]
+    rest = F.length(F.translate(name, LETTERS, ""))
+    return F.array(*counts, rest).cast("array<smallint>")
 
-def _chunked_postings(names: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def ratio_bound(left: Column, right: Column) -> Column:
+    """The Ratcliff-Obershelp similarity that two names could reach at most, from their letter counts.
+
+    Matched blocks never use a character more often than both names hold it. Characters that are
+    counted together only raise the bound. Numerator and divisor are those of the similarity, so
+    the bound is never below it, not even by rounding.
+    """
+    total = lambda counts: F.aggregate(counts, F.lit(0), lambda n, c: n + c)
+    shared = total(F.zip_with(left, right, lambda a, b: F.least(a, b).cast("int")))
+    length = total(left) + total(right)
+    return F.when(length == 0, F.lit(1.0)).otherwise((F.lit(2.0) * shared) / length)
+
+
+def _fuzzy_postings(names: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct registry names by token, long lists cut into chunks, and the chunk counts.
 
     ``ANY_TOKEN`` lists all names of a state: a listing name without any distinctive token is
@@ -364,19 +398,67 @@ def _chunked_postings(names: DataFrame, registry: DataFrame) -> tuple[DataFrame,
         "state",
         F.explode(listed.otherwise(F.col("r_tokens"))).alias("token"),
         F.col("norm").alias("r_norm"),
+        letter_counts(F.col("norm")).alias("r_letters"),
         "r_tokens",
         "first",
     )
-    sizes = postings.groupBy("state", "token").agg(F.count(F.lit(1)).alias("n"))
-    chunks = sizes.filter(F.col("n") > POSTING_CHUNK).select(
-        "state", "token", F.ceil(F.col("n") / POSTING_CHUNK).cast("int").alias("chunks")
-    )
-    # Only lists longer than one chunk are in here; both sides of the pair join read it.
-    chunks = broadcast_if_few(cut_lineage(chunks))
-    cut = postings.join(chunks, ["state", "token"], "left").withColumn(
-        "chunk", F.pmod(F.xxhash64("r_norm"), F.coalesce("chunks", F.lit(1))).cast("int")
+    long_lists = _long_lists(postings, ["state", "token"])
+    return _cut(postings, long_lists, ["state", "token"], "r_norm"), long_lists
+
+
+def fuzzy_pairs(listing: DataFrame, registry: DataFrame) -> DataFrame:
+    """Each distinct listing name with each distinct registry name it may be compared with, once:
+    ``state, norm, tokens, letters, chunk, r_norm, r_letters, first``."""
+    names = listing.select("state", "norm", "tokens").distinct()
+    names = names.withColumn("letters", letter_counts(F.col("norm")))
+    postings, long_lists = _fuzzy_postings(names, registry)
+    wanted = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(ANY_TOKEN)))
+    probes = _spread(names.withColumn("token", F.explode(wanted)), long_lists, ["state", "token"])
+    once = (F.col("token") == ANY_TOKEN) | (
+        F.array_min(F.array_intersect("tokens", "r_tokens")) == F.col("token")
     )
-    return cut.drop("chunks"), chunks
+    return probes.join(postings, ["state", "token", "chunk"]).filter(once).drop("token", "r_tokens")
+
+
+def best_first(pairs: DataFrame) -> DataFrame:
+    """``(state, norm, r_order, code, score, scored)``: the best pair of each name and chunk.
+
+    ``pairs`` needs ``bound``. The pairs of a name are read best bound first, from a sort, and a pair is
+    scored only while its bound could still win; ``scored`` counts those.
+    """
+    kind = "state string, norm string, r_order long, code string, score double, scored long"
+    rows = pairs.select(
+        "state", "norm", "chunk", "bound", "r_norm", F.col("first.r_order").cast("long").alias("r_order"), "first.code"
+    )
+    ordered = rows.repartition("state", "norm", "chunk").sortWithinPartitions(
+        "state", "norm", "chunk", F.desc("bound"), "r_order"
+    )
+
+    def score(batches):  # noqa: ANN001, ANN202  (nested, so that it travels to the workers by value)
+        matcher, now, best, scored = SequenceMatcher(None), None, (0.0, 0, None), 0
+        for batch in batches:
+            out = []
+            for state, norm, chunk, bound, r_norm, r_order, code in batch.itertuples(index=False, name=None):
+                if (state, norm, chunk) != now:
+                    if scored:
+                        out.append((*now[:2], -best[1], best[2], best[0], scored))
+                    now, best, scored = (state, norm, chunk), (0.0, 0, None), 0
+                    matcher.set_seq1(norm)
+                if scored and (bound, -r_order) <= best[:2]:
+                    continue
+                matcher.set_seq2(r_norm)
+                scored += 1
+                ratio = matcher.ratio()
+                if (ratio, -r_order) > best[:2] or best[2] is None:
+                    best = (ratio, -r_order, code)
+            yield pd.DataFrame(out, columns=["state", "norm", "r_order", "code", "score", "scored"])
+        if scored:
+            yield pd.DataFrame(
+                [(*now[:2], -best[1], best[2], best[0], scored)],
+                columns=["state", "norm", "r_order", "code", "score", "scored"],
+            )
+
+    return ordered.mapInPandas(score, kind)
 
 
 def best_fuzzy(
@@ -385,28 +467,22 @@ def best_fuzzy(
     """``(state, norm, best_code, best_score)``: the most similar candidate of each listing name.
 
     Candidates share a distinctive token, if the listing name has one.  The first candidate
-    in registry order wins a tie; a score of zero is no candidate.  Pairs whose lengths alone
-    keep them below ``floor`` are not scored, which changes no score of ``floor`` or more.
+    in registry order wins a tie; a score of zero is no candidate.  Pairs that cannot reach
+    ``floor`` are not scored, which changes no score of ``floor`` or more.
     """
-    names = listing.select("state", "norm", "tokens").distinct()
-    postings, chunks = _chunked_postings(names, registry)
-    wanted = F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(ANY_TOKEN)))
-    spread = (
-        names.withColumn("token", F.explode(wanted))
-        .join(chunks, ["state", "token"], "left")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-        .drop("chunks")
-    )
-    pairs = spread.join(postings, ["state", "token", "chunk"])
-    once = (F.col("token") == ANY_TOKEN) | (
-        F.array_min(F.array_intersect("tokens", "r_tokens")) == F.col("token")
-    )
-    if floor > 0:
-        once = once & (_length_ceiling(F.col("norm"), F.col("r_norm"), method) >= floor)
-    scored = pairs.filter(once).select(
-        "state", "norm", "first", SIMILARITY[method](F.col("norm"), F.col("r_norm")).alias("score")
-    )
-    best = F.max(F.struct("score", (-F.col("first.r_order")).alias("_order"), "first.code"))
+    pairs = fuzzy_pairs(listing, registry)
+    if method == "difflib":
+        bound = ratio_bound(F.col("letters"), F.col("r_letters"))
+        bounded = pairs.withColumn("bound", bound).filter(F.col("bound") >= floor)
+        scored = best_first(bounded)
+    else:
+        if floor > 0:
+            pairs = pairs.filter(_length_ceiling(F.col("norm"), F.col("r_norm")) >= floor)
+        scored = pairs.select(
+            "state", "norm", "first.r_order", "first.code",
+            SIMILARITY[method](F.col("norm"), F.col("r_norm")).alias("score"),
+        )
+    best = F.max(F.struct("score", (-F.col("r_order")).alias("_order"), "code"))
     return (
         scored.filter("score > 0")
         .groupBy("state", "norm")

@@ -274,7 +274,6 @@ def q_link_levenshtein(spark, sf_dir):
 
 @query
 def q_link_difflib(spark, sf_dir):
-    """Rows only: no SQL engine has this similarity; tests compare it with brute force."""
     return _linked(linkage.link_fuzzy(*_prepared(spark, sf_dir), method="difflib"))
 
 
@@ -285,7 +284,6 @@ def q_crosswalk(spark, sf_dir):
 
 @query
 def q_crosswalk_difflib(spark, sf_dir):
-    """Rows only, for the same reason as ``q_link_difflib``."""
     return _matches(spark, sf_dir, "difflib").select("l_id", "state", "code", "method", "score")
 
 
@@ -631,7 +629,7 @@ def q_contract_rows(spark, sf_dir):
 
 @query
 def q_campaign_feed(spark, sf_dir):
-    rows = s.campaigns(spark, sf_dir)
+    rows = s.campaigns(spark, sf_dir).withColumn("public_summary", F.col("short_summary"))
     broken = campaign.check_campaigns(rows, AS_OF, identifier=EMAIL)
     good = rows.join(broken.select("row_id").distinct(), "row_id", "left_anti")
     feed = campaign.order_feed(campaign.campaign_feed(good, AS_OF))

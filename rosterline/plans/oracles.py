@@ -178,19 +178,22 @@ UNION ALL SELECT code, dim, value, CASE WHEN c BETWEEN 1 AND 4 THEN NULL ELSE CA
 
 WORDS_W = "' W' || (p_partkey // 40)"
 WORDS_WK = "' W' || (p_partkey // 40) || ' K' || (p_partkey // 9)"
-REGISTRY_NAME = f"p_name || {WORDS_WK} || ' ctr'"
+MORE_WORDS = " || ".join(f"' U{i}x' || (p_partkey // 400)" for i in range(1, 10))
+PART_WORDS = f"""(CASE WHEN p_partkey % 25 = 7 THEN ' hub' ELSE '' END
+    || CASE WHEN p_partkey % 40 = 11 THEN {MORE_WORDS} ELSE '' END)"""
+REGISTRY_NAME = f"p_name || {PART_WORDS} || {WORDS_WK} || ' ctr'"
 LISTING_NAME = f"""
     CASE p_partkey % 8
-         WHEN 0 THEN p_name || {WORDS_WK} || ' Center'
+         WHEN 0 THEN p_name || {PART_WORDS} || {WORDS_WK} || ' Center'
          WHEN 2 THEN 'The' || {WORDS_WK} || ' center'
-         WHEN 3 THEN p_name || 's' || {WORDS_WK} || ' ctr'
+         WHEN 3 THEN p_name || 's' || {PART_WORDS} || {WORDS_WK} || ' ctr'
          WHEN 4 THEN 'alias ' || p_partkey
          WHEN 5 THEN 'unknown place ' || p_partkey
-         WHEN 6 THEN p_name || {WORDS_W} || ' ctr'
-         ELSE p_name || {WORDS_WK} || ' ctr' END"""
+         WHEN 6 THEN p_name || {PART_WORDS} || {WORDS_W} || ' ctr'
+         ELSE p_name || {PART_WORDS} || {WORDS_WK} || ' ctr' END"""
 LISTING_ZIP = "CAST(CASE WHEN p_partkey % 8 IN (0, 6, 7) THEN p_size ELSE p_size + 1000 END AS VARCHAR)"
 
-LINK = f"""
+LINK_PAIRS = f"""
 reg_names AS (
     SELECT 'P' || p_partkey AS code, p_partkey AS r_order, upper(p_brand) AS state,
            lpad(CAST(p_size AS VARCHAR), 5, '0') AS zip5, {REGISTRY_NAME} AS name,
@@ -240,17 +243,46 @@ pairs AS (
     JOIN (SELECT code, r_order, state, norm, unnest(toks) AS tok FROM reg) r
       ON l.state = r.state AND l.tok = r.tok
     UNION ALL
-    SELECT l.l_id, l.norm, r.code, r.r_order, r.norm FROM lst l JOIN reg r ON l.state = r.state WHERE len(l.toks) = 0),
+    SELECT l.l_id, l.norm, r.code, r.r_order, r.norm FROM lst l JOIN reg r ON l.state = r.state WHERE len(l.toks) = 0)"""
+SCORED = """
 scored AS (
     SELECT l_id, code, r_order,
            (greatest(length(l_norm), length(r_norm)) - levenshtein(l_norm, r_norm))
-           / greatest(length(l_norm), length(r_norm)) AS score FROM pairs),
+           / greatest(length(l_norm), length(r_norm)) AS score FROM pairs)"""
+# Ratcliff-Obershelp: the longest common block, earliest in the first name and then in the second, and
+# the same again on both sides of it. A row of ``cut`` is two rests and the length of the block between.
+SCORED_BLOCKS = """
+compared AS (SELECT DISTINCT l_norm, r_norm FROM pairs),
+cut(l_norm, r_norm, a, b, size) AS (
+    SELECT l_norm, r_norm, l_norm, r_norm, 0 FROM compared
+    UNION ALL
+    SELECT l_norm, r_norm,
+           CASE WHEN side = 0 THEN substring(a, 1, pos - 1) ELSE substring(a, pos + size) END,
+           CASE WHEN side = 0 THEN substring(b, 1, b_pos - 1) ELSE substring(b, b_pos + size) END,
+           CASE WHEN side = 0 THEN size ELSE 0 END
+    FROM (SELECT l_norm, r_norm, a, b, best.size AS size, best.pos AS pos,
+                 strpos(b, substring(a, best.pos, best.size)) AS b_pos
+          FROM (SELECT *, list_filter(
+                    list_transform(range(0, length(a) * least(length(a), length(b))), lambda x: {
+                        'size': least(length(a), length(b)) - x // length(a), 'pos': x % length(a) + 1}),
+                    lambda c: c.pos + c.size - 1 <= length(a) AND contains(b, substring(a, c.pos, c.size)))[1] AS best
+                FROM cut WHERE a <> '' AND b <> '')
+          WHERE best IS NOT NULL),
+         (VALUES (0), (1)) AS sides(side)),
+alike AS (
+    SELECT l_norm, r_norm, CASE WHEN length(l_norm) + length(r_norm) = 0 THEN 1
+                                ELSE 2 * sum(size) / (length(l_norm) + length(r_norm)) END AS score
+    FROM cut GROUP BY l_norm, r_norm),
+scored AS (SELECT l_id, code, r_order, score FROM pairs JOIN alike USING (l_norm, r_norm))"""
+FUZZY = """
 fuzzy AS (
     SELECT l_id, code AS f_code, score AS f_score
     FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_order) AS rn
           FROM scored WHERE score > 0) WHERE rn = 1)"""
+LINK = f"{LINK_PAIRS},{SCORED},{FUZZY}"
+LINK_BLOCKS = f"{LINK_PAIRS},{SCORED_BLOCKS},{FUZZY}"
 
-CROSSWALK = f"""{LINK},
+JOINED = """
 joined AS (
     SELECT l.l_id, l.l_name, l.state, o_code, z.hits, z.ties, z_code, z_score, e_code, c_code, f_code, f_score,
            l.state IN (SELECT state FROM reg) AS has_block
@@ -279,6 +311,7 @@ matches AS (
              WHEN 'distinctive-token' THEN 1.0 WHEN 'fuzzy' THEN round_even(f_score, 3)
              WHEN 'unmatched' THEN round_even(f_score, 3) END AS score
     FROM staged)"""
+CROSSWALK = f"{LINK},{JOINED}"
 
 NO_SCORE = "CAST(NULL AS DOUBLE) AS score"
 ORACLES["q_link_override"] = f"""
@@ -297,7 +330,12 @@ WITH {LINK} SELECT l_id, c_code AS code, 'distinctive-token' AS method, CAST(1.0
 ORACLES["q_link_levenshtein"] = f"""
 WITH {LINK} SELECT l_id, f_code AS code, 'fuzzy' AS method, round_even(f_score, 3) AS score
 FROM fuzzy WHERE f_score >= 0.84"""
+ORACLES["q_link_difflib"] = f"""
+WITH RECURSIVE {LINK_BLOCKS} SELECT l_id, f_code AS code, 'fuzzy' AS method, round_even(f_score, 3) AS score
+FROM fuzzy WHERE f_score >= 0.84"""
 ORACLES["q_crosswalk"] = f"WITH {CROSSWALK} SELECT l_id, state, code, method, CAST(score AS DOUBLE) AS score FROM matches"
+ORACLES["q_crosswalk_difflib"] = f"""
+WITH RECURSIVE {LINK_BLOCKS},{JOINED} SELECT l_id, state, code, method, CAST(score AS DOUBLE) AS score FROM matches"""
 ORACLES["q_match_report"] = f"""
 WITH {CROSSWALK}
 SELECT 'total' AS figure, CAST(count(*) AS DOUBLE) AS value FROM matches
@@ -725,7 +763,7 @@ ORACLES["q_duplicates"] = "SELECT count(*) - count(DISTINCT p_name) AS duplicate
 
 # --- campaigns --------------------------------------------------------------
 
-CAMPAIGNS = """
+CAMPAIGNS = r"""
 campaigns AS (
     SELECT doc_id AS row_id,
            'BF-' || CASE WHEN doc_id % 9 = 8 THEN '000007' WHEN doc_id < 100000 THEN lpad(CAST(doc_id AS VARCHAR), 6, '0') ELSE CAST(doc_id AS VARCHAR) END AS case_id,
@@ -733,19 +771,21 @@ campaigns AS (
            CASE WHEN doc_id % 9 = 1 THEN NULL ELSE n_chars END AS goal, n_chars % 997 AS raised,
            ['immigration_only', 'not_reported', 'other', 'conviction_reported'][doc_id % 4 + 1] AS category,
            doc_id % 33 + 1 AS verified_day, doc_id % 28 + 1 AS expires_day,
-           CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Text of ' || n_chars || ' characters in ' || lang END AS public_summary,
+           text AS public_summary, regexp_extract(text, '^[^.!?\n]*[.!?]?', 0) AS short_summary,
            coalesce(url, 'https://fund.example/cases/' || doc_id) AS contribution_url,
            CASE WHEN doc_id % 9 = 5 THEN '' ELSE source END AS recipient,
            doc_id % 9 = 6 AS bad_terms,
            ['accepting', 'funded', 'bond_posted', 'accepting', 'closed'][doc_id % 5 + 1] AS status,
            doc_id % 9 = 4 AS refused
-    FROM documents LEFT JOIN pages ON page_id = doc_id),
+    FROM documents LEFT JOIN pages ON page_id = doc_id)"""
+
+BROKEN = r"""
 broken AS (
     SELECT row_id, case_id, 'case_id' AS field, 'duplicate' AS rule
     FROM (SELECT *, min(row_id) OVER (PARTITION BY case_id) AS first_row FROM campaigns) WHERE row_id > first_row
     UNION ALL SELECT row_id, case_id, 'consent_confirmed', 'must be TRUE' FROM campaigns WHERE refused
     UNION ALL SELECT row_id, case_id, 'public_summary', 'contains an identifier' FROM campaigns
-              WHERE regexp_matches(public_summary, '(?i)[\\w.]+@[\\w.]+')
+              WHERE regexp_matches(public_summary, '(?i)[\w.]+@[\w.]+')
     UNION ALL SELECT row_id, case_id, 'public_summary', 'too long' FROM campaigns WHERE length(public_summary) > 360
     UNION ALL SELECT row_id, case_id, 'bond_amount', 'must be a whole amount above zero' FROM campaigns WHERE goal IS NULL OR goal <= 0
     UNION ALL SELECT row_id, case_id, 'booking_category', 'unknown category' FROM campaigns WHERE category = 'other'
@@ -757,9 +797,9 @@ broken AS (
     UNION ALL SELECT row_id, case_id, 'terms_url', 'must be a safe https address' FROM campaigns WHERE bad_terms
     UNION ALL SELECT row_id, case_id, 'contribution_recipient', 'required' FROM campaigns WHERE recipient = '')"""
 
-ORACLES["q_contract_rows"] = f"WITH {CAMPAIGNS} SELECT row_id, case_id, field, rule FROM broken"
+ORACLES["q_contract_rows"] = f"WITH {CAMPAIGNS}, {BROKEN} SELECT row_id, case_id, field, rule FROM broken"
 ORACLES["q_campaign_feed"] = f"""
-WITH {CAMPAIGNS},
+WITH {CAMPAIGNS}, {BROKEN.replace("public_summary,", "short_summary,").replace("(public_summary)", "(short_summary)")},
 good AS (SELECT * FROM campaigns WHERE row_id NOT IN (SELECT row_id FROM broken))
 SELECT case_id, nullif(region, '') AS region, goal AS bond_amount, raised AS amount_raised,
        CASE category WHEN 'immigration_only' THEN 'Immigration-only classification' WHEN 'not_reported' THEN 'Not reported'

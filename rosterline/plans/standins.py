@@ -56,9 +56,18 @@ def _suffix(*steps: tuple[str, int]) -> Column:
     return F.concat(*words)
 
 
+def _part_words() -> Column:
+    """Words after the part name: a token that 4 % of all names hold, and nine more in one name of forty."""
+    key = F.col("p_partkey")
+    hub = F.when(F.pmod(key, F.lit(25)) == 7, F.lit(" hub")).otherwise("")
+    group = F.floor(key / 400).cast("string")
+    more = F.concat(*[F.concat(F.lit(f" U{i}x"), group) for i in range(1, 10)])
+    return F.concat(hub, F.when(F.pmod(key, F.lit(40)) == 11, more).otherwise(""))
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as a registry entity: brand is the block, size the secondary key."""
-    name = F.concat("p_name", _suffix(("W", 40), ("K", 9)), F.lit(" ctr"))
+    name = F.concat("p_name", _part_words(), _suffix(("W", 40), ("K", 9)), F.lit(" ctr"))
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("code"),
         name.alias("name"),
@@ -72,15 +81,15 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part again as a keyless listing row, its name and place edited in eight ways."""
     way = F.pmod("p_partkey", F.lit(8))
     w, wk = _suffix(("W", 40)), _suffix(("W", 40), ("K", 9))
-    key = F.col("p_partkey").cast("string")
+    key, more = F.col("p_partkey").cast("string"), _part_words()
     name = (
-        F.when(way == 0, F.concat("p_name", wk, F.lit(" Center")))
+        F.when(way == 0, F.concat("p_name", more, wk, F.lit(" Center")))
         .when(way == 2, F.concat(F.lit("The"), wk, F.lit(" center")))
-        .when(way == 3, F.concat(F.col("p_name"), F.lit("s"), wk, F.lit(" ctr")))
+        .when(way == 3, F.concat(F.col("p_name"), F.lit("s"), more, wk, F.lit(" ctr")))
         .when(way == 4, F.concat(F.lit("alias "), key))
         .when(way == 5, F.concat(F.lit("unknown place "), key))
-        .when(way == 6, F.concat("p_name", w, F.lit(" ctr")))
-        .otherwise(F.concat("p_name", wk, F.lit(" ctr")))
+        .when(way == 6, F.concat("p_name", more, w, F.lit(" ctr")))
+        .otherwise(F.concat("p_name", more, wk, F.lit(" ctr")))
     )
     same_zip = way.isin(0, 6, 7)
     return table(spark, sf_dir, "part").select(
@@ -273,8 +282,10 @@ def _at_least_six(key):
 
 
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a campaign row: a page gives the address; the summary is the whole text of
-    every third document, and a short description of the others."""
+    """Every document as a campaign row: a page gives the address, the whole text is the summary.
+
+    ``short_summary`` is the first sentence of the text.
+    """
     docs = table(spark, sf_dir, "documents")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     key = F.col("doc_id").cast("string")
@@ -292,9 +303,8 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(categories, (F.pmod("doc_id", F.lit(4)) + 1).cast("int")).alias("booking_category"),
         F.concat(F.lit("2026-07-"), F.lpad((F.pmod("doc_id", F.lit(33)) + 1).cast("string"), 2, "0")).alias("verified_on"),
         F.concat(F.lit("2026-08-"), F.lpad((F.pmod("doc_id", F.lit(28)) + 1).cast("string"), 2, "0")).alias("verification_expires_on"),
-        F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("text")).otherwise(
-            F.concat(F.lit("Text of "), F.col("n_chars").cast("string"), F.lit(" characters in "), "lang")
-        ).alias("public_summary"),
+        F.col("text").alias("public_summary"),
+        F.regexp_extract("text", r"^[^.!?\n]*[.!?]?", 0).alias("short_summary"),
         F.coalesce("url", https).alias("contribution_url"),
         F.when(way == 5, "").otherwise(F.col("source")).alias("contribution_recipient"),
         F.when(way == 6, F.concat(F.lit("https://user@fund.example/"), key)).otherwise(https).alias("terms_url"),

@@ -15,8 +15,6 @@ duckdb = pytest.importorskip("duckdb")
 DATA = Path("/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-# No SQL engine has the similarity these two use; test_linkage compares it with brute force.
-WITHOUT_SQL = {"q_link_difflib", "q_crosswalk_difflib"}
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +33,8 @@ def plain(value):
     return str(value)
 
 
-def test_every_query_has_sql_unless_it_cannot():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
@@ -56,8 +54,3 @@ def test_query_equals_sql(spark, sql, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert mine == sorted(tuple(plain(row[i]) for i in order) for row in result.fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_query_without_sql_runs(spark, name):
-    assert contract.queries()[name](spark, str(DATA)).count() > 0

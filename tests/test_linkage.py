@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from rosterline.constants import ABBREVIATIONS, STOPWORDS
 from rosterline.operators import linkage
@@ -125,6 +126,42 @@ def test_similarity_is_taken_in_listing_registry_order(spark):
     assert row.ab >= 0.84
 
 
+def test_letter_bound_is_never_below_the_similarity(spark):
+    rng = random.Random(4)
+    names = ["", "A", "ÄÖ 9", "9 ÖÄ", *("".join(rng.choices("ABCDE 12Ü-", k=rng.randint(1, 40))) for _ in range(60))]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    bound = linkage.ratio_bound(linkage.letter_counts(F.col("a")), linkage.letter_counts(F.col("b")))
+    rows = df.select("a", "b", bound.alias("bound")).collect()
+    assert all(r.bound >= difflib_similarity(r.a, r.b) for r in rows)
+    assert sum(r.bound < 0.84 for r in rows) > len(rows) / 2
+
+
+def test_best_first_scores_few_pairs(spark):
+    listing, registry = random_case(5)
+    left, right = linkage.prepare(spark.createDataFrame(listing, LISTING), spark.createDataFrame(registry, REGISTRY), 0.3)
+    pairs = linkage.fuzzy_pairs(left, right)
+    bounded = pairs.withColumn("bound", linkage.ratio_bound(F.col("letters"), F.col("r_letters"))).cache()
+    best = {}
+    for r in bounded.collect():
+        score = (difflib_similarity(r.norm, r.r_norm), -r.first.r_order)
+        best[r.state, r.norm] = max(best.get((r.state, r.norm), (-1, 0)), score)
+    rows = linkage.best_first(bounded).collect()
+    got = {}
+    for r in rows:
+        got[r.state, r.norm] = max(got.get((r.state, r.norm), (-1, 0)), (r.score, -r.r_order))
+    assert got == best
+    assert sum(r.scored for r in rows) < bounded.count() / 2
+
+
+def test_hot_tokens_are_cut_into_chunks(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "POSTING_CHUNK", 3)
+    registry = [(f"H{i:02d}", f"Hub Unit{i} Wing{i % 4}", "TX", "1", i) for i in range(30)]
+    rows = [(1, "Hub Wing1 Unit5", "TX", "1"), (2, "Hub Wing2", "TX", "1"), (3, "Hub", "TX", "2"), (4, "Hub Unit7", "TX", "2")]
+    got = run(spark, rows, registry, max_df=1.1, unmatched_scores=False)
+    assert got[1] == ("H05", "zip+token:multi", 1.0)
+    assert got[2][0] is None and got[4] == ("H07", "distinctive-token", 1.0) and got[3][0] is None
+
+
 def padding(n=60):
     """Registry rows elsewhere, so that role words are generic and place words are not."""
     return [(f"Z{i}", f"Place{i} County Detention Center", "ZZ", "00000", 1000 + i) for i in range(n)]

@@ -63,52 +63,85 @@ def bounding_boxes(county: DataFrame) -> DataFrame:
     )
 
 
-def _candidates(df: DataFrame, key: str, name: str) -> DataFrame:
-    columns = [key, "_state", F.col(name).alias("_name")]
-    return explode_rows(df, columns, candidate_places(name, "_state"), "_place", "_pos")
+#: What a hit rests on, the strongest first.
+OVERRIDE, CITY, COUNTY, STATE = range(4)
 
 
-def _first_hit(hits: DataFrame, key: str, alias: str) -> DataFrame:
-    first = F.min(F.struct("_pos", "latitude", "longitude", F.col("_place").alias("place")))
-    return hits.groupBy(key).agg(first.alias(alias))
+def tagged(entries: DataFrame, place: str, kind: int) -> DataFrame:
+    """Part of the dictionary of names: ``_state, _place, kind, latitude, longitude``."""
+    return entries.select(
+        F.col("state").alias("_state"), F.col(place).alias("_place"), F.lit(kind).alias("kind"),
+        "latitude", "longitude",
+    )
+
+
+def name_hits(df: DataFrame, dictionary: DataFrame, key: str, name: str = "name", state: str = "state") -> DataFrame:
+    """``key, kind, pos, place, latitude, longitude`` of every part of a name that the dictionary knows in
+    the state. County entries only serve names that say "county"."""
+    keyed = df.select(key, F.upper(F.trim(state)).alias("_state"), F.col(name).alias("_name"))
+    parts = explode_rows(
+        keyed, [key, "_state", F.col("_name").rlike(NAMES_COUNTY).alias("_says_county")],
+        candidate_places("_name", "_state"), "_place", "pos",
+    )
+    return parts.join(dictionary, ["_state", "_place"]).filter(
+        (F.col("kind") != COUNTY) | F.col("_says_county")
+    ).select(key, "kind", "pos", F.col("_place").alias("place"), "latitude", "longitude")
+
+
+def state_hits(df: DataFrame, states: DataFrame, key: str, state: str = "state") -> DataFrame:
+    """The point of the state of every row, in the form of ``name_hits``."""
+    points = states.select(F.col("state").alias("_state"), "latitude", "longitude")
+    return df.select(key, F.upper(F.trim(state)).alias("_state")).join(points, "_state").select(
+        key, F.lit(STATE).alias("kind"), F.lit(0).alias("pos"), F.col("_state").alias("place"), "latitude", "longitude"
+    )
+
+
+def best_hit(hits: DataFrame, key: str) -> DataFrame:
+    """``key, hit``: the strongest kind, then the earliest part of the name."""
+    rest = [c for c in hits.columns if c not in (key, "kind", "pos")]
+    return hits.groupBy(key).agg(F.min(F.struct("kind", "pos", *rest)).alias("hit"))
 
 
 def first_candidate_hit(df: DataFrame, places: DataFrame, key: str, name: str = "name",
                         state: str = "state") -> DataFrame:
     """``(key, hit)``: the earliest candidate of the name that the gazetteer knows in the state."""
-    keyed = df.withColumn("_state", F.upper(F.trim(state)))
-    table = places.withColumnsRenamed({"state": "_state", "place": "_place"})
-    return _first_hit(_candidates(keyed, key, name).join(table, ["_state", "_place"]), key, "hit")
+    return best_hit(name_hits(df, tagged(places, "place", CITY), key, name, state), key)
 
 
 def county_hit(df: DataFrame, counties: DataFrame, key: str, name: str = "name",
                state: str = "state") -> DataFrame:
     """As ``first_candidate_hit`` on counties, only for names that say "county"."""
-    says_county = df.filter(F.col(name).rlike(NAMES_COUNTY))
-    return first_candidate_hit(
-        says_county, counties.withColumnRenamed("county", "place"), key, name, state
-    )
+    return best_hit(name_hits(df, tagged(counties, "county", COUNTY), key, name, state), key)
 
 
 def state_hit(df: DataFrame, states: DataFrame, key: str, state: str = "state") -> DataFrame:
-    points = states.select(
-        F.col("state").alias("_state"), F.struct("latitude", "longitude").alias("hit")
-    )
-    keyed = df.select(key, F.upper(F.trim(state)).alias("_state"))
-    return keyed.join(points, "_state").select(key, "hit")
-
-
-def _located(hit: Column, precision: str, matched: Column, source: str) -> Column:
-    return F.when(
-        hit.isNotNull(),
-        F.struct(
-            hit["latitude"].alias("latitude"), hit["longitude"].alias("longitude"),
-            F.lit(precision).alias("precision"), matched.alias("matched_to"),
-            F.lit(source).alias("source"),
-        ),
+    return best_hit(state_hits(df, states, key, state), key)
+
+
+def _located(hit: str) -> Column:
+    """The published location of a hit, labelled with its precision."""
+    place, kind = F.col(f"{hit}.place"), F.col(f"{hit}.kind")
+    state = F.col("_state")
+
+    def point(precision: str, matched: Column, source: str) -> Column:
+        return F.struct(
+            F.col(f"{hit}.latitude").alias("latitude"), F.col(f"{hit}.longitude").alias("longitude"),
+            F.lit(precision).alias("precision"), matched.alias("matched_to"), F.lit(source).alias("source"),
+        )
+
+    return (
+        F.when(kind == OVERRIDE, F.col(f"{hit}.manual"))
+        .when(kind == CITY, point("city_centroid", F.concat(python_title(place), F.lit(", "), state), PLACE_SOURCE))
+        .when(kind == COUNTY, point(
+            "county_centroid", F.concat(python_title(place), F.lit(" County, "), state), COUNTY_SOURCE
+        ))
+        .when(kind == STATE, point("state_centroid", state, STATE_SOURCE))
     )
 
 
+LOCATED = "struct<latitude:double,longitude:double,precision:string,matched_to:string,source:string>"
+
+
 def geocode(
     df: DataFrame,
     places: DataFrame,
@@ -122,65 +155,33 @@ def geocode(
 ) -> DataFrame:
     """Add ``located``: override, then place, then county, then state, else null.
 
-    ``places`` and ``counties`` are the tables of ``gazetteer`` and ``county_points``.  Rows
-    that have both coordinates, or no state, are never looked up.  ``key`` is unique.
+    ``places`` and ``counties`` are the tables of ``gazetteer`` and ``county_points``; together they
+    are one dictionary, which the parts of the names meet in one join. Rows that have both
+    coordinates, or no state, are never looked up and take part in no join. ``key`` is unique.
     """
     missing = F.col(lat).isNull() | F.col(lon).isNull()
     state_key = F.upper(F.trim(F.coalesce(F.col(state), F.lit(""))))
     keyed = df.withColumn("_state", F.when(missing & (state_key != ""), state_key))
     todo = keyed.filter(F.col("_state").isNotNull())
 
-    # One pass over the name candidates serves both gazetteers.
-    found = (
-        _candidates(todo, key, name)
-        .join(places.select(
-            F.col("state").alias("_state"), F.col("place").alias("_place"),
-            F.struct("latitude", "longitude").alias("_city"),
-        ), ["_state", "_place"], "left")
-        .join(counties.select(
-            F.col("state").alias("_state"), F.col("county").alias("_place"),
-            F.struct("latitude", "longitude").alias("_county"),
-        ), ["_state", "_place"], "left")
-        .filter(F.col("_city").isNotNull() | F.col("_county").isNotNull())
-    )
-    says_county = F.col("_name").rlike(NAMES_COUNTY)
-    hits = found.groupBy(key).agg(
-        F.min(F.when(F.col("_city").isNotNull(), F.struct("_pos", F.col("_place").alias("place"), "_city.*"))).alias("_city_hit"),
-        F.min(
-            F.when(says_county & F.col("_county").isNotNull(), F.struct("_pos", F.col("_place").alias("place"), "_county.*"))
-        ).alias("_county_hit"),
-    )
-    states = centroids(counties).select(
-        F.col("state").alias("_state"), F.struct("latitude", "longitude").alias("_state_hit")
-    )
-    located = F.coalesce(
-        F.col("_override_hit"),
-        _located(
-            F.col("_city_hit"), "city_centroid",
-            F.concat(python_title(F.col("_city_hit.place")), F.lit(", "), F.col("_state")), PLACE_SOURCE,
-        ),
-        _located(
-            F.col("_county_hit"), "county_centroid",
-            F.concat(python_title(F.col("_county_hit.place")), F.lit(" County, "), F.col("_state")),
-            COUNTY_SOURCE,
-        ),
-        _located(F.col("_state_hit"), "state_centroid", F.col("_state"), STATE_SOURCE),
-    )
-    joined = keyed.join(hits, key, "left").join(states, "_state", "left")
-    if overrides is None:
-        joined = joined.withColumn(
-            "_override_hit", _located(F.lit(None).cast("struct<latitude:double,longitude:double>"),
-                                       "", F.lit(""), "")
-        )
-    else:
+    dictionary = tagged(places, "place", CITY).unionByName(tagged(counties, "county", COUNTY))
+    none = F.lit(None).cast(LOCATED).alias("manual")
+    hits = name_hits(todo, dictionary, key, name, "_state").unionByName(
+        state_hits(todo, centroids(counties), key, "_state")
+    ).select("*", none)
+    if overrides is not None:
         points = overrides.select(
-            F.col("name_key").alias("_name_key"), F.col("state").alias("_state"),
-            F.col("located").alias("_override_hit"),
-        )
-        joined = joined.withColumn("_name_key", F.upper(F.trim(name))).join(
-            points, ["_name_key", "_state"], "left"
+            F.col("name_key").alias("_name_key"), F.col("state").alias("_state"), F.col("located").cast(LOCATED).alias("manual")
         )
-    return joined.select(*[df[c] for c in df.columns], located.alias("located"))
+        asked = todo.select(key, "_state", F.upper(F.trim(name)).alias("_name_key"))
+        hits = hits.unionByName(asked.join(points, ["_name_key", "_state"]).select(
+            key, F.lit(OVERRIDE).alias("kind"), F.lit(0).alias("pos"), F.lit("").alias("place"),
+            F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"), "manual",
+        ))
+    found = todo.join(best_hit(hits, key).withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left")
+    placed = found.select(*df.columns, _located("hit").alias("located"))
+    rest = keyed.filter(F.col("_state").isNull()).select(*df.columns, F.lit(None).cast(LOCATED).alias("located"))
+    return placed.unionByName(rest)
 
 
 def outside_bounds(

@@ -66,6 +66,20 @@ def test_single_lookups(spark):
     assert {r.code for r in geocode.state_hit(df, geocode.centroids(counties), "code").collect()} == {"a", "b"}
 
 
+def test_names_meet_one_dictionary_in_one_join(spark):
+    places, counties = tables(spark)
+    rows = [(f"r{i}", "Ada County Jail" if i % 2 else "Boise Hold Room", "ID" if i % 3 else None, None, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "code string, name string, state string, latitude double, longitude double")
+    found = geocode.geocode(df, places, counties)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    by_name = [line for line in plan.splitlines() if "Join" in line and "_place" in line]
+    assert len(by_name) == 1 and "Inner" in by_name[0]
+    located = {r.code: r.located for r in found.collect()}
+    assert len(located) == 30
+    assert all((located[f"r{i}"] is None) == (i % 3 == 0) for i in range(30))
+    assert located["r1"].precision == "county_centroid" and located["r2"].precision == "city_centroid"
+
+
 def test_bounds_include_their_edges(spark):
     boxes = spark.createDataFrame([("TX", 10.0, 20.0, 30.0, 40.0)],
                                   "state string, lat_min double, lat_max double, lon_min double, lon_max double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MIN_MATCH_RATE, SUPPRESSION_THRESHOLD, WITHIN_TOLERANCE
 from ..functions.numeric import total_skip_null, total_strict
+from ..session import cut_lineage
 from .assemble import POPULATION_PARTS
 from .frames import explode_rows, extremes
 from .quantiles import group_quantiles
@@ -223,31 +224,14 @@ def shipped_leaves(lines: DataFrame) -> DataFrame:
     Reads the JSON text itself, at any depth, without assuming what it should hold: levels are
     opened until no value is an object any more.
     """
-    as_map = "map<string,string>"
     records = lines.select(
         F.get_json_object("value", "$.properties.code").alias("code"),
-        F.get_json_object("value", "$.properties.demographics").alias("demographics"),
-    ).filter(F.col("demographics").isNotNull())
+        F.get_json_object("value", "$.properties.demographics").alias("text"),
+    ).filter(F.col("text").isNotNull())
     threshold = F.coalesce(
-        F.get_json_object("demographics", "$.suppression_threshold").try_cast("int"),
-        F.lit(SUPPRESSION_THRESHOLD),
+        F.get_json_object("text", "$.suppression_threshold").try_cast("int"), F.lit(SUPPRESSION_THRESHOLD)
     )
-
-    closed = records.select(
-        "code", threshold.alias("threshold"), F.array().cast("array<string>").alias("keys"),
-        F.col("demographics").alias("leaf"),
-    )
-    leaves = None
-    while True:
-        opened = closed.select(
-            "code", "threshold", "keys", F.explode(F.from_json("leaf", as_map)).alias("key", "leaf")
-        ).select("code", "threshold", F.array_append("keys", F.col("key")).alias("keys"), "leaf")
-        is_object = F.coalesce(F.ltrim("leaf").startswith("{"), F.lit(False))
-        flat = opened.filter(~is_object)
-        leaves = flat if leaves is None else leaves.unionByName(flat)
-        closed = opened.filter(is_object)
-        if closed.isEmpty():
-            break
+    leaves = _text_leaves(records, threshold)
     return leaves.select(
         "code", "threshold", "keys", F.concat_ws(".", "code", "keys").alias("path"), "leaf"
     )
@@ -273,6 +257,64 @@ def records_checked(lines: DataFrame) -> DataFrame:
     return lines.agg(F.count(demographics).alias("facilities_checked"))
 
 
+def _text_leaves(records: DataFrame, threshold: Column) -> DataFrame:
+    """``code, threshold, keys, leaf`` of records ``code, text``, the text a JSON object of any depth."""
+    as_map = "map<string,string>"
+    closed = records.select(
+        "code", threshold.alias("threshold"), F.array().cast("array<string>").alias("keys"), F.col("text").alias("leaf")
+    )
+    leaves = None
+    while True:
+        opened = closed.select(
+            "code", "threshold", "keys", F.explode(F.from_json("leaf", as_map)).alias("key", "leaf")
+        ).select("code", "threshold", F.array_append("keys", F.col("key")).alias("keys"), "leaf")
+        is_object = F.coalesce(F.ltrim("leaf").startswith("{"), F.lit(False))
+        flat = opened.filter(~is_object)
+        leaves = flat if leaves is None else leaves.unionByName(flat)
+        closed = cut_lineage(opened.filter(is_object))
+        if closed.isEmpty():
+            return leaves
+
+
+def check_shipped_profiles(lines: DataFrame, profiles: DataFrame, registry: DataFrame, code: str = "code") -> DataFrame:
+    """Shipped demographics against the profiles they came from: presence of every entity that has one, and
+    every value at any depth, by path. Profiles of entities that the registry lacks are not shipped.
+    """
+    shipped = lines.select(
+        F.get_json_object("value", "$.properties.code").alias("code"),
+        F.get_json_object("value", "$.properties.demographics").alias("text"),
+    ).filter(F.col("text").isNotNull())
+    source = profiles.join(registry.select(code), code, "left_semi").select(
+        F.col(code).cast("string").alias("code"), F.to_json("demographics", {"ignoreNullFields": "false"}).alias("text")
+    )
+
+    def flat(df: DataFrame, side: str) -> DataFrame:
+        leaves = _text_leaves(df, F.lit(0)).select("code", F.concat_ws(".", "keys").alias("path"), F.struct("leaf").alias(side))
+        return leaves.unionByName(df.select("code", F.lit("").alias("path"), F.struct(F.lit("").alias("leaf")).alias(side)))
+
+    both = flat(shipped, "shipped").join(flat(source, "expected"), ["code", "path"], "full_outer")
+    ours, theirs = F.col("shipped.leaf"), F.col("expected.leaf")
+    missing = F.col("shipped").isNull() | F.col("expected").isNull()
+    rule = F.when(missing, "fidelity.profile_presence").otherwise("fidelity.profile_value")
+    broken = missing | ~ours.eqNullSafe(theirs)
+    return both.filter(broken).select(
+        rule.alias("rule"), F.col("code").alias("key"), F.concat_ws(" ", "path", F.concat_ws(" <> ", ours, theirs)).alias("detail")
+    )
+
+
+def shipped_records(lines: DataFrame) -> DataFrame:
+    """What ``check_build`` reads, taken from shipped feature lines: ``code, latitude, longitude, properties``."""
+    schema = (
+        "geometry struct<coordinates: array<double>>, properties struct<code: string, "
+        "operator: struct<company: string>, approx: int, location_note: string>"
+    )
+    parsed = lines.select(F.from_json("value", schema).alias("f"))
+    at = F.col("f.geometry.coordinates")
+    return parsed.select(
+        "f.properties.code", F.get(at, 1).alias("latitude"), F.get(at, 0).alias("longitude"), "f.properties"
+    )
+
+
 FIDELITY_FIELDS = {
     "ice_fy_adp_male_criminal": "Male Crim",
     "ice_fy_adp_male_noncriminal": "Male Non-Crim",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..constants import (
 from ..operators import assemble as asm
 from ..operators import campaign, checks, geocode, linkage, profile
 from ..session import cut_lineage, pin_utc
-from ..sources import contract, readers, sinks
+from ..sources import contract, manifest, readers, sinks
 
 KEY = "detention_facility_code"
 REGISTRY_COLUMNS = (KEY, "name", "state", "latitude", "longitude", "average_daily_population_last_year")
@@ -41,6 +42,9 @@ class SourcePaths:
     key_overrides: str
     location_overrides: str
     campaigns: str | None = None
+    #: Address and publication date of a source by its name, where its publisher gives them.
+    urls: Mapping[str, str] = field(default_factory=dict)
+    published: Mapping[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -115,12 +119,6 @@ def build_records(
     return attached, asm.assemble(asm.attach_profiles(located, profiles), origins)
 
 
-def feature_lines(records: DataFrame) -> DataFrame:
-    """Records as JSON text, one per line, nulls written out."""
-    line = F.to_json(F.struct("properties"), {"ignoreNullFields": "false"})
-    return records.select("code", "latitude", "longitude", line.alias("value"))
-
-
 def profile_stays(
     stays: DataFrame, basis: str = "longest", threshold: int = SUPPRESSION_THRESHOLD
 ) -> tuple[DataFrame, DataFrame, dict[str, str | None]]:
@@ -132,21 +130,17 @@ def profile_stays(
     return stats, cells, window
 
 
-def fingerprints(spark: SparkSession, paths: SourcePaths) -> DataFrame:
-    """Content fingerprints of all sources, text files line by line."""
-    tables = {
-        "registry": spark.read.parquet(paths.registry),
-        "stays": spark.read.parquet(paths.stays).select(*STAY_COLUMNS),
-    }
-    texts = {
-        "listing": paths.listing, "places": paths.places, "counties": paths.counties,
-        "key_overrides": paths.key_overrides, "location_overrides": paths.location_overrides,
-        "campaigns": paths.campaigns,
+def source_files(paths: SourcePaths) -> dict[str, manifest.Source]:
+    """All sources as their files lie, with what their publishers say about them."""
+    tables = {"registry": (), "stays": STAY_COLUMNS}
+    names = ("registry", "stays", "listing", "places", "counties", "key_overrides", "location_overrides", "campaigns")
+    return {
+        name: manifest.Source(
+            getattr(paths, name), "parquet" if name in tables else "text", tables.get(name, ()),
+            paths.urls.get(name), paths.published.get(name),
+        )
+        for name in names
     }
-    for name, path in texts.items():
-        if path is not None and readers.path_exists(spark, path):
-            tables[name] = spark.read.text(path)
-    return contract.fingerprint_table(tables)
 
 
 def refresh(
@@ -158,16 +152,21 @@ def refresh(
     floors: RowFloors = RowFloors(),
     method: str = "difflib",
 ) -> str | None:
-    """Rebuild and publish when a source changed; None when there is nothing to do.
+    """Rebuild and publish when a source or an input of the build changed; None when there is nothing to do.
 
-    Linkage and profile gates stop the build before anything is written.  The other gates run
-    on the staged files, and only if all pass does the publication move to the new version.
+    A publication that lost an output is rebuilt too. Linkage and profile gates stop the build before
+    anything is written.  The other gates read the staged files, and only if all pass does the
+    publication move to the new version, whose ``release`` can be read with ``load_release``.
     """
     pin_utc(spark)
-    prints = cut_lineage(fingerprints(spark, paths))
-    published = sinks.current_version(spark, target)
-    if published is not None and not force:
-        if not contract.needs_build(sinks.read_published(spark, target, "fingerprints"), prints):
+    current = sinks.current_version(spark, target)
+    whole = current is not None and sinks.is_whole(spark, target, current)
+    known = cut_lineage(sinks.read_published(spark, target, "manifest")) if whole else None
+    found = cut_lineage(manifest.file_manifest(
+        spark, source_files(paths), known, {"as_of": as_of, "method": method, "threshold": SUPPRESSION_THRESHOLD}
+    ))
+    if whole and not force:
+        if not contract.needs_build(manifest.source_states(known), manifest.source_states(found)):
             return None
 
     stats, cells, window = profile_stays(load_stays(spark, paths.stays, floors.stays))
@@ -179,22 +178,25 @@ def refresh(
         "match rate": checks.check_match_rate(matches),
         "collisions": checks.check_collisions(matches),
     })
-    profiles = asm.profile_records(stats, cells, window=window)
-    attached, records = build_records(
-        spark, paths, registry, listing, matches, profiles,
-        {"registry": as_of, "listing": as_of, "events": window["data_cutoff"]},
-    )
+    profiles = cut_lineage(asm.profile_records(stats, cells, window=window))
+    dates = {"registry": as_of, "listing": as_of, "events": window["data_cutoff"]}
+    attached, records = build_records(spark, paths, registry, listing, matches, profiles, dates)
     records = cut_lineage(records)
     placed, unplaced = sinks.split_placed(records)
     report = asm.build_report(records, linkage.match_report(matches), linkage.matches_by_method(matches))
+    origins = spark.createDataFrame([(name, paths.urls.get(name), date) for name, date in dates.items()],
+                                    "source string, url string, as_of string")
     outputs = {
-        "features": feature_lines(placed),
-        "unplaced": feature_lines(unplaced),
+        "features": sinks.feature_lines(placed),
+        "unplaced": sinks.feature_lines(unplaced),
         "matches": matches,
+        "unmatched": linkage.unmatched_rows(matches),
         "stats": stats,
         "cells": cells,
         "report": report,
-        "fingerprints": prints,
+        "sources": origins.coalesce(1),
+        "window": spark.createDataFrame([window], ", ".join(f"{k} string" for k in window)),
+        "manifest": found,
     }
     if paths.campaigns is not None:
         rows = readers.read_contract_csv(spark, paths.campaigns, CAMPAIGN_FIELDS)
@@ -204,17 +206,26 @@ def refresh(
     expected = checks.expected_population(attached)
     figures = [c for c in expected.columns if c != "code"]
 
+    def release(staged: dict[str, DataFrame], path: str) -> DataFrame:
+        staged["features"].select("value").write.text(path + "/features")
+        staged["sources"].agg(F.collect_list(F.struct("source", "url", "as_of")).alias("sources")).write.json(
+            path + "/metadata"
+        )
+        return spark.read.text(path + "/features")
+
     def shipped(staged: dict[str, DataFrame]) -> DataFrame:
-        return staged["features"].select("value").unionByName(staged["unplaced"].select("value"))
+        return staged["release"].unionByName(staged["unplaced"].select("value"))
 
     gates = {
-        "build": lambda staged: checks.check_build(placed, unplaced, registry),
+        "build": lambda staged: checks.check_build(
+            checks.shipped_records(staged["release"]), checks.shipped_records(staged["unplaced"]), registry
+        ),
         "suppression": lambda staged: checks.check_suppression(shipped(staged)),
         "fidelity": lambda staged: checks.check_fidelity(
             checks.shipped_population(shipped(staged)), expected, figures
-        ),
+        ).unionByName(checks.check_shipped_profiles(shipped(staged), profiles, registry)),
     }
-    return sinks.publish(spark, outputs, gates, target)
+    return sinks.publish(spark, outputs, gates, target, {"release": release})
 
 
 def cross_checks(

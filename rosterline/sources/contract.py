@@ -47,29 +47,28 @@ def provenance(
     )
 
 
-def table_fingerprint(df: DataFrame, algorithm: str = "xxhash64") -> DataFrame:
-    """One row ``(rows, fingerprint)`` that does not depend on row order or partitioning.
-
-    Each row is hashed and the hashes are added up, so only two numbers per task are
-    shuffled.  ``md5`` gives a value other engines can recompute.
-    """
-    columns = sorted(df.columns)
+def fingerprint_figures(columns: Iterable[str], algorithm: str = "xxhash64", prefix: str = "") -> list[Column]:
+    """Aggregates ``rows`` and ``fingerprint``: the hashes of the rows added up."""
+    columns = [F.col(f"{prefix}`{name}`") for name in sorted(columns)]
     if algorithm == "xxhash64":
-        marked = [c for name in columns for c in (F.col(f"`{name}`").isNull(), F.col(f"`{name}`"))]
-        row_hash = F.xxhash64(*marked)
+        row_hash = F.xxhash64(*[c for column in columns for c in (column.isNull(), column)])
     elif algorithm == "md5":
         # Values carry a mark, so that no text looks like a null.
-        texts = [
-            F.coalesce(F.concat(F.lit("v"), F.col(f"`{n}`").cast("string")), F.lit("n")) for n in columns
-        ]
-        digest = F.md5(F.concat_ws("\x1f", *texts))
-        row_hash = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+        texts = [F.coalesce(F.concat(F.lit("v"), column.cast("string")), F.lit("n")) for column in columns]
+        row_hash = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *texts)), 1, 15), 16, 10).cast("bigint")
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     total = F.coalesce(F.sum(row_hash.cast("decimal(20,0)")), F.lit(0))
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), total.cast("decimal(38,0)").cast("string").alias("fingerprint")
-    )
+    return [F.count(F.lit(1)).alias("rows"), total.cast("decimal(38,0)").cast("string").alias("fingerprint")]
+
+
+def table_fingerprint(df: DataFrame, algorithm: str = "xxhash64") -> DataFrame:
+    """One row ``(rows, fingerprint)`` that does not depend on row order or partitioning.
+
+    Each row is hashed and the hashes are added up, so only two numbers per task are
+    shuffled.  ``md5`` gives a value other engines can recompute.
+    """
+    return df.agg(*fingerprint_figures(df.columns, algorithm))
 
 
 def fingerprint_table(sources: dict[str, DataFrame], algorithm: str = "xxhash64") -> DataFrame:
@@ -82,21 +81,35 @@ def fingerprint_table(sources: dict[str, DataFrame], algorithm: str = "xxhash64"
 
 
 def changed_sources(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Compare two fingerprint tables: added, removed, changed or unchanged per source."""
-    before = old.select("source", F.struct("rows", "fingerprint").alias("before"))
-    after = new.select("source", F.struct("rows", "fingerprint").alias("after"))
-    both = before.join(after, "source", "full_outer")
+    """Compare two tables of sources: added, removed, changed or unchanged, and what has changed.
+
+    A source is changed by its content (rows and fingerprint) and, where the tables have these columns,
+    by its address or its publication date.
+    """
+    def facts(df: DataFrame, side: str) -> DataFrame:
+        said = {c: F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("url", "published")}
+        return df.select("source", F.struct(
+            F.struct("rows", "fingerprint").alias("content"), *[v.alias(c) for c, v in said.items()]
+        ).alias(side))
+
+    both = facts(old, "before").join(facts(new, "after"), "source", "full_outer")
+    known = F.col("before").isNotNull() & F.col("after").isNotNull()
+    reasons = F.concat_ws(",", *[
+        F.when(known & ~F.col(f"before.{c}").eqNullSafe(F.col(f"after.{c}")), F.lit(c))
+        for c in ("content", "url", "published")
+    ])
     state = (
         F.when(F.col("before").isNull(), "added")
         .when(F.col("after").isNull(), "removed")
-        .when(~F.col("before").eqNullSafe(F.col("after")), "changed")
+        .when(F.col("reasons") != "", "changed")
         .otherwise("unchanged")
     )
-    return both.select(
+    return both.withColumn("reasons", reasons).select(
         "source",
         state.alias("state"),
-        F.col("before.rows").alias("rows_before"),
-        F.col("after.rows").alias("rows_after"),
+        "reasons",
+        F.col("before.content.rows").alias("rows_before"),
+        F.col("after.content.rows").alias("rows_after"),
     )
 
 

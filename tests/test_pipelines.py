@@ -1,6 +1,8 @@
 """The whole refresh on small source files."""
 
 import json
+import shutil
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,8 +11,13 @@ from pyspark.sql import functions as F
 from rosterline.constants import CAMPAIGN_FIELDS
 from rosterline.operators.checks import GateFailure
 from rosterline.operators import geocode
+from rosterline.operators.release import release_diff
 from rosterline.plans import pipelines
-from rosterline.sources import current_version, load_counties, read_published
+from rosterline.sources import (
+    Source, changed_sources, current_version, file_manifest, load_counties, load_release, publish, published_path,
+    read_published, source_states, table_fingerprint,
+)
+from rosterline.sources.contract import needs_build
 
 TOWNS = ["Webb", "Karnes", "Brooks", "Polk", "Essex", "Otero", "Torrance", "Calhoun", "Pike", "Cass"]
 
@@ -77,6 +84,10 @@ def test_refresh_publishes_once_and_reacts_to_changes(spark, paths, tmp_path):
     assert report["counts", "with_ice_attributes"] == 10 and report["methods", "exact-name"] == 10
     assert report["counts", "approximate_location"] == 1 and report["crosswalk", "rate"] == 1.0
     assert read_published(spark, target, "feed").first().status == "accepting"
+    assert read_published(spark, target, "unmatched").isEmpty()
+    assert read_published(spark, target, "window").first().asDict()["data_cutoff"] == "2026-04-30"
+    release = {r.code: r for r in load_release(spark, published_path(spark, target, "release")).collect()}
+    assert len(release) == 10 and release["F01"].adp == 101.0 and release["F01"].as_of == "2026-08-01"
 
     assert pipelines.refresh(spark, paths, target, "2026-08-01", floors=FLOORS) is None
     with open(paths.key_overrides, "a") as handle:
@@ -86,6 +97,79 @@ def test_refresh_publishes_once_and_reacts_to_changes(spark, paths, tmp_path):
     assert current_version(spark, target) == first
 
 
+def test_two_publications_are_read_and_compared(spark, paths, tmp_path):
+    target = str(tmp_path / "site")
+    pipelines.refresh(spark, paths, target, "2026-08-01", floors=FLOORS)
+    before = load_release(spark, published_path(spark, target, "release"))
+    rows = spark.read.parquet(paths.registry).collect()
+    schema = spark.read.parquet(paths.registry).schema
+    changed = [r.asDict() | {"average_daily_population_last_year": 500.0} if r.name.startswith("Brooks") else r.asDict()
+               for r in rows if not r.name.startswith("Cass")]
+    moved = str(tmp_path / "registry-2")
+    spark.createDataFrame(changed, schema).coalesce(1).write.parquet(moved)
+    listing = open(paths.listing).read().splitlines()
+    with open(paths.listing, "w") as handle:
+        handle.write("\n".join(x for x in listing if "CASS" not in x) + "\n")
+    second = pipelines.refresh(spark, replace(paths, registry=moved), target, "2026-08-08", floors=FLOORS)
+    assert second == current_version(spark, target)
+    after = load_release(spark, published_path(spark, target, "release"))
+    found = {(r.code, r.change_type) for r in release_diff(before, after).collect()}
+    assert {c for c, kind in found if kind == "removed"} == {"F09"}
+    assert any(c == "F02" for c, _ in found)
+    # A publication that lost a part is not readable, and the next refresh builds it again.
+    shutil.rmtree(published_path(spark, target, "matches"))
+    with pytest.raises(ValueError, match="not whole"):
+        read_published(spark, target, "features")
+    third = pipelines.refresh(spark, replace(paths, registry=moved), target, "2026-08-08", floors=FLOORS)
+    assert third not in (None, second) and read_published(spark, target, "matches").count() == 9
+
+
+def test_files_altered_after_staging_are_refused(spark, tmp_path):
+    target = str(tmp_path / "site")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "code string, n int")
+
+    def tampering(staged):
+        folder = staged["rows"].inputFiles()[0].rsplit("/", 1)[0]
+        spark.createDataFrame([("c", 3)], "code string, n int").write.mode("append").parquet(folder)
+        return staged["rows"].filter("n < 0")
+
+    with pytest.raises(GateFailure, match="staged_file_altered"):
+        publish(spark, {"rows": rows}, {"odd": tampering}, target)
+    assert current_version(spark, target) is None
+    version = publish(spark, {"rows": rows}, {}, target)
+    assert current_version(spark, target) == version and read_published(spark, target, "rows").count() == 2
+
+
+def test_manifest_reads_only_files_that_differ(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 2)):
+        for i in range(n):
+            (tmp_path / name).mkdir(exist_ok=True)
+            (tmp_path / name / f"part {i}.csv").write_text("".join(f"{name},{i},{k}\n" for k in range(5)))
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "t"))
+    sources = {
+        "a": Source(str(tmp_path / "a"), url="https://x/a"), "b": Source(str(tmp_path / "b"), published="2026-01-01"),
+        "t": Source(str(tmp_path / "t"), "parquet"), "gone": Source(None), "lost": Source(str(tmp_path / "no")),
+    }
+    first = file_manifest(spark, sources, None, {"as_of": "2026-08-01"}).cache()
+    assert first.filter("hashed").count() == 7 and first.count() == 8
+    states = {r.source: r for r in source_states(first).collect()}
+    assert states["a"].rows == 15 and states["t"].rows == 10 and set(states) == {"a", "b", "t", "input:as_of"}
+    assert states["t"].fingerprint == table_fingerprint(spark.read.parquet(str(tmp_path / "t"))).first().fingerprint
+    again = file_manifest(spark, sources, first, {"as_of": "2026-08-01"})
+    assert again.filter("hashed").isEmpty()
+    assert not needs_build(source_states(first), source_states(again))
+
+    (tmp_path / "a" / "part 1.csv").write_text("other\n")
+    moved = sources | {"b": Source(str(tmp_path / "b"), url="https://x/b", published="2026-02-01")}
+    third = file_manifest(spark, moved, first, {"as_of": "2026-08-02"}).cache()
+    assert [r.path.rsplit("/", 1)[1] for r in third.filter("hashed").collect()] == ["part 1.csv"]
+    changes = {r.source: (r.state, r.reasons) for r in changed_sources(source_states(first), source_states(third)).collect()}
+    assert changes == {
+        "a": ("changed", "content"), "b": ("changed", "url,published"), "t": ("unchanged", ""),
+        "input:as_of": ("changed", "content"),
+    }
+
+
 def test_cross_checks_report(spark, paths):
     registry = pipelines.load_registry(spark, paths.registry, 5)
     listing = pipelines.load_listing(spark, paths.listing, 5)

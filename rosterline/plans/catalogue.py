@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -19,9 +19,9 @@ from ..functions.text import normalize_tokens
 from ..operators import assemble as asm
 from ..operators import campaign, checks, frames, geocode, linkage, profile, release, serve, usage
 from ..operators.quantiles import group_quantiles
-from ..session import shared_dir
-from ..sources import contract, readers, sinks
-from ..streaming import drain, ingest_releases, sessions_stream, usage_windows
+from ..session import cut_lineage, shared_dir
+from ..sources import contract, manifest, readers, sinks
+from ..streaming import drain, engagement_stream, ingest_releases, sessions_stream, usage_windows
 from . import standins as s
 
 AS_OF = "2026-07-15"
@@ -812,10 +812,11 @@ SENTINEL_USER = -1
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, followed by one far later row that closes all windows."""
-    events = s.table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
+    events = s.table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
     late = _scratch(spark, "sentinel")
     events.agg((F.max("ts") + timedelta(days=3650)).alias("ts")).select(
-        "ts", F.lit(SENTINEL_USER).cast("bigint").alias("user_id"), F.lit("end").alias("event_type")
+        "ts", F.lit(SENTINEL_USER).cast("bigint").alias("user_id"), F.lit("end").alias("event_type"),
+        F.lit(None).cast(events.schema["value"].dataType).alias("value"),
     ).write.parquet(late)
     schema = events.schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
@@ -831,6 +832,19 @@ def q_sessions_stream(spark, sf_dir):
     return out.filter(F.col("user_id") != SENTINEL_USER)
 
 
+@query
+def q_engagement_stream(spark, sf_dir):
+    """Streamed sessions with their engagement, numbered within the client once they are written."""
+    stream = _event_stream(spark, sf_dir).withColumn("engagement_ms", F.round(F.col("value") * 100, 0).cast("bigint"))
+    out = drain(
+        engagement_stream(stream, "10 minutes", gap_minutes=360), _scratch(spark, "engaged"), _scratch(spark, "state")
+    )
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("start_us")).cast("bigint")
+    return out.filter(F.col("user_id") != SENTINEL_USER).select(
+        "user_id", number.alias("session_no"), "pings", "engaged_ms", "engaged"
+    )
+
+
 @query
 def q_usage_stream(spark, sf_dir):
     consents = s.consents(spark, sf_dir).unionByName(
@@ -843,15 +857,112 @@ def q_usage_stream(spark, sf_dir):
 
 @query
 def q_release_stream(spark, sf_dir):
+    """The second release arrives in two parts, in two runs; its gate and its changes wait for the whole."""
     arriving, target = _scratch(spark, "arriving"), _scratch(spark, "releases")
-    for name, later in (("2026-01", False), ("2026-02", True)):
-        snapshot = s.release_at(spark, sf_dir, later).withColumn("release", F.lit(name))
-        snapshot.write.mode("append").parquet(arriving)
-    schema = spark.read.parquet(arriving).schema
-    ingest_releases(spark, arriving, target, schema)
+    was, now = (
+        snapshot.withColumns({"release": F.lit(name), "release_rows": F.lit(snapshot.count()).cast("bigint")})
+        for name, snapshot in (("2026-01", s.release_at(spark, sf_dir, False)), ("2026-02", s.release_at(spark, sf_dir, True)))
+    )
+    gates = {"unique codes": lambda df: df.groupBy("code").count().filter("count > 1")}
+    half = F.pmod("code", F.lit(2)) == 0
+    for part in (was.unionByName(now.filter(half)), now.filter(~half)):
+        part.write.mode("append").parquet(arriving)
+        ingest_releases(spark, arriving, target, part.schema, gates=gates, size="release_rows")
     return spark.read.parquet(f"{target}/changes").select("code", "change_type", "detail")
 
 
+@query
+def q_diff_sink(spark, sf_dir):
+    path = _scratch(spark, "diff")
+    sinks.write_diff(release.release_diff(*_releases(spark, sf_dir)), path)
+    return spark.read.json(path).select(F.col("code").cast("bigint").alias("code"), "change_type", "detail")
+
+
+@query
+def q_profile_sink(spark, sf_dir):
+    """Counts and bands of all profiles, from the tables that the sink has written."""
+    path = _scratch(spark, "profiles")
+    sinks.write_profiles(*_profiles(spark, sf_dir), path)
+    cells = spark.read.parquet(path + "/cells")
+    return cells.filter("dim = 'age_bands'").select("code", "value", F.col("n.n").alias("n"), F.col("n.suppressed").alias("suppressed"), F.col("n.lt").alias("lt"))
+
+
+@query
+def q_feed_sink(spark, sf_dir):
+    """The published feed as it lies on disk."""
+    path = _scratch(spark, "feed")
+    rows = s.campaigns(spark, sf_dir).withColumn("public_summary", F.col("short_summary"))
+    broken = campaign.check_campaigns(rows, AS_OF, identifier=EMAIL)
+    good = rows.join(broken.select("row_id").distinct(), "row_id", "left_anti")
+    sinks.write_feed(campaign.campaign_feed(good, AS_OF), path)
+    feed = spark.read.json(path)
+    progress = funding_progress("bond_amount", "amount_raised")
+    return feed.select(
+        "case_id", "region", "bond_amount", "amount_raised", F.col("booking_category.label").alias("label"),
+        "verified_on", "contribution_url", "status", progress["remaining"].alias("remaining"),
+        progress["percent"].alias("percent"),
+    )
+
+
+@query
+def q_event_scan(spark, sf_dir):
+    """Orders as an event file with text times: only the named columns, unreadable times as null."""
+    path = _scratch(spark, "scan")
+    odd = F.pmod("o_orderkey", F.lit(13)) == 0
+    s.table(spark, sf_dir, "orders").withColumn(
+        "o_orderdate", F.when(odd, F.lit("unknown")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    ).write.parquet(path)
+    events = readers.load_events(spark, path, ["o_orderkey", "o_custkey", "o_orderdate"], ["o_orderdate"])
+    return events.select("o_orderkey", "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+
+
+@query
+def q_registry_scan(spark, sf_dir):
+    """Parts as a registry file, some without a key: a key is made from the name."""
+    path = _scratch(spark, "registry")
+    s.table(spark, sf_dir, "part").select(
+        F.when(F.pmod("p_partkey", F.lit(10)) > 0, F.col("p_partkey").cast("string")).alias("code"),
+        F.concat("p_name", F.lit(" no. "), F.col("p_partkey").cast("string")).alias("name"),
+        F.when(F.pmod("p_partkey", F.lit(7)) == 0, F.lit(float("nan"))).otherwise(F.col("p_retailprice")).alias("adp"),
+    ).write.parquet(path)
+    return readers.load_registry(spark, path, "code").select("code", "name", "adp")
+
+
+@query
+def q_key_overrides(spark, sf_dir):
+    """Human decisions as a text file: lines without a code are ignored, keys are trimmed and upper-cased."""
+    path = _scratch(spark, "overrides")
+    s.table(spark, sf_dir, "part").select(
+        F.concat(F.lit(" "), "p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("ice_name"),
+        F.lower("p_brand").alias("state"),
+        F.when(F.pmod("p_partkey", F.lit(5)) > 0, F.concat(F.lit("P"), F.col("p_partkey").cast("string")))
+        .otherwise("").alias("detention_facility_code"),
+    ).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return readers.load_key_overrides(spark, path)
+
+
+@query
+def q_gate_collisions(spark, sf_dir):
+    return checks.check_collisions(_matches(spark, sf_dir)).select("rule", "key", "detail")
+
+
+@query
+def q_fidelity_profiles(spark, sf_dir):
+    """Shipped profiles against their sources: a tenth is not shipped, another tenth with a wrong figure."""
+    stats, cells = _profiles(spark, sf_dir)
+    profiles = cut_lineage(asm.profile_records(stats, cells))
+    registry = s.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code")).filter(F.pmod("code", F.lit(7)) > 0)
+    shipped = profiles.join(registry, "code", "left_semi").filter(F.pmod("code", F.lit(10)) > 0)
+    wrong = F.when(F.pmod("code", F.lit(10)) == 1, 1).otherwise(0)
+    bent = shipped.withColumn(
+        "demographics", F.col("demographics").withField("stays_in_window", F.col("demographics.stays_in_window") + wrong)
+    )
+    lines = bent.select(F.to_json(
+        F.struct(F.struct("code", "demographics").alias("properties")), {"ignoreNullFields": "false"}
+    ).alias("value"))
+    return checks.check_shipped_profiles(lines, profiles, registry).select("rule", "key").distinct()
+
+
 # --- sources ----------------------------------------------------------------
 
 @query
@@ -862,11 +973,20 @@ def q_fingerprint(spark, sf_dir):
 
 @query
 def q_changed_sources(spark, sf_dir):
-    names = ("region", "nation", "supplier", "orders")
-    old = {n: s.table(spark, sf_dir, n) for n in names[:3]}
-    new = {n: s.table(spark, sf_dir, n) for n in names[1:]}
-    new["supplier"] = new["supplier"].withColumn("s_acctbal", F.col("s_acctbal") + 1)
-    return contract.changed_sources(contract.fingerprint_table(old), contract.fingerprint_table(new))
+    """Two file manifests: a file that went, one that came, one with other rows, and one each with another
+    address and another publication date; two inputs of the build, one of them changed."""
+    def source(name: str, **said: str) -> manifest.Source:
+        return manifest.Source(f"{sf_dir}/{name}.parquet", "parquet", **said)
+
+    moved = _scratch(spark, "supplier")
+    s.table(spark, sf_dir, "supplier").withColumn("s_acctbal", F.col("s_acctbal") + 1).write.parquet(moved)
+    old = {n: source(n) for n in ("region", "nation", "supplier")}
+    old |= {"customer": source("customer", url="https://data.example/1"), "part": source("part", published="2026-07-01")}
+    new = {"nation": source("nation"), "orders": source("orders"), "supplier": manifest.Source(moved, "parquet")}
+    new |= {"customer": source("customer", url="https://data.example/2"), "part": source("part", published="2026-08-01")}
+    before = cut_lineage(manifest.file_manifest(spark, old, None, {"as_of": "2026-07-01", "method": "difflib"}))
+    after = manifest.file_manifest(spark, new, before, {"as_of": AS_OF, "method": "difflib"})
+    return contract.changed_sources(manifest.source_states(before), manifest.source_states(after))
 
 
 @query

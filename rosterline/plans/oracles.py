@@ -943,12 +943,44 @@ ORACLES["q_fingerprint"] = " UNION ALL ".join([
     _fingerprint("orders", _texts(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")),
 ])
-ORACLES["q_changed_sources"] = """
-SELECT 'region' AS source, 'removed' AS state, (SELECT count(*) FROM region) AS rows_before, CAST(NULL AS BIGINT) AS rows_after
-UNION ALL SELECT 'nation', 'unchanged', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation)
-UNION ALL SELECT 'supplier', 'changed', (SELECT count(*) FROM supplier), (SELECT count(*) FROM supplier)
-UNION ALL SELECT 'orders', 'added', NULL, (SELECT count(*) FROM orders)"""
+ORACLES["q_changed_sources"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS source, '{state}' AS state, '{reasons}' AS reasons, "
+    + (f"(SELECT count(*) FROM {name})" if before else "CAST(NULL AS BIGINT)") + " AS rows_before, "
+    + (f"(SELECT count(*) FROM {name})" if after else "CAST(NULL AS BIGINT)") + " AS rows_after"
+    for name, state, reasons, before, after in (
+        ("region", "removed", "", True, False), ("nation", "unchanged", "", True, True),
+        ("supplier", "changed", "content", True, True), ("customer", "changed", "url", True, True),
+        ("part", "changed", "published", True, True), ("orders", "added", "", False, True),
+        ("input:as_of", "changed", "content", False, False), ("input:method", "unchanged", "", False, False),
+    )
+)
 ORACLES["q_located_header"] = "SELECT p_partkey, p_name, p_brand, p_size FROM part"
 ORACLES["q_newest_release"] = """
 SELECT 'FY_detail' || strftime(max(o_orderdate), '%m%d%Y') || '.xlsx' AS file_name,
        strftime(max(o_orderdate), '%Y-%m-%d') AS release_date FROM orders WHERE o_orderkey % 7 <> 0"""
+
+# --- loaders, sinks and gates as they lie on disk ---------------------------
+
+ORACLES["q_engagement_stream"] = ORACLES["q_engagement"]
+ORACLES["q_diff_sink"] = ORACLES["q_release_stream"]
+ORACLES["q_feed_sink"] = ORACLES["q_campaign_feed"]
+ORACLES["q_profile_sink"] = ORACLES["q_profile_bands"]
+ORACLES["q_event_scan"] = """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 13 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"""
+ORACLES["q_registry_scan"] = """
+SELECT CASE WHEN p_partkey % 10 > 0 THEN CAST(p_partkey AS VARCHAR)
+            ELSE 'SYNTH-' || left(trim(regexp_replace(upper(name), '[^A-Z0-9]+', '-', 'g'), '-'), 40) END AS code,
+       name, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS adp
+FROM (SELECT *, p_name || ' no. ' || p_partkey AS name FROM part)"""
+ORACLES["q_key_overrides"] = """
+SELECT upper(p_name || ' ' || p_partkey) AS name_key, upper(p_brand) AS state, 'P' || p_partkey AS code
+FROM part WHERE p_partkey % 5 > 0"""
+ORACLES["q_gate_collisions"] = f"""
+WITH {CROSSWALK}
+SELECT 'collision' AS rule, code AS key, l_name || ' by ' || method AS detail
+FROM (SELECT *, count(*) OVER (PARTITION BY code) AS claims FROM matches WHERE code IS NOT NULL) WHERE claims > 1"""
+ORACLES["q_fidelity_profiles"] = f"""
+WITH {STAYS}
+SELECT DISTINCT CASE WHEN code % 10 = 0 THEN 'fidelity.profile_presence' ELSE 'fidelity.profile_value' END AS rule,
+       CAST(code AS VARCHAR) AS key
+FROM stays JOIN supplier ON s_suppkey = code WHERE code % 10 IN (0, 1) AND code % 7 > 0"""

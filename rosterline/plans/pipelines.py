@@ -63,9 +63,8 @@ def load_stays(spark: SparkSession, path: str, floor: int = MIN_EVENT_ROWS) -> D
 
 def load_registry(spark: SparkSession, path: str, floor: int = MIN_REGISTRY_ROWS) -> DataFrame:
     """The registry with its row order; checkpointed, so that the order is the same everywhere."""
-    rows = contract.require_contract(readers.load_registry(spark, path, KEY), REGISTRY_COLUMNS, floor)
-    ordered = rows.withColumnRenamed(KEY, "code").withColumn("r_order", F.monotonically_increasing_id())
-    return cut_lineage(ordered)
+    rows = readers.load_registry(spark, path, KEY, order="r_order")
+    return cut_lineage(contract.require_contract(rows, REGISTRY_COLUMNS, floor).withColumnRenamed(KEY, "code"))
 
 
 def load_listing(spark: SparkSession, path: str, floor: int = MIN_LISTING_ROWS) -> DataFrame:

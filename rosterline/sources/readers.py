@@ -40,9 +40,16 @@ def load_registry(
     key: str = "detention_facility_code",
     name: str = "name",
     check: bool = True,
+    order: str | None = None,
 ) -> DataFrame:
-    """One row per entity.  A missing key is made from the name; a repeated key is an error."""
+    """One row per entity.  A missing key is made from the name; a repeated key is an error.
+
+    ``order`` names a column for the place of the row in source order: by file, then by row.
+    """
     raw = spark.read.parquet(path)
+    if order is not None:
+        placed = raw.withColumn(order, source_order()).orderBy(order)
+        raw = placed.withColumn(order, F.monotonically_increasing_id())
     keyed = drop_nan(raw.drop("geometry")).withColumn(key, F.coalesce(F.col(key), slug_key(name)))
     if check:
         repeated = keyed.groupBy(key).count().filter("count > 1").limit(5).collect()

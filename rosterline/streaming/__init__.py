@@ -1,4 +1,4 @@
 from .releases import ingest_releases
-from .usage import drain, sessions_stream, usage_windows
+from .usage import drain, engagement_stream, sessions_stream, usage_windows
 
-__all__ = ["drain", "ingest_releases", "sessions_stream", "usage_windows"]
+__all__ = ["drain", "engagement_stream", "ingest_releases", "sessions_stream", "usage_windows"]

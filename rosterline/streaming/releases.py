@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.checks import enforce
+from ..operators.checks import GateFailure, enforce
 from ..operators.release import release_diff
 
 Gates = Mapping[str, Callable[[DataFrame], DataFrame]]
@@ -21,6 +21,7 @@ def ingest_releases(
     release: str = "release",
     gates: Gates | None = None,
     diff: Callable[[DataFrame, DataFrame], DataFrame] = release_diff,
+    size: str | None = None,
 ) -> None:
     """Process all snapshots under ``in_dir`` that were not seen before, then stop.
 
@@ -30,8 +31,11 @@ def ingest_releases(
     anything of that release is written.
 
     A release may arrive in several batches: every batch keeps its rows in a folder of its own,
-    which a repeated batch overwrites, and the snapshot is all of them. Its changes, and those of
-    the release after it, are then computed anew.
+    which a repeated batch overwrites, and the snapshot is all of them. Where a column ``size`` tells how
+    many rows the row's release has, a release waits below ``target/arriving`` until so many are there:
+    then the gates see the whole of it, it becomes a snapshot, and its changes are computed, once. More rows
+    than announced are refused. Without ``size`` every batch stands for itself, and the changes of its
+    release, and of the release after it, are computed anew.
     """
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(in_dir)
 
@@ -39,15 +43,20 @@ def ingest_releases(
         session = batch.sparkSession
         names = [r[0] for r in batch.select(release).distinct().orderBy(release).collect()]
         for name in names:
-            arrived = batch.filter(F.col(release) == name).drop(release)
-            folder = f"{target}/snapshots/{release}={name}"
-            earlier = [p for p in _folders(session, folder) if p != f"batch-{number}"]
-            snapshot = arrived
-            if earlier:
-                parts = session.read.schema(arrived.schema).parquet(*[f"{folder}/{p}" for p in earlier])
-                snapshot = parts.unionByName(arrived)
+            rows = batch.filter(F.col(release) == name)
+            if size is None:
+                snapshot, part = _with_earlier(session, rows.drop(release), f"{target}/snapshots/{release}={name}", number)
+            else:
+                whole = _gathered(session, rows, f"{target}/arriving/{release}={name}", number)
+                there, due = whole.agg(F.count(F.lit(1)), F.max(size)).first()
+                if there < due:
+                    continue
+                if there > due:
+                    raise GateFailure(f"release {name}: {there} rows, {due} were announced")
+                snapshot, part = whole.drop(release, size), "whole"
+            arrived = rows.drop(release) if size is None else snapshot
             enforce({gate: check(snapshot) for gate, check in (gates or {}).items()})
-            arrived.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+            arrived.write.mode("overwrite").parquet(f"{target}/snapshots/{release}={name}/{part}")
             known = sorted(f.split("=", 1)[1] for f in _folders(session, f"{target}/snapshots") if "=" in f)
             at = known.index(name)
             for old, new in zip(known[max(0, at - 1) : at + 1], known[max(1, at) : at + 2], strict=False):
@@ -68,6 +77,21 @@ def ingest_releases(
     query.awaitTermination()
 
 
+def _with_earlier(spark: SparkSession, arrived: DataFrame, folder: str, number: int) -> tuple[DataFrame, str]:
+    """The rows of a release that came in other batches and in this one, and the folder of this batch."""
+    own = f"batch-{number}"
+    earlier = [f"{folder}/{p}" for p in _folders(spark, folder) if p != own]
+    if not earlier:
+        return arrived, own
+    return spark.read.schema(arrived.schema).parquet(*earlier).unionByName(arrived), own
+
+
+def _gathered(spark: SparkSession, rows: DataFrame, folder: str, number: int) -> DataFrame:
+    """All rows of a release that have arrived, after writing those of this batch."""
+    rows.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+    return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder)
+
+
 def _folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders in ``path``, none where it does not exist."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import SESSION_GAP_MINUTES
+from ..constants import ENGAGED_PING_MS, MIN_PING_MS, SESSION_GAP_MINUTES
 
 
 def sessions_stream(
@@ -28,6 +28,32 @@ def sessions_stream(
     ).select(user, "events", "start_us", "end_us")
 
 
+def engagement_stream(
+    stream: DataFrame,
+    watermark: str,
+    user: str = "user_id",
+    ts: str = "ts",
+    ms: str = "engagement_ms",
+    gap_minutes: int = SESSION_GAP_MINUTES,
+    min_ms: int = MIN_PING_MS,
+    engaged_ms: int = ENGAGED_PING_MS,
+) -> DataFrame:
+    """Per session: ``user, start_us, pings, engaged_ms, engaged``, as ``engagement`` on a batch.
+
+    The flags are part of the session's state, so a session is one row once the watermark has passed its
+    end. An event exactly one gap after the last one still belongs to the session, as in a batch.
+    """
+    gap = f"{gap_minutes} minutes 1 microseconds"
+    counted = F.when(F.col(ms) >= min_ms, F.col(ms).cast("bigint"))
+    windowed = stream.withWatermark(ts, watermark).groupBy(user, F.session_window(ts, gap))
+    return windowed.agg(
+        F.unix_micros(F.min(ts)).alias("start_us"),
+        F.count(counted).alias("pings"),
+        F.coalesce(F.sum(counted), F.lit(0)).alias("engaged_ms"),
+        F.coalesce(F.bool_or(counted >= engaged_ms), F.lit(False)).alias("engaged"),
+    ).select(user, "start_us", "pings", "engaged_ms", "engaged")
+
+
 def usage_windows(
     stream: DataFrame,
     watermark: str,

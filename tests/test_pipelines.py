@@ -55,8 +55,8 @@ def paths(spark, tmp_path):
     (tmp_path / "counties.txt").write_text(head + "TX\tTravis County\t1\t30\t-97\nTX\tHarris County\t1\t29\t-95\n")
     (tmp_path / "keys.csv").write_text("ice_name,state,detention_facility_code,evidence\n")
     (tmp_path / "points.csv").write_text("name,state,latitude,longitude,precision,matched_to,evidence\n")
-    good = ["BF-7K2M9Q", "California", "7500", "1250", "not_reported", "2026-08-01", "2026-08-08", "Anonymous.",
-            "https://fund.example/a", "Example Bond Fund", "https://fund.example/terms", "accepting", "TRUE"]
+    good = ["BF-Q41XZR", "Ohio", "4200", "900", "not_reported", "2026-08-01", "2026-08-08", "Anonymous.",
+            "https://fund.example/a", "Harbor Aid", "https://give.example/rules", "accepting", "TRUE"]
     (tmp_path / "campaigns.csv").write_text(",".join(CAMPAIGN_FIELDS) + "\n" + ",".join(good) + "\n")
     names = {"registry": "registry", "listing": "listing.csv", "stays": "stays", "places": "places.txt",
              "counties": "counties.txt", "key_overrides": "keys.csv", "location_overrides": "points.csv",

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterline.operators import usage
-from rosterline.streaming import drain, ingest_releases, sessions_stream, usage_windows
+from rosterline.streaming import drain, engagement_stream, ingest_releases, sessions_stream, usage_windows
 
 START = datetime(2026, 1, 1)
 
@@ -74,6 +74,54 @@ def test_streamed_sessions_equal_batch_sessions(spark, tmp_path):
     assert out.exceptAll(batch.select(*out.columns)).isEmpty() and out.count() == batch.count()
 
 
+def test_streamed_engagement_equals_batch(spark, tmp_path):
+    rng = random.Random(8)
+    # Whole half-gaps: many events lie exactly one gap apart.
+    rows = [(rng.randint(1, 4), 900 * rng.randint(0, 300)) for _ in range(200)]
+    df = events(spark, rows).withColumn("engagement_ms", F.pmod(F.xxhash64("ts", "user_id"), F.lit(14_000)))
+    schema = "ts timestamp, user_id long, engagement_ms long"
+    df.select("ts", "user_id", "engagement_ms").write.parquet(str(tmp_path / "in"))
+    closing = spark.createDataFrame([(START + timedelta(days=900), -1, None)], schema)
+    closing.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = drain(engagement_stream(stream, "10 minutes"), str(tmp_path / "out"), str(tmp_path / "ck")).filter("user_id >= 0")
+    batch = usage.engagement(usage.sessionize(df))
+    starts = usage.sessions(df).select("user_id", "session_no", "start_us")
+    want = batch.join(starts, ["user_id", "session_no"]).select(*out.columns)
+    assert out.exceptAll(want).isEmpty() and out.count() == want.count()
+    assert 0 < out.filter("engaged").count() < out.count()
+
+
+def test_a_release_waits_until_it_is_whole(spark, tmp_path):
+    arriving, target = str(tmp_path / "in"), str(tmp_path / "out")
+    unique = {"unique codes": lambda df: df.groupBy("code").count().filter("count > 1")}
+    schema = SNAPSHOT + ", due long"
+
+    def deliver(release, due, *codes):
+        data = [(c, "N", None, "TX", 1.0, None, None, None, None, release, due) for c in codes]
+        spark.createDataFrame(data, schema).write.mode("append").parquet(arriving)
+        ingest_releases(spark, arriving, target, schema, gates=unique, size="due")
+
+    deliver("2026-01", 2, "A", "B")
+    deliver("2026-02", 3, "A", "C")
+    assert not (tmp_path / "out" / "changes").exists()
+    assert not (tmp_path / "out" / "snapshots" / "release=2026-02").exists()
+    deliver("2026-02", 3, "D")
+    changes = {(r.code, r.change_type) for r in spark.read.parquet(target + "/changes").collect()}
+    assert changes == {("B", "removed"), ("C", "added"), ("D", "added")}
+    with pytest.raises(Exception, match="unique codes"):
+        deliver("2026-03", 2, "A", "A")
+    assert not (tmp_path / "out" / "snapshots" / "release=2026-03").exists()
+
+
+def test_more_rows_than_announced_are_refused(spark, tmp_path):
+    arriving, target = str(tmp_path / "in"), str(tmp_path / "out")
+    data = [(c, "N", None, "TX", 1.0, None, None, None, None, "2026-01", 1) for c in "AB"]
+    spark.createDataFrame(data, SNAPSHOT + ", due long").write.parquet(arriving)
+    with pytest.raises(Exception, match="were announced"):
+        ingest_releases(spark, arriving, target, SNAPSHOT + ", due long", size="due")
+
+
 def test_sliding_usage_windows(spark):
     df = events(spark, [(1, 0), (1, 3000), (2, 7000)]).withColumn("event_type", F.lit("view"))
     rows = usage_windows(df, "10 minutes", window="1 hour", slide="30 minutes").collect()

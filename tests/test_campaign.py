@@ -91,7 +91,7 @@ def test_feed_order_and_totals(spark, tmp_path):
     df = rows(spark, {"case_id": "BF-000003"}, {"case_id": "BF-000001", "status": "funded"}, {"case_id": "BF-000002"})
     feed = campaign.campaign_feed(df, TODAY)
     assert [r.case_id for r in campaign.order_feed(feed).collect()] == ["BF-000002", "BF-000003", "BF-000001"]
-    assert tuple(campaign.feed_totals(feed).first()) == (2, 15000, 2500)
+    assert tuple(campaign.feed_totals(feed).first()) == (2, 8400, 1800)
     assert tuple(campaign.feed_totals(feed.limit(0)).first()) == (0, 0, 0)
     write_feed(feed, str(tmp_path / "feed"))
     assert spark.read.json(str(tmp_path / "feed")).count() == 3

@@ -38,12 +38,15 @@ STRIDE, THRESHOLD = 32, 0.8
 
 @dataclass(frozen=True)
 class Template:
-    """A label with the words of a notice. ``phrase``: all words, one after another."""
+    """A label with the words of a notice. ``phrase``: all words, one after another.
+
+    ``threshold`` is the template's own share of words, for notices too short for the general one.
+    """
 
     label: str
     text: str
-    telling: str | None = None
     phrase: bool = False
+    threshold: float | None = None
 
     @property
     def words(self) -> list[str]:
@@ -51,7 +54,7 @@ class Template:
 
     def needed(self, threshold: float) -> int:
         size = len(set(self.words))
-        return size if self.phrase else math.ceil(threshold * size - 1e-9)
+        return size if self.phrase else math.ceil((self.threshold or threshold) * size - 1e-9)
 
 
 #: Published opening lines of common licenses, and the base phrases.
@@ -59,25 +62,23 @@ TEMPLATES = (
     Template("cc-by", "cc by", phrase=True),
     Template("gpl", "general public license", phrase=True),
     Template("reserved", "all rights reserved", phrase=True),
-    Template("apache", "Licensed under the Apache License, Version 2.0", "apache"),
+    Template("apache", "Licensed under the Apache License, Version 2.0"),
     Template("apache", "you may not use this file except in compliance with the License. You may "
-             "obtain a copy of the License at", "compliance"),
-    Template("mit", "Released under the MIT License", "mit"),
+             "obtain a copy of the License at"),
+    Template("mit", "Released under the MIT License", threshold=1.0),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy "
-             "of this software and associated documentation files", "granted"),
+             "of this software and associated documentation files"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without "
-             "modification, are permitted provided that the following conditions are met",
-             "redistribution"),
-    Template("gpl", "This work is licensed under the GNU General Public License, version 3", "gnu"),
+             "modification, are permitted provided that the following conditions are met"),
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3"),
     Template("gpl", "This program is free software: you can redistribute it and/or modify it under "
-             "the terms of the GNU General Public License", "gnu"),
-    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", "nc"),
+             "the terms of the GNU General Public License"),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0", threshold=1.0),
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 "
-             "International License", "commons"),
+             "International License"),
     Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, "
-             "v. 2.0", "mozilla"),
-    Template("unlicense", "This is free and unencumbered software released into the public domain",
-             "unencumbered"),
+             "v. 2.0"),
+    Template("unlicense", "This is free and unencumbered software released into the public domain"),
 )
 
 
@@ -135,7 +136,7 @@ def scan(
                 F.lit(word).alias("word"), F.lit(number).alias("template"), F.lit(i).alias("i"),
                 F.lit(need).alias("need"), F.lit(len(own)).alias("size"), F.lit(t.label).alias("label"),
                 F.lit(t.phrase).alias("phrase"), _literal(own).alias("own"),
-                _literal(t.words).alias("spelled"), F.lit(t.telling).cast("string").alias("telling"),
+                _literal(t.words).alias("spelled"),
             ))
     index = spark.range(1).select(F.inline(F.array(*entries)))
 
@@ -153,7 +154,6 @@ def scan(
     verified = candidates.withColumn("common", common).filter(
         (F.size("common") >= F.col("need"))
         & (F.get("common", F.lit(0)) == F.col("word"))  # once per block and template
-        & (F.col("telling").isNull() | F.array_contains("mine", F.col("telling")))
     )
     begins = F.filter("held", lambda h: (h.word == F.get("spelled", F.lit(0))) & (h.at < stride))
     whole = F.filter(begins, lambda h: F.forall(

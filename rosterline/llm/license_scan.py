@@ -2,7 +2,7 @@
 
 A block is a window of ``2 * STRIDE`` words, one every ``STRIDE`` words, so every run of up to
 ``STRIDE`` words lies whole in a block. A block matches a template when it holds at least the
-template's threshold share of the template's distinct words (and its telling word, if it names one).
+template's threshold share of the template's distinct words.
 
 The join is exact. Words are put in one global order, rarest first, by the number of blocks of all
 documents that hold them. A template that needs ``o`` common words can only match a block that

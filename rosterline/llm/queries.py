@@ -120,7 +120,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without byte strings of 400 bytes that occur twice."""
-    return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400)
+    rows = suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400)
+    return rows.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 def op11_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +180,7 @@ def _sql_list(words: list[str]) -> str:
 
 
 _NOTICES = ", ".join(
-    f"('{t.label}', {_sql_list(sorted(set(t.words)))}, {t.needed(license_scan.THRESHOLD)}, "
-    + (f"'{t.telling}')" if t.telling else "NULL)")
+    f"('{t.label}', {_sql_list(sorted(set(t.words)))}, {t.needed(license_scan.THRESHOLD)})"
     for t in license_scan.TEMPLATES if not t.phrase
 )
 _PHRASES = ", ".join(
@@ -196,11 +196,11 @@ ORACLES: dict[str, str] = {
             FROM documents),
         b AS (SELECT uid, list_slice(words, k * 32 + 1, k * 32 + 64) AS held
               FROM (SELECT uid, words, unnest(range(0, len(words) // 32 + 1)) AS k FROM d)),
-        t(label, own, need, telling) AS (VALUES {_NOTICES}),
+        t(label, own, need) AS (VALUES {_NOTICES}),
         m AS (SELECT uid, label, NULL::BIGINT AS start,
                      len(list_intersect(list_distinct(held), own)) / len(own)::DOUBLE AS score
               FROM b, t
-              WHERE list_contains(held, telling) AND len(list_intersect(list_distinct(held), own)) >= need),
+              WHERE len(list_intersect(list_distinct(held), own)) >= need),
         p(label, spelled) AS (VALUES {_PHRASES}),
         s AS (SELECT uid, label, i AS start, 1.0::DOUBLE AS score
               FROM (SELECT uid, words, unnest(range(0, len(words))) AS i FROM d), p

@@ -83,6 +83,20 @@ def test_license_scan(docs, rows):
     assert got == sorted(want, key=repr)
 
 
+
+def test_license_blocks_need_no_single_word(spark):
+    texts = [
+        "Licensed under the Apche License, Version 2.0",
+        "Permission is hereby given, free of charge, to any person obtaining a copy of this software and "
+        "associated documentation files",
+        "released under the license", "Released under the MIT license.",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, round(r.score, 3)) for r in license_scan.license_report(rows).collect()}
+    assert got[0] == ("apache", 0.875) and got[1][0] == "mit" and got[1][1] > 0.9
+    assert got[2] == ("", 0.0) and got[3] == ("mit", 1.0)
+
+
 def test_license_join_equals_all_pairs(spark):
     rnd = random.Random(2)
     words = sorted({w for t in license_scan.TEMPLATES for w in t.words})
@@ -99,7 +113,7 @@ def test_license_join_equals_all_pairs(spark):
         for k in range(0, max(1, len(w)), 32):
             block = set(w[k : k + 64])
             for number, t in enumerate(license_scan.TEMPLATES):
-                if not t.phrase and t.telling in block and len(block & set(t.words)) >= t.needed(0.8):
+                if not t.phrase and len(block & set(t.words)) >= t.needed(0.8):
                     want[number] += 1
     assert got == want and want
 

@@ -459,8 +459,8 @@ def q_extremes(spark, sf_dir):
 
 @query
 def q_stale(spark, sf_dir):
-    return checks.stale_rows(_pairs(spark, sf_dir)).select(
-        "code", "theirs", "peak", F.bround("ratio", 9).alias("ratio")
+    return frames.with_place(checks.stale_rows(_pairs(spark, sf_dir))).select(
+        "code", "theirs", "peak", F.bround("ratio", 9).alias("ratio"), "place"
     )
 
 
@@ -632,9 +632,9 @@ def q_campaign_feed(spark, sf_dir):
     rows = s.campaigns(spark, sf_dir).withColumn("public_summary", F.col("short_summary"))
     broken = campaign.check_campaigns(rows, AS_OF, identifier=EMAIL)
     good = rows.join(broken.select("row_id").distinct(), "row_id", "left_anti")
-    feed = campaign.order_feed(campaign.campaign_feed(good, AS_OF))
+    feed = frames.with_place(campaign.order_feed(campaign.campaign_feed(good, AS_OF)))
     return feed.select(
-        "case_id", "region", "bond_amount", "amount_raised",
+        "case_id", "region", "bond_amount", "amount_raised", "place",
         F.col("booking_category.label").alias("label"), "verified_on", "contribution_url", "status",
         funding_progress("bond_amount", "amount_raised")["remaining"].alias("remaining"),
         funding_progress("bond_amount", "amount_raised")["percent"].alias("percent"),
@@ -703,12 +703,13 @@ def q_top_n(spark, sf_dir):
 @query
 def q_sorted_nulls_last(spark, sf_dir):
     rows = _served(spark, sf_dir)
-    return frames.sort_missing_last(rows, "rating", "desc", ["code"]).select("code", "rating")
+    ordered = frames.sort_missing_last(rows, "rating", "desc", ["code"])
+    return frames.with_place(ordered).select("code", "rating", "place")
 
 
 @query
 def q_histogram(spark, sf_dir):
-    return frames.ranked_histogram(s.table(spark, sf_dir, "orders"), "o_orderpriority")
+    return frames.with_place(frames.ranked_histogram(s.table(spark, sf_dir, "orders"), "o_orderpriority"))
 
 
 @query

@@ -672,7 +672,8 @@ SELECT 'low' AS "end", code, round(ratio, 9) AS ratio FROM ranked WHERE up <= 3
 UNION ALL SELECT 'high', code, round(ratio, 9) FROM ranked WHERE down <= 3"""
 ORACLES["q_stale"] = f"""
 WITH {POPULATION}
-SELECT code, theirs, peak, round(theirs / peak, 9) AS ratio FROM pairs WHERE theirs > 0 AND peak > 0 AND theirs > peak"""
+SELECT code, theirs, peak, round(theirs / peak, 9) AS ratio,
+       row_number() OVER (ORDER BY theirs / peak DESC, code DESC) AS place FROM pairs WHERE theirs > 0 AND peak > 0 AND theirs > peak"""
 ORACLES["q_totals"] = """
 WITH v AS (
     SELECT *, CASE WHEN l_quantity > 3 THEN l_discount END AS a, CASE WHEN l_discount > 0.02 THEN l_tax END AS b FROM lineitem),
@@ -806,7 +807,8 @@ SELECT case_id, nullif(region, '') AS region, goal AS bond_amount, raised AS amo
             ELSE 'Conviction reported' END AS label,
        '2026-07-' || lpad(CAST(verified_day AS VARCHAR), 2, '0') AS verified_on,
        CASE WHEN status = 'accepting' THEN contribution_url END AS contribution_url, status,
-       greatest(0, goal - raised) AS remaining, CAST(least(100, round(raised / goal * 100)) AS INTEGER) AS percent
+       greatest(0, goal - raised) AS remaining, CAST(least(100, round(raised / goal * 100)) AS INTEGER) AS percent,
+       row_number() OVER (ORDER BY status <> 'accepting', case_id) AS place
 FROM good"""
 ORACLES["q_status"] = f"""
 WITH {CAMPAIGNS}
@@ -842,8 +844,10 @@ SELECT DISTINCT 'state' AS facet, state AS value FROM served
 UNION ALL SELECT DISTINCT 'contract', contract FROM served
 UNION ALL SELECT DISTINCT 'rating', rating FROM served WHERE rating IS NOT NULL"""
 ORACLES["q_top_n"] = f"WITH {SERVED} SELECT code, adp FROM served ORDER BY coalesce(adp, 0) DESC, code LIMIT 300"
-ORACLES["q_sorted_nulls_last"] = f"WITH {SERVED} SELECT code, rating FROM served ORDER BY lower(rating) DESC NULLS LAST, code"
-ORACLES["q_histogram"] = "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority"
+ORACLES["q_sorted_nulls_last"] = f"WITH {SERVED} SELECT code, rating, row_number() OVER (ORDER BY lower(rating) DESC NULLS LAST, code) AS place FROM served"
+ORACLES["q_histogram"] = """
+SELECT o_orderpriority, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) AS place
+FROM orders GROUP BY o_orderpriority"""
 ORACLES["q_distribution"] = f"""
 WITH {SERVED}, long AS ({_long({'contract': 'contract', 'rating': 'rating'}, 'served', 'state')}),
 counts AS (
@@ -963,7 +967,7 @@ SELECT 'FY_detail' || strftime(max(o_orderdate), '%m%d%Y') || '.xlsx' AS file_na
 
 ORACLES["q_engagement_stream"] = ORACLES["q_engagement"]
 ORACLES["q_diff_sink"] = ORACLES["q_release_stream"]
-ORACLES["q_feed_sink"] = ORACLES["q_campaign_feed"]
+ORACLES["q_feed_sink"] = f"SELECT * EXCLUDE (place) FROM ({ORACLES['q_campaign_feed']})"
 ORACLES["q_profile_sink"] = ORACLES["q_profile_bands"]
 ORACLES["q_event_scan"] = """
 SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 13 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"""

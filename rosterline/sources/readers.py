@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import csv
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +13,7 @@ from ..functions.base import as_col
 from ..functions.dates import release_date
 from ..functions.text import slug_key
 from ..operators.frames import drop_nan
+from ..session import broadcast_if_few, cut_lineage
 
 FEATURE_SCHEMA = """
     type string,
@@ -69,6 +70,15 @@ def load_events(
     return drop_nan(df)
 
 
+def _cells(line: str, sep: str) -> Column:
+    """The trimmed cells of a delimited line, quotes taken off."""
+    outside = re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    plain = F.transform(
+        F.split(line, outside, -1), lambda c: F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1")
+    )
+    return F.transform(plain, lambda c: F.trim(F.replace(c, F.lit('""'), F.lit('"'))))
+
+
 def read_located_header(
     spark: SparkSession,
     path: str,
@@ -80,8 +90,8 @@ def read_located_header(
     """Delimited text whose header sits somewhere in the first ``probe`` lines of each file.
 
     The header is the first line whose trimmed, lower-cased cells hold all ``required``
-    names.  Only those first lines reach the driver; the data lines stay distributed and
-    files may be split.  Quoted line breaks are not supported.
+    names.  Where it lies is a table of one row per file, joined on the file; only the one header
+    that all files share reaches the driver.  Files may be split.  Quoted line breaks are not supported.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -90,30 +100,30 @@ def read_located_header(
         F.monotonically_increasing_id().alias("line"),
     )
     first_lines = Window.partitionBy("file").orderBy("line")
-    top = (
+    cells = _cells("value", sep)
+    names = F.transform(cells, F.lower)
+    heads = (
         lines.filter("block = 0")
         .withColumn("position", F.row_number().over(first_lines))
         .filter(F.col("position") <= probe)
-        .orderBy("file", "position")
-        .collect()
+        .withColumn("is_header", F.forall(
+            F.array(*[F.lit(r.strip().lower()) for r in required]), lambda r: F.array_contains(names, r)
+        ))
+        .groupBy("file")
+        .agg(F.min(F.when(F.col("is_header"), F.struct(F.col("line").alias("line"), cells.alias("cells")))).alias("head"))
     )
-    wanted = {r.strip().lower() for r in required}
-    headers: dict[str, tuple[int, tuple[str, ...]]] = {}
-    for row in top:
-        cells = next(csv.reader([row.value], delimiter=sep), [])
-        if row.file not in headers and wanted <= {c.strip().lower() for c in cells}:
-            headers[row.file] = (row.line, tuple(c.strip() for c in cells))
-    missing = {row.file for row in top} - headers.keys()
+    heads = cut_lineage(heads)
+    missing = [r.file for r in heads.filter("head is null").select("file").limit(5).collect()]
+    found = heads.filter("head is not null")
+    headers = found.select("head.cells").distinct().limit(2).collect()
     if missing or not headers:
-        raise ValueError(f"no header with {sorted(wanted)} in the first {probe} lines: {missing or path}")
-    names = {cells for _, cells in headers.values()}
-    if len(names) > 1:
+        wanted = sorted(r.strip().lower() for r in required)
+        raise ValueError(f"no header with {wanted} in the first {probe} lines: {missing or path}")
+    if len(headers) > 1:
         raise ValueError("files disagree on their header; read them one by one")
-    (columns,) = names
+    columns = tuple(headers[0].cells)
     ddl = ", ".join(f"`{c or f'_{i}'}` string" for i, c in enumerate(columns))
-    starts = spark.createDataFrame(
-        [(file, line) for file, (line, _) in headers.items()], "file string, header_line long"
-    )
+    starts = broadcast_if_few(found.select("file", F.col("head.line").alias("header_line")))
     body = lines.join(starts, "file").filter(
         (F.col("block") > 0) | (F.col("line") > F.col("header_line"))
     )

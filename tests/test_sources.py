@@ -52,6 +52,23 @@ def test_located_header_in_a_split_file(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_headers_of_many_files_lie_where_they_lie(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(40):
+        titles = "".join(f'"Title, with ""quotes"" {k}",,\n' for k in range(i % 7))
+        (folder / f"part {i:02d}.csv").write_text(titles + f' Name ,"Address",State\n"Place, {i}",{i} Road,TX\n')
+    df = sources.read_located_header(spark, str(folder), ["name", "address"])
+    assert df.columns == ["Name", "Address", "State"]
+    assert {(r.Name, r.Address) for r in df.collect()} == {(f"Place, {i}", f"{i} Road") for i in range(40)}
+    (folder / "part 40.csv").write_text("Address,Name\nx,y\n")
+    with pytest.raises(ValueError, match="disagree"):
+        sources.read_located_header(spark, str(folder), ["name", "address"])
+    (folder / "part 41.csv").write_text("nothing here\n")
+    with pytest.raises(ValueError, match="part%2041"):
+        sources.read_located_header(spark, str(folder), ["name", "address"])
+
+
 def test_gazetteer_files(spark, tmp_path):
     head = "USPS\tNAME \tALAND\tINTPTLAT\tINTPTLONG   \n"
     places = tmp_path / "places.txt"

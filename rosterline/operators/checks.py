@@ -136,6 +136,13 @@ def within_share(pairs: DataFrame, tol: float = WITHIN_TOLERANCE, ours: str = "o
     )
 
 
+def difference_extremes(
+    pairs: DataFrame, k: int = 3, ours: str = "ours", theirs: str = "theirs", tie: Sequence[str] = ("code",)
+) -> DataFrame:
+    """The k lowest and the k highest differences of the pairs that ``within_share`` counts."""
+    return extremes(stay_pairs(pairs, ours, theirs), "difference", tie, k)
+
+
 def stale_rows(pairs: DataFrame) -> DataFrame:
     """Pairs whose listing total exceeds the highest value the registry ever saw, worst first."""
     over = (F.col("theirs") > 0) & (F.col("peak") > 0) & (F.col("theirs") > F.col("peak"))

@@ -443,13 +443,27 @@ def q_agreement(spark, sf_dir):
     )
 
 
+def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean stay of an entity over all its events, and over those of one kind, kept apart by the source."""
+    days = profile.derive_stay_columns(s.stays(spark, sf_dir), "book_in", "book_out", "birth_year")
+    return days.groupBy("code").agg(
+        F.avg("los_days").alias("ours"), F.avg(F.when(F.col("criminality") == "O", F.col("los_days"))).alias("theirs")
+    )
+
+
 @query
 def q_within_share(spark, sf_dir):
-    return checks.within_share(_pairs(spark, sf_dir), tol=0.3).withColumns(
+    return checks.within_share(_durations(spark, sf_dir), tol=0.1).withColumns(
         {c: F.bround(c, 6) for c in ("correlation", "within_share")}
     )
 
 
+@query
+def q_duration_extremes(spark, sf_dir):
+    found = checks.difference_extremes(_durations(spark, sf_dir))
+    return found.select("end", "code", F.bround("difference", 6).alias("difference"))
+
+
 @query
 def q_extremes(spark, sf_dir):
     return checks.divergent_ratios(_pairs(spark, sf_dir)).select(

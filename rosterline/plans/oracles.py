@@ -658,12 +658,23 @@ WITH {POPULATION}, {POSITIVE},
 ordered AS (SELECT ratio, row_number() OVER (ORDER BY ratio) - 1 AS spot, count(*) OVER () AS n FROM positive)
 SELECT (SELECT count(*) FROM positive) AS n, (SELECT round(corr(ours, theirs), 6) FROM positive) AS correlation,
        (SELECT round(ratio, 6) FROM ordered WHERE spot = n // 2) AS median_ratio"""
+DURATIONS = f"""
+{STAYS},
+durations AS (
+    SELECT code, avg(los_days) AS ours, avg(los_days) FILTER (criminality = 'O') AS theirs FROM stays GROUP BY code),
+usable AS (SELECT *, theirs - ours AS difference FROM durations WHERE ours <> 0 AND theirs > 0)"""
 ORACLES["q_within_share"] = f"""
-WITH {POPULATION}, usable AS (SELECT * FROM pairs WHERE ours <> 0 AND theirs > 0)
+WITH {DURATIONS}
 SELECT count(*) AS n, round(corr(ours, theirs), 6) AS correlation,
-       count(*) FILTER (WHERE abs(theirs - ours) <= 0.3 * greatest(ours, theirs)) AS within,
-       round(count(*) FILTER (WHERE abs(theirs - ours) <= 0.3 * greatest(ours, theirs)) / count(*), 6) AS within_share
+       count(*) FILTER (WHERE abs(difference) <= 0.1 * greatest(ours, theirs)) AS within,
+       round(count(*) FILTER (WHERE abs(difference) <= 0.1 * greatest(ours, theirs)) / count(*), 6) AS within_share
 FROM usable"""
+ORACLES["q_duration_extremes"] = f"""
+WITH {DURATIONS},
+ranked AS (SELECT code, difference, row_number() OVER (ORDER BY difference, code) AS up,
+                  row_number() OVER (ORDER BY difference DESC, code DESC) AS down FROM usable)
+SELECT 'low' AS "end", code, round(difference, 6) AS difference FROM ranked WHERE up <= 3
+UNION ALL SELECT 'high', code, round(difference, 6) FROM ranked WHERE down <= 3"""
 ORACLES["q_extremes"] = f"""
 WITH {POPULATION}, {POSITIVE},
 ranked AS (SELECT code, ratio, row_number() OVER (ORDER BY ratio, code) AS up,

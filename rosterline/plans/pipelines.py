@@ -251,4 +251,5 @@ def cross_checks(
             .join(stats.select("code", F.col("los_median").alias("ours")), "code")
         )
         results["stay length"] = checks.within_share(stays)
+        results["stay length extremes"] = checks.difference_extremes(stays)
     return results

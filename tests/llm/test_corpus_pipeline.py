@@ -59,7 +59,7 @@ def test_run_and_registration(spark):
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and set(queries.QUERIES) <= set(names)
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert names["pipeline"](spark, TABLES).count() > 0
 
 

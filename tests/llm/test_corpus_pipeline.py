@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rosterline.llm import exact_dedup, queries
 from rosterline.llm.common import store
-from tests.llm.test_llm_operators import SCHEMA, awkward, bits_of, union
+from tests.llm.test_llm_operators import SCHEMA, awkward, union
+from tests.llm.test_near_copies import plain_links
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -23,10 +24,9 @@ def test_stages_hand_on(spark):
             best = before.groupBy("text").agg(F.max("doc_id").alias("doc_id"))
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in best.collect()}
         if name == "simhash near-dedup":
-            rows = before.collect()
-            fps = {r.doc_id: bits_of(r.text) for r in rows}
-            links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
-            assert {r.doc_id for r in docs.collect()} == set(union(links, fps).values())
+            texts = {r.doc_id: r.text for r in before.collect()}
+            want = set(union(plain_links(texts), texts).values())
+            assert {r.doc_id for r in docs.collect()} == want and len(want) < len(texts)
         if name == "mixing":
             assert {r.doc_id for r in docs.collect()} <= {r.doc_id for r in before.collect()}
         if name == "packing":

@@ -12,7 +12,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rosterline.llm import curriculum, exact_dedup, packing, quality, simhash
+from rosterline.llm import curriculum, exact_dedup, near_copies, packing, quality
 from rosterline.llm.common import drop_stored, recording, store
 from rosterline.llm.queries import documents, vocabulary
 
@@ -48,8 +48,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash component: the one with the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """One document of every group of near copies (five words, similarity 0.8): the smallest id."""
+    return near_copies.drop_near_copies(docs)
 
 
 @_stage

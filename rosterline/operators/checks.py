@@ -21,10 +21,16 @@ class GateFailure(RuntimeError):
     """One or more gates found violations, or a required gate was skipped."""
 
 
-def enforce(checks: Mapping[str, DataFrame | None], strict: bool = True, shown: int = 5) -> None:
+def enforce(
+    checks: Mapping[str, DataFrame | None],
+    strict: bool = True,
+    shown: int = 5,
+    report: str | None = None,
+) -> None:
     """Raise ``GateFailure`` naming the first violations of every failed gate.
 
-    A gate given as ``None`` was skipped, which is a failure in strict mode.
+    A gate given as ``None`` was skipped, which is a failure in strict mode. With ``report`` all violations
+    of a failed gate are written as Parquet to a folder of the gate's name below that path.
     """
     failures = []
     for name, violations in checks.items():
@@ -35,6 +41,10 @@ def enforce(checks: Mapping[str, DataFrame | None], strict: bool = True, shown:
         found = violations.limit(shown).collect()
         if found:
             failures.append(f"{name}: " + "; ".join(str(tuple(row)) for row in found))
+            if report is not None:
+                path = f"{report}/{name.replace(' ', '_')}"
+                violations.write.parquet(path)
+                failures[-1] += f"; all are in {path}"
     if failures:
         raise GateFailure("\n".join(failures))
 

@@ -66,7 +66,8 @@ def publish(
     """Stage every output, run every gate on the staged files, then write the manifest and the pointer.
 
     ``files`` writes further forms of the staged tables below a path and returns what can be reread from
-    there. A gate takes the staged tables and returns its violations. All staged files are fingerprinted
+    there. A gate takes the staged tables and returns its violations; those of a failed gate are all written
+    to ``failures/<version>`` of the target. All staged files are fingerprinted
     when they are written and once more after the gates: a file that was altered in between is refused. The
     manifest is written last, and readers follow the pointer log to versions that have one, so a failed or
     interrupted run is never visible. Returns the new version.
@@ -83,7 +84,7 @@ def publish(
     enforce({
         **{name: gate(staged) for name, gate in gates.items()},
         "staged files": check_staged(staged, written),
-    })
+    }, report=f"{target}/failures/{version}")
     written.coalesce(1).write.parquet(f"{root}/{MANIFEST_NAME}")
     pointer = spark.range(1).select(
         F.lit(version).alias("version"), F.current_timestamp().alias("published_at")

@@ -85,6 +85,16 @@ def test_skipped_check_fails_only_in_strict_mode(spark):
         checks.enforce({"late": None})
 
 
+def test_all_violations_are_written(spark, tmp_path):
+    rows = spark.range(50).selectExpr("'rule' AS rule", "cast(id AS string) AS key", "'late' AS detail")
+    report = str(tmp_path / "failures")
+    with pytest.raises(checks.GateFailure, match="all are in .*two_words") as failure:
+        checks.enforce({"two words": rows, "clean": rows.limit(0)}, report=report)
+    assert str(failure.value).count("'late'") == 5
+    assert spark.read.parquet(f"{report}/two_words").count() == 50
+    assert not (tmp_path / "failures" / "clean").exists()
+
+
 def test_profile_gate(spark):
     stats = spark.createDataFrame([("A", 3, 2.0), ("B", 9, -1.0), ("C", 7, 5.0), ("D", 2, None)], "code string, n long, m double")
     stats = stats.select("code", suppress("n").alias("n_set"), F.col("m").alias("median_set"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import BOX_PAD_DEGREES, COUNTY_SOURCE, PLACE_SOURCE, STATE_SOURCE
 from ..functions.display import python_title
 from ..functions.places import candidate_places, normalize_place, place_keys
+from ..session import by_shuffle, spread
 from .frames import argmax_by, explode_rows, union_prefer
 
 NAMES_COUNTY = r"(?i)\bcounty\b"
@@ -16,7 +17,7 @@ NAMES_COUNTY = r"(?i)\bcounty\b"
 def place_entries(places: DataFrame) -> DataFrame:
     """Every lookup key of every gazetteer line: ``state, place, pos, area, latitude, ...``."""
     columns = ["state", "area", "latitude", "longitude", "row_id"]
-    return explode_rows(places, columns, place_keys("name"), "place", "pos")
+    return explode_rows(spread(places, "row_id"), columns, place_keys("name"), "place", "pos")
 
 
 def fill_aliases(primary: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def name_hits(df: DataFrame, dictionary: DataFrame, key: str, name: str = "name"
         keyed, [key, "_state", F.col("_name").rlike(NAMES_COUNTY).alias("_says_county")],
         candidate_places("_name", "_state"), "_place", "pos",
     )
-    return parts.join(dictionary, ["_state", "_place"]).filter(
+    return parts.join(by_shuffle(dictionary), ["_state", "_place"]).filter(
         (F.col("kind") != COUNTY) | F.col("_says_county")
     ).select(key, "kind", "pos", F.col("_place").alias("place"), "latitude", "longitude")
 
@@ -161,7 +162,7 @@ def geocode(
     """
     missing = F.col(lat).isNull() | F.col(lon).isNull()
     state_key = F.upper(F.trim(F.coalesce(F.col(state), F.lit(""))))
-    keyed = df.withColumn("_state", F.when(missing & (state_key != ""), state_key))
+    keyed = spread(df, key).withColumn("_state", F.when(missing & (state_key != ""), state_key))
     todo = keyed.filter(F.col("_state").isNotNull())
 
     dictionary = tagged(places, "place", CITY).unionByName(tagged(counties, "county", COUNTY))
@@ -174,11 +175,13 @@ def geocode(
             F.col("name_key").alias("_name_key"), F.col("state").alias("_state"), F.col("located").cast(LOCATED).alias("manual")
         )
         asked = todo.select(key, "_state", F.upper(F.trim(name)).alias("_name_key"))
-        hits = hits.unionByName(asked.join(points, ["_name_key", "_state"]).select(
+        hits = hits.unionByName(asked.join(by_shuffle(points), ["_name_key", "_state"]).select(
             key, F.lit(OVERRIDE).alias("kind"), F.lit(0).alias("pos"), F.lit("").alias("place"),
             F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"), "manual",
         ))
-    found = todo.join(best_hit(hits, key).withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left")
+    found = todo.join(
+        by_shuffle(best_hit(hits, key).withColumnRenamed(key, "_key")), F.col(key) == F.col("_key"), "left"
+    )
     placed = found.select(*df.columns, _located("hit").alias("located"))
     rest = keyed.filter(F.col("_state").isNull()).select(*df.columns, F.lit(None).cast(LOCATED).alias("located"))
     return placed.unionByName(rest)

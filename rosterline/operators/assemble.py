@@ -13,6 +13,7 @@ from ..constants import (
 from ..functions.base import blank_to_null
 from ..functions.numeric import is_stale, total_skip_null
 from ..functions.records import geo_uri, location_fields
+from ..session import by_shuffle
 
 POPULATION_PARTS = ("Male Crim", "Male Non-Crim", "Female Crim", "Female Non-Crim")
 STAY_LENGTH_MARK = "ALOS"
@@ -28,14 +29,14 @@ def attach_attributes(registry: DataFrame, matches: DataFrame, listing: DataFram
     rows = listing.select(F.col(listing_id).alias("l_id"), F.struct(*fields).alias("row"))
     attached = (
         matches.filter(F.col("code").isNotNull()).select("l_id", F.col("code").alias(code))
-        .join(rows, "l_id").groupBy(code).agg(F.max_by("row", "l_id").alias("attributes"))
+        .join(by_shuffle(rows), "l_id").groupBy(code).agg(F.max_by("row", "l_id").alias("attributes"))
     )
-    return registry.join(attached, code, "left")
+    return registry.join(by_shuffle(attached), code, "left")
 
 
 def attach_profiles(registry: DataFrame, profiles: DataFrame, code: str = "code") -> DataFrame:
     """Registry with the profile columns of its entity, null where there is none."""
-    return registry.join(profiles, code, "left")
+    return registry.join(by_shuffle(profiles), code, "left")
 
 
 def orphans(profiles: DataFrame, shipped: DataFrame, code: str = "code") -> DataFrame:
@@ -94,7 +95,7 @@ def profile_records(
             "person_recorded_set_share",
         ).alias("bond"),
     )
-    return stats.join(maps, key, "left").select(key, record.alias("demographics"))
+    return stats.join(by_shuffle(maps), key, "left").select(key, record.alias("demographics"))
 
 
 def assemble(

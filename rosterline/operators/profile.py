@@ -11,7 +11,7 @@ from ..constants import AGE_BANDS, SUPPRESSION_THRESHOLD, TOP_VALUES, WINDOW_DAY
 from ..functions.base import as_col
 from ..functions.dates import age_at, band, duration_days
 from ..functions.numeric import gated_ratio, suppress
-from ..session import cut_lineage
+from ..session import by_shuffle, cut_lineage
 from .frames import top_rows_per_key, trailing_window
 from .quantiles import group_quantiles
 
@@ -202,7 +202,7 @@ def profile(
     person_figures = group_quantiles(people.filter(known), [key], ["lowest"], [0.5]).groupBy(key).agg(
         figure("lowest", 0, "person_median_set")
     )
-    stats = counted.join(figures, key, "left").join(person_figures, key, "left").select(
+    stats = counted.join(by_shuffle(figures), key, "left").join(by_shuffle(person_figures), key, "left").select(
         "*",
         suppress("people", threshold).alias("unique_people"),
         suppress("with_amount", threshold).alias("people_with_recorded_set"),

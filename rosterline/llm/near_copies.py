@@ -13,7 +13,8 @@ is 0.9996 at 0.8 and more above. The rest of the job is exact:
    about ``CELL`` classes by walks of the trie. Two cells of one component are no task, so a group of
    copies is not compared pair by pair, however large.
 4. Pairs that the walk leaves within ``BUDGET`` bits and the size bound are verified by the exact
-   Jaccard similarity of their shingle sets.
+   Jaccard similarity of their shingle sets. A walk that leaves more pairs than it has rows lists
+   none of them: the shingle sets come to its cells, and only links that join two components leave it.
 
 Words and lower-casing are those of ``simhash``. Nulls: a null text is empty; empty texts are one
 class. Ties: of a component the smallest id stays, a null id only if there is no other. Repeated
@@ -139,8 +140,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 class _Found:
     """Collects the pairs of a walk that no component holds yet and whose sizes allow a link."""
 
-    def __init__(self, node: np.ndarray, comp: np.ndarray, n: np.ndarray, similarity: float) -> None:
-        self.node, self.comp, self.n, self.similarity = node, comp, n, similarity
+    def __init__(self, comp: np.ndarray, n: np.ndarray, similarity: float) -> None:
+        self.comp, self.n, self.similarity = comp, n, similarity
         self.pairs: list[np.ndarray] = []
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
@@ -148,45 +149,130 @@ class _Found:
         keep = (self.comp[a] != self.comp[b]) & (
             np.minimum(na, nb) >= self.similarity * np.maximum(na, nb)
         )
-        a, b = self.node[a[keep]], self.node[b[keep]]
+        a, b = a[keep], b[keep]
         if len(a):
-            self.pairs.append(np.unique(np.sort(np.stack([a, b], axis=1), axis=1), axis=0))
+            self.pairs.append(np.stack([a, b], axis=1))
+
+
+def _pairs_within(part: dict, budget: int, similarity: float) -> np.ndarray:
+    """Pairs of rows of one task, sorted by side and fp, that the walk leaves."""
+    key, side = part["fp"].view("u8"), part["side"]
+    found = _Found(part["comp"], part["n"], similarity)
+    half, end = int(np.searchsorted(side, 1)), len(key)
+    run = [0, end, 0, end] if half == end else [0, half, half, end]
+    walk(key, np.array([run]), budget, found)
+    return np.concatenate(found.pairs) if found.pairs else np.zeros((0, 2), dtype=np.int64)
+
+
+def _in_order(part: dict) -> dict:
+    """The rows of one task by side and fingerprint."""
+    order = np.lexsort((part["fp"].view("u8"), part["side"]))
+    return {c: v[order] for c, v in part.items()}
+
+
+TASK = ["task", "side", "fp", "node", "comp", "n"]
 
 
 def _walked(tasks: DataFrame, budget: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of the tasks: rows (task, side, fp, node, comp, n), one task at a time."""
-    names = ["task", "side", "fp", "node", "comp", "n"]
+    """Pairs (task, a, b) of the tasks: rows (task, side, fp, node, comp, n), one task at a time.
+
+    A task with more pairs than rows gives one row, whose a and b are null.
+    """
 
     def solve(part: dict) -> Iterator:
         import pyarrow as pa
 
-        key = part["fp"].view("u8")
-        order = np.lexsort((key, part["side"]))
-        key, side = key[order], part["side"][order]
-        found = _Found(*(part[c][order] for c in ("node", "comp", "n")), similarity)
-        half, end = int(np.searchsorted(side, 1)), len(key)
-        run = [0, end, 0, end] if half == end else [0, half, half, end]
-        walk(key, np.array([run]), budget, found)
-        for pairs in found.pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        part = _in_order(part)
+        pairs, node, task = _pairs_within(part, budget, similarity), part["node"], part["task"][:1]
+        if len(pairs) > len(node):
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(task), none, none], ["task", "a", "b"])
+        elif len(pairs):
+            pairs = np.unique(np.sort(node[pairs], axis=1), axis=0)
+            columns = [np.repeat(task, len(pairs)), pairs[:, 0], pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["task", "a", "b"])
 
     def run(batches: Iterator) -> Iterator:
         held: dict | None = None
         for batch in batches:
-            rows = {c: batch.column(c).to_numpy() for c in names}
+            rows = {c: batch.column(c).to_numpy() for c in TASK}
             if held is not None:
-                rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
+                rows = {c: np.concatenate([held[c], rows[c]]) for c in TASK}
             task = rows["task"]
             cuts = np.flatnonzero(task[1:] != task[:-1]) + 1
             begins = np.r_[0, cuts]
             for a, b in zip(begins[:-1].tolist(), cuts.tolist(), strict=True):
-                yield from solve({c: rows[c][a:b] for c in names})
-            held = {c: rows[c][begins[-1] :] for c in names} if len(task) else held
+                yield from solve({c: rows[c][a:b] for c in TASK})
+            held = {c: rows[c][begins[-1] :] for c in TASK} if len(task) else held
         if held is not None:
             yield from solve(held)
 
-    ordered = tasks.select(*names).repartition("task").sortWithinPartitions("task")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    ordered = tasks.select(*TASK).repartition("task").sortWithinPartitions("task")
+    return ordered.mapInArrow(run, "task long, a long, b long")
+
+
+def forest_links(
+    pairs: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], similarity: float
+) -> list[tuple[int, int]]:
+    """Those of the ``pairs`` of rows that reach the similarity and join two components not joined yet."""
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(s) for s in sets])
+    held = [flat[e - len(s) : e] for s, e in zip(sets, ends.tolist(), strict=True)]
+    size = np.array([len(s) for s in sets])
+    mark = np.zeros(int(flat.max()) + 1, dtype=bool)
+    _, root = np.unique(comp, return_inverse=True)
+    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    cuts = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
+    out = []
+    for part in np.split(pairs, cuts[1:]):
+        a, others = int(part[0, 0]), part[:, 1]
+        others = others[root[others] != root[a]]
+        if not len(others):
+            continue
+        mark[held[a]] = True
+        begins = np.r_[0, np.cumsum(size[others])[:-1]]
+        both = np.add.reduceat(mark[np.concatenate([held[b] for b in others.tolist()])].astype(np.int64), begins)
+        mark[held[a]] = False
+        for b in others[both >= similarity * (size[a] + size[others] - both)].tolist():
+            if root[b] != root[a]:
+                root[root == root[b]] = root[a]
+                out.append((a, b))
+    return out
+
+
+def _linked(tasks: DataFrame, sets: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) of tasks whose pairs are too many to list; ``sets``: (node, hashes)."""
+
+    def solve(rows: list) -> Iterator:
+        import pyarrow as pa
+
+        table = pa.Table.from_batches(rows)
+        part = {c: table.column(c).to_numpy() for c in TASK} | {"at": np.arange(len(table))}
+        part = _in_order(part)
+        pairs = _pairs_within(part, budget, similarity)
+        if len(pairs):
+            hashes = table.column("hashes").combine_chunks()
+            flat, ends = hashes.values.to_numpy(), hashes.offsets.to_numpy()
+            own = [flat[ends[i] : ends[i + 1]] for i in part["at"].tolist()]
+            links = forest_links(pairs, part["comp"], own, similarity)
+            found = np.sort(part["node"][np.array(links, dtype=np.int64).reshape(-1, 2)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator) -> Iterator:
+        held: list = []
+        for batch in batches:
+            task = batch.column("task").to_numpy()
+            edges = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
+            for a, b in zip(edges, edges[1:]):
+                if held and b > a and held[0].column("task")[0].as_py() != int(task[a]):
+                    yield from solve(held)
+                    held = []
+                held += [batch.slice(a, b - a)] * (b > a)
+        if held:
+            yield from solve(held)
+
+    ordered = tasks.join(sets, "node").select(*TASK, "hashes").repartition("task").sortWithinPartitions("task")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _tasks(members: DataFrame, cell: int) -> DataFrame:
@@ -271,12 +357,17 @@ def near_groups(
     settled = store(components(links), "near-settled")
     parted = members.join(settled, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     small_batches(spark, 10_000)
-    others = store(
-        _walked(_tasks(parted, cell), budget, similarity).join(stars, ["a", "b"], "left_anti"),
-        "near-pairs",
-    )
+    tasks = _tasks(parted, cell)
+    walked = store(_walked(tasks, budget, similarity), "near-pairs")
+    others = walked.filter("a is not null").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    many = walked.filter("a is null").select("task")
     small_batches(spark)
     links = links.unionByName(store(verified(others, texts, similarity), "near-links"))
+    if not many.isEmpty():
+        many = store(tasks.join(many, "task", "left_semi"), "near-many")
+        wanted = many.select("node").distinct()
+        sets = store(_sets(texts.join(wanted, "node", "left_semi")), "near-sets")
+        links = links.unionByName(store(_linked(many, sets, budget, similarity), "near-links"))
     parts = store(components(links), "near-parts")
     named = classes.join(parts, classes.least == parts.node, "left").select(
         "digest", F.coalesce("component", "least").alias("component")

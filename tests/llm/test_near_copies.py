@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,43 @@ def test_very_long_text(spark):
     words = [f"w{i * 7919 % 100003}" for i in range(200_000)]
     got = groups(spark, {0: " ".join(words), 1: " ".join(words[:180_000]), 2: " ".join(words[:150_000])})
     assert got == {0: 0, 1: 0, 2: 0}  # 0 and 2 are linked by 1 only
+
+
+def test_many_pairs_are_never_listed(spark, monkeypatch):
+    """Texts that share a band and little else, or are linked only through others: pairs stay fewer than rows."""
+    rnd, texts, rows = random.Random(11), {}, []
+    words = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    for _ in range(120):
+        texts[len(texts)] = edited(rnd, words, 7)  # a few links among very many candidates
+    listed = near_copies.verified
+
+    def counted(pairs, *rest):
+        rows.append(pairs.count())
+        return listed(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    got = groups(spark, texts)
+    assert max(rows) <= 20 * len(texts)
+    assert rows[1] <= len(texts)  # the walks; before, every candidate pair
+    want = union(plain_links(texts), texts)
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert len(set(want.values())) <= len(set(got.values())) <= len(set(want.values())) + 2
+
+
+def test_forest_links_are_those_of_all_pairs():
+    rnd = random.Random(3)
+    pool = np.arange(1, 60, dtype="i8")
+    sets = [np.array(sorted(rnd.sample(pool.tolist(), rnd.randint(20, 55))), dtype="i8") for _ in range(80)]
+    pairs = np.array([(a, b) for a in range(80) for b in range(a + 1, 80)])
+    comp = np.arange(80) % 70
+    links = near_copies.forest_links(pairs, comp, sets, 0.8)
+
+    def linked(a, b):
+        both = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    same = [(a, b) for a, b in pairs.tolist() if comp[a] == comp[b]]
+    every = [(a, b) for a, b in pairs.tolist() if linked(a, b)]
+    ids = range(80)
+    assert links and all(linked(a, b) for a, b in links) and len(links) < 70
+    assert union(same + links, ids) == union(same + every, ids)

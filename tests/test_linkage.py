@@ -153,6 +153,51 @@ def test_best_first_scores_few_pairs(spark):
     assert sum(r.scored for r in rows) < bounded.count() / 2
 
 
+def edit_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    longest = max(len(a), len(b))
+    return (longest - row[-1]) / longest if longest else 1.0
+
+
+def test_edit_bound_is_never_below_the_similarity(spark):
+    rng = random.Random(8)
+    names = ["", "A", "ÄÖ 9", "AAAAA 99999", *("".join(rng.choices("ABYZ 129Ü-", k=rng.randint(1, 30))) for _ in range(50))]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    df = df.select("a", "b", linkage.edit_sketch(F.col("a")).alias("s"), linkage.edit_sketch(F.col("b")).alias("t"))
+    rows = df.select("a", "b", linkage.edit_bound("s", "t").alias("bound")).collect()
+    assert all(r.bound >= edit_similarity(r.a, r.b) for r in rows)
+    assert sum(r.bound < 0.84 for r in rows) > len(rows) / 2
+
+
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_edit_cascade_equals_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(linkage, "POSTING_CHUNK", 4)
+    monkeypatch.setattr(linkage, "FIRST_TRIES", 2)
+    listing, registry = random_case(seed)
+    listing += [(900, "Webb Karnes Polk Essex Oterro", "TX", "1"), (901, "El Pazo County Jail", "NM", "1"),
+                (902, "County Jail", "TX", "1"), (903, None, "TX", "1"), (904, "WebbKarnes Jail", "TX", "1")]
+    expected = brute_force([r for r in listing if r[1]], registry, [], 0.12, edit_similarity)
+    got = run(spark, listing, registry, max_df=0.12, method="levenshtein")
+    got.pop(903)
+    assert got == {k: (v[0], v[1], pytest.approx(v[2]) if v[2] is not None else None) for k, v in expected.items()}
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.84])
+def test_a_common_token_alone_makes_few_edit_pairs(spark, floor):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("ABCDEFGHIJKLMNOPRSTUVWXYZ", k=9)) for _ in range(150)]
+    registry = [(f"H{i:03d}", f"Hub {w}", "TX", "1", i) for i, w in enumerate(words)]
+    listing = [(i, f"Hub {w} {w[::-1][:1]}", "TX", "2") for i, w in enumerate(words)]
+    left, right = linkage.prepare(spark.createDataFrame(listing, LISTING), spark.createDataFrame(registry, REGISTRY), 1.1)
+    pairs = linkage.edit_pairs(left, right, floor).collect()
+    assert {(r.norm.split()[1], r.r_norm.split()[1]) for r in pairs} >= {(w, w) for w in words}
+    assert len(pairs) < 3 * len(words) < linkage.fuzzy_pairs(left, right).count() / 10
+
+
 def test_hot_tokens_are_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(linkage, "POSTING_CHUNK", 3)
     registry = [(f"H{i:02d}", f"Hub Unit{i} Wing{i % 4}", "TX", "1", i) for i in range(30)]

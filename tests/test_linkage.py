@@ -198,6 +198,14 @@ def test_a_common_token_alone_makes_few_edit_pairs(spark, floor):
     assert len(pairs) < 3 * len(words) < linkage.fuzzy_pairs(left, right).count() / 10
 
 
+def test_empty_names_do_not_link_by_edits(spark):
+    listing, registry = [(1, "The", "TX", "1"), (2, "Alpha Jail", "TX", "1")], [("A", "The", "TX", "1", 1), ("B", "Alpha Jail", "TX", "2", 2)]
+    left, right = linkage.prepare(spark.createDataFrame(listing, LISTING), spark.createDataFrame(registry, REGISTRY), 1.1)
+    assert left.filter("norm = ''").count() == 1
+    found = linkage.link_fuzzy(left, right, method="levenshtein").collect()
+    assert [(r.l_id, r.code, r.score) for r in found] == [(2, "B", 1.0)]
+
+
 def test_hot_tokens_are_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(linkage, "POSTING_CHUNK", 3)
     registry = [(f"H{i:02d}", f"Hub Unit{i} Wing{i % 4}", "TX", "1", i) for i in range(30)]

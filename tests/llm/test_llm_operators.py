@@ -22,7 +22,7 @@ from rosterline.llm import (
     suffix_dedup,
     token_counts,
 )
-from rosterline.llm.queries import vocabulary
+from rosterline.llm.queries import op10_suffix_dedup, vocabulary
 from rosterline.session import shared_dir
 
 SCHEMA = (
@@ -474,6 +474,25 @@ def test_suffix_dedup_of_repeated_rows(spark, monkeypatch, filter_bits):
     assert all(len(r.ranges) == len(set(r.ranges)) for r in tables["repeat-spans"].collect())
 
 
+def test_suffix_dedup_of_planted_passages(spark, tmp_path):
+    """Passages of over 50 words go if they have 400 bytes, and stay if they have fewer."""
+    rnd = random.Random(12)
+
+    def words(n):
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+    short, long = words(55), words(60)
+    assert len(short) < 400 < len(long)
+    made = [(i, f"{words(rnd.randint(1, 90))} {(short, long, '')[i % 3]} {words(rnd.randint(1, 90))}") for i in range(30)]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = listed(op10_suffix_dedup(spark, str(tmp_path)))
+    want = plain_removal([(i, t.encode()) for i, t in made], 400)
+    assert got == sorted(((*r, r[1] - r[2]) for r in want), key=repr)
+    removed = {r[0]: r[2] for r in got}
+    assert all(len(long) <= removed[i] < len(long) + 20 for i in range(1, 30, 3))
+    assert not any(removed[i] for i in range(30) if i % 3 != 1)
+
+
 def test_sampled_positions_own_every_string_once(monkeypatch):
     data = np.random.default_rng(2).integers(97, 101, 5000).astype(np.uint8)
     data = np.concatenate([data, data[:2000], np.full(1500, 97, np.uint8)])

@@ -198,6 +198,60 @@ def test_a_common_token_alone_makes_few_edit_pairs(spark, floor):
     assert len(pairs) < 3 * len(words) < linkage.fuzzy_pairs(left, right).count() / 10
 
 
+def test_sketch_bound_is_never_below_the_similarity(spark):
+    rng = random.Random(6)
+    names = ["", "A", "ÄÖ 9", "AAAAA 99999", *("".join(rng.choices("ABYZ 129Ü-", k=rng.randint(1, 30))) for _ in range(50))]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    df = df.select("a", "b", linkage.edit_sketch(F.col("a")).alias("s"), linkage.edit_sketch(F.col("b")).alias("t"))
+    rows = df.select("a", "b", linkage.sketch_bound("s", "t").alias("bound")).collect()
+    assert all(r.bound >= difflib_similarity(r.a, r.b) for r in rows)
+    assert sum(r.bound < 0.84 for r in rows) > len(rows) / 4
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.84])
+@pytest.mark.parametrize("tries", [2, 200])
+def test_best_ratios_equal_brute_force(spark, monkeypatch, floor, tries):
+    monkeypatch.setattr(linkage, "POSTING_CHUNK", 4)
+    monkeypatch.setattr(linkage, "FIRST_TRIES", tries)
+    listing, registry = random_case(21)
+    rng = random.Random(22)
+    glued = [r[1].replace(" ", "", 1) for r in registry[:20]]
+    cut = [r[1][:k] + rng.choice([" ", "x", ""]) + r[1][k + 1:] for r in registry[20:] for k in [rng.randrange(1, len(r[1]))]]
+    listing += [(500 + i, name, "TX", "1") for i, name in enumerate([*glued, *cut, "The", "County Jail", "Webb"])]
+    registry += [("E1", "The", "TX", "1", 90), ("E2", "WebbKarnes Polk Polk", "TX", "1", 91)]
+    generic = {
+        t for t, n in Counter(t for r in registry for t in set(tokens(r[1]))).items() if n / len(registry) > 0.12
+    }
+    expected = {}
+    for _, name, state, _ in listing:
+        mine, norm = set(tokens(name)) - generic, " ".join(tokens(name))
+        scores = [
+            (difflib_similarity(norm, " ".join(tokens(r[1]))), -r[4], r[0])
+            for r in registry
+            if r[2] == state.strip().upper() and (not mine or mine & set(tokens(r[1])) - generic)
+        ]
+        score, _, code = max(scores, default=(0.0, 0, None))
+        if score > 0 and score >= floor:
+            expected[state.strip().upper(), norm] = (code, score)
+    left, right = linkage.prepare(spark.createDataFrame(listing, LISTING), spark.createDataFrame(registry, REGISTRY), 0.12)
+    best = linkage.best_fuzzy(left, right, "difflib", floor).filter(F.col("best_score") >= floor).collect()
+    assert {(r.state, r.norm): (r.best_code, r.best_score) for r in best} == expected
+
+
+@pytest.mark.parametrize("floor", [0.0, 0.84])
+def test_a_common_token_alone_makes_few_ratio_pairs(spark, monkeypatch, floor):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("ABCDEFGHIJKLMNOPRSTUVWXYZ", k=9)) for _ in range(150)]
+    registry = [(f"H{i:03d}", f"Hub North {w}", "TX", "1", i) for i, w in enumerate(words)]
+    listing = [(i, f"Hub North {w} {w[::-1][:1]}", "TX", "2") for i, w in enumerate(words)]
+    left, right = linkage.prepare(spark.createDataFrame(listing, LISTING), spark.createDataFrame(registry, REGISTRY), 1.1)
+    sorted_pairs, best_first = [], linkage.best_first
+    monkeypatch.setattr(linkage, "best_first", lambda pairs: sorted_pairs.append(pairs.count()) or best_first(pairs))
+    best = linkage.best_fuzzy(left, right, "difflib", floor).collect()
+    assert {(r.norm.split()[2], r.best_code) for r in best} == {(w, f"H{i:03d}") for i, w in enumerate(words)}
+    assert len(words) <= sum(sorted_pairs) < 2 * len(words)
+
+
 def test_empty_names_do_not_link_by_edits(spark):
     listing, registry = [(1, "The", "TX", "1"), (2, "Alpha Jail", "TX", "1")], [("A", "The", "TX", "1", 1), ("B", "Alpha Jail", "TX", "2", 2)]
     left, right = linkage.prepare(spark.createDataFrame(listing, LISTING), spark.createDataFrame(registry, REGISTRY), 1.1)

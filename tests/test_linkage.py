@@ -208,8 +208,7 @@ def test_sketch_bound_is_never_below_the_similarity(spark):
     assert sum(r.bound < 0.84 for r in rows) > len(rows) / 4
 
 
-@pytest.mark.parametrize("floor", [0.0, 0.84])
-@pytest.mark.parametrize("tries", [2, 200])
+@pytest.mark.parametrize("floor, tries", [(0.0, 2), (0.84, 200)])
 def test_best_ratios_equal_brute_force(spark, monkeypatch, floor, tries):
     monkeypatch.setattr(linkage, "POSTING_CHUNK", 4)
     monkeypatch.setattr(linkage, "FIRST_TRIES", tries)
@@ -252,6 +251,31 @@ def test_a_common_token_alone_makes_few_ratio_pairs(spark, monkeypatch, floor):
     assert len(words) <= sum(sorted_pairs) < 2 * len(words)
 
 
+@pytest.mark.parametrize("names", [6, 7])
+def test_empty_names_link_by_ratio_whichever_name_is_tried_first(spark, monkeypatch, names):
+    monkeypatch.setattr(linkage, "FIRST_TRIES", 1)
+    registry = [("E", "The", "TX", "1", 0), *((f"C{i}", f"Alpha{i} Jail", "TX", "1", i) for i in range(1, names))]
+    left, right = linkage.prepare(
+        spark.createDataFrame([(1, "The", "TX", "1")], LISTING), spark.createDataFrame(registry, REGISTRY), 1.1
+    )
+    found = linkage.link_fuzzy(left, right).collect()
+    assert [(r.l_id, r.code, r.score) for r in found] == [(1, "E", 1.0)]
+
+
+def test_anagrams_of_a_name_are_not_scored(spark, monkeypatch):
+    rng = random.Random(5)
+    mixed = ["".join(rng.sample("ABCDEFGHIJKLMNOP", 16)) for _ in range(40)]
+    registry = [("R", "Hub Near ABCDEFGHIJKLMNOP Qrstuvw", "TX", "1", 0)]
+    registry += [(f"M{i}", f"Hub Raen {w} Qrstuvw", "TX", "1", i + 1) for i, w in enumerate(mixed)]
+    listing = [(1, "Hub Near ABCDEFGHIJKLMNOP", "TX", "2")]
+    left, right = linkage.prepare(spark.createDataFrame(listing, LISTING), spark.createDataFrame(registry, REGISTRY), 1.1)
+    sorted_pairs, best_first = [], linkage.best_first
+    monkeypatch.setattr(linkage, "best_first", lambda pairs: sorted_pairs.append(pairs.count()) or best_first(pairs))
+    best = linkage.best_fuzzy(left, right, "difflib").collect()
+    assert [(r.best_score, r.best_code) for r in best] == [(difflib_similarity(listing[0][1].upper(), registry[0][1].upper()), "R")]
+    assert sum(sorted_pairs) < 5
+
+
 def test_empty_names_do_not_link_by_edits(spark):
     listing, registry = [(1, "The", "TX", "1"), (2, "Alpha Jail", "TX", "1")], [("A", "The", "TX", "1", 1), ("B", "Alpha Jail", "TX", "2", 2)]
     left, right = linkage.prepare(spark.createDataFrame(listing, LISTING), spark.createDataFrame(registry, REGISTRY), 1.1)
